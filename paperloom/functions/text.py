@@ -38,8 +38,8 @@ def clean_text(c: Column) -> Column:
 def derive_year(journal_ref: Column, versions: Column, strict: bool = False) -> Column:
     """Year after the last comma of the reference, else from the date of the last version."""
     from_journal = strip(F.element_at(F.split(journal_ref, ","), -1)).try_cast("int")
-    created = F.try_element_at(versions, F.lit(-1))["created"]
-    from_version = F.try_element_at(F.split(created, " "), F.lit(4)).try_cast("int")
+    created = F.get(versions, F.size(versions) - 1)["created"]
+    from_version = F.get(F.split(created, " "), F.lit(3)).try_cast("int")
     year = F.coalesce(from_journal, from_version)
     if strict:
         year = F.coalesce(year, F.raise_error(F.lit("no year in reference or version")).cast("int"))

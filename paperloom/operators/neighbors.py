@@ -41,45 +41,46 @@ def unit_vectors(df: DataFrame, key: str, vec: str, *extra: str) -> DataFrame:
 
 
 class _Best:
-    """The k smallest (distance, id) per query seen so far in a task."""
+    """The k smallest (distance to 6 decimals, id) per query seen so far in a task."""
 
     def __init__(self, k: int):
         self.k, self.kept = k, {}
 
     def add(self, queries: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        ranks = np.round(dist, 6)
         for row, query in enumerate(queries):
-            d, i = dist[row], ids
-            usable = np.isfinite(d)
+            r = ranks[row]
+            usable = np.isfinite(r)
             old = self.kept.get(query)
-            if len(d) > self.k:
-                cut = np.partition(d, self.k - 1)[self.k - 1]
-                usable &= d <= cut
-                if old is not None and len(old[0]) == self.k:
-                    usable &= d <= old[0][-1]
+            if len(r) > self.k:
+                usable &= r <= np.partition(r, self.k - 1)[self.k - 1]
+            if old is not None and len(old[0]) == self.k:
+                usable &= r <= old[0][-1]
             if not usable.any():
                 continue
-            d, i = d[usable], i[usable]
+            r, d, i = r[usable], dist[row][usable], ids[usable]
             if old is not None:
-                d, i = np.concatenate([old[0], d]), np.concatenate([old[1], i])
-            order = np.lexsort((i, d))[: self.k]
-            self.kept[query] = (d[order], i[order])
+                r, d, i = (np.concatenate(pair) for pair in zip(old, (r, d, i)))
+            order = np.lexsort((i, r))[: self.k]
+            self.kept[query] = (r[order], d[order], i[order])
 
     def batch(self) -> pa.RecordBatch:
-        queries = [np.full(len(d), q) for q, (d, _) in self.kept.items()]
+        queries = [np.full(len(d), q) for q, (_, d, _) in self.kept.items()]
         parts = list(self.kept.values())
 
         def joined(arrays, kind):
             return pa.array(np.concatenate(arrays) if arrays else np.empty(0, kind), kind)
 
         return pa.RecordBatch.from_arrays(
-            [joined(queries, "int64"), joined([i for _, i in parts], "int64"), joined([d for d, _ in parts], "float64")],
+            [joined(queries, "int64"), joined([i for *_, i in parts], "int64"),
+             joined([d for _, d, _ in parts], "float64")],
             names=["query_id", "id", "dist"],
         )
 
 
 def _angular(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
     cos = queries @ corpus.T
-    return np.round(np.sqrt(np.maximum(2.0 * (1.0 - cos), 0.0)), 6)
+    return np.sqrt(np.maximum(2.0 * (1.0 - cos), 0.0))
 
 
 def _small_matrix(df: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -375,14 +376,14 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     # A tile of the right side holds one label, so each tile pair reduces to one sum per left point.
     codes = sizes.withColumn("cell", F.row_number().over(Window.orderBy("label")).cast("int"))
     right = pack_tiles(points.join(F.broadcast(codes), "label").select("cell", "id", "vec"))
-    right = right.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(1 << 30)))
-    left = pack_tiles(_one_cell(points))
+        left = pack_tiles(_one_cell(points))
     salts = max(1, -(-labels.count() // ROWS_PER_SALT))
     right = right.select(
-        "cell", (F.col("salt") % salts).alias("salt"), F.col("ids").alias("r_ids"), F.col("vecs").alias("r_vecs")
+        "cell", F.pmod(F.xxhash64("ids"), F.lit(salts)).alias("salt"), F.col("ids").alias("r_ids"),
+        F.col("vecs").alias("r_vecs"),
     )
     left = left.select(
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"),
         F.col("ids").alias("l_ids"), F.col("vecs").alias("l_vecs"),
     )
     pairs = left.join(right, "salt")

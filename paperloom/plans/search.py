@@ -29,7 +29,7 @@ def similar_documents(queries: DataFrame, corpus: DataFrame, query_key: str, key
         .groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("cos"))
     )
     dist = F.sqrt(F.greatest(2 * (1 - F.col("cos")), F.lit(0.0)))
-    return topk_per_query(scores.select("query_id", "id", F.round(dist, 6).alias("dist")), k)
+    return topk_per_query(scores.select("query_id", "id", dist.alias("dist")), k)
 
 
 def processed_text(papers: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:

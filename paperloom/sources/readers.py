@@ -17,9 +17,9 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_markdown_dir(spark: SparkSession, path: str) -> DataFrame:
+def read_markdown_dir(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """Every markdown file of a folder as one row ``(file, text)``, ordered by name."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")).orderBy("file")
 
 
