@@ -205,3 +205,11 @@ def bpe_encode(df: DataFrame, column: str, model: BpeModel, output: str = "token
             )
 
     return source.mapInArrow(run, out)
+
+
+def bpe_decode(token_ids: Column, model: BpeModel) -> Column:
+    """Token ids back to text."""
+    tokens = F.array(*[F.lit(t) for t in model.tokens])
+    shown = F.array_join(F.transform(token_ids, lambda i: F.get(tokens, i)), "")
+    raw = F.translate(shown, "".join(byte_characters()), "".join(chr(b) for b in range(256)))
+    return F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from paperloom.functions.vectors import l2_normalize
 from paperloom.operators.windows import topk_per_query
-from paperloom.staging import stage
+from paperloom.staging import broadcast_if_small, stage
 
 TILE = 1024
 ROWS_PER_SALT = 64 * TILE
@@ -375,8 +375,8 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     # A tile of the right side holds one label, so each tile pair reduces to one sum per left point.
     codes = sizes.withColumn("cell", F.row_number().over(Window.orderBy("label")).cast("int"))
-    right = pack_tiles(points.join(F.broadcast(codes), "label").select("cell", "id", "vec"))
-        left = pack_tiles(_one_cell(points))
+    right = pack_tiles(points.join(broadcast_if_small(codes), "label").select("cell", "id", "vec"))
+    left = pack_tiles(_one_cell(points))
     salts = max(1, -(-labels.count() // ROWS_PER_SALT))
     right = right.select(
         "cell", F.pmod(F.xxhash64("ids"), F.lit(salts)).alias("salt"), F.col("ids").alias("r_ids"),
@@ -406,7 +406,7 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
         distances, "id long, cell int, total double"
     ).groupBy("id", "cell").agg(F.sum("total").alias("total"))
     other = codes.select("cell", F.col("label").alias("other"), F.col("n").alias("n_other"))
-    scored = sums.join(F.broadcast(other), "cell").join(labels, "id")
+    scored = sums.join(broadcast_if_small(other), "cell").join(labels, "id")
     own = F.col("label") == F.col("other")
     per_point = scored.groupBy("id").agg(
         F.max(F.when(own, F.col("n_other"))).alias("n_own"),
