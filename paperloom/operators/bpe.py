@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from paperloom.functions import fixed, text
-from paperloom.staging import stage
+from paperloom.staging import restage, stage
 
 _SYMBOL_BASE = 0xF0000
 MAX_SYMBOLS = 0x110000 - _SYMBOL_BASE
-_CANDIDATES = 128
+_CANDIDATES = 256
 _STAGE_EVERY = 20
 
 
@@ -40,14 +40,6 @@ def _byte_string(c: Column) -> Column:
     return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
 
 
-def _adjacent(word: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring symbols."""
-    return text.bind(F.split(word, ""), lambda s: F.when(
-        F.size(s) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(s) - n + 1), lambda i: F.array_join(F.slice(s, i, F.lit(n)), "")),
-    ))
-
-
 class BpeModel:
     """Tokens by id, and merges ``(left id, right id, merged id)`` in the order they were learnt."""
 
@@ -77,12 +69,14 @@ def bpe_train(
     """Merge the most frequent adjacent pair until the vocabulary is full or counts fall too low.
 
     Ties go to the smallest pair of ids. A round takes as many merges from the top of the ranking as are
-    certain to come next: they share no symbol, and no pair an earlier one creates can outrank a later one.
+    certain to come next: their occurrences never overlap, and no pair an earlier one creates can outrank a
+    later one.
     """
     if vocab_size > MAX_SYMBOLS:
         raise ValueError(f"at most {MAX_SYMBOLS} tokens")
     counted = df.select(F.explode(pre_tokens(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counted = stage(counted.select(_byte_string(F.col("word")).alias("word"), "n"), "words")
+    counted = counted.select(_byte_string(F.col("word")).alias("word"), "n")
+    counted = stage(counted.repartition(df.sparkSession.sparkContext.defaultParallelism), "words")
     present = counted.select(F.explode(F.array_distinct(F.split("word", ""))).alias("b")).distinct().collect()
     shown = byte_characters()
     alphabet = sorted((shown[ord(r.b)], r.b) for r in present)
@@ -91,12 +85,12 @@ def bpe_train(
     symbols = "".join(_symbol(len(special) + i) for i in range(len(alphabet)))
     words = counted.select(F.translate("word", raw, symbols).alias("word"), "n") if alphabet else counted
     merges: list[tuple[int, int, int]] = []
-    since_stage = 0
+    since_stage, held = 0, counted
     while len(tokens) < vocab_size:
         pairs = _ranked_pairs(words, min(candidates, vocab_size - len(tokens)), min_frequency)
         if not pairs:
             break
-        accepted = _certain(pairs, _created_counts(words, pairs))
+        accepted = _certain(pairs)
         rules = []
         for pair in accepted:
             left, right = (ord(c) - _SYMBOL_BASE for c in pair)
@@ -107,41 +101,52 @@ def bpe_train(
         words = words.filter(F.length("word") > 1)
         since_stage += len(accepted)
         if since_stage >= _STAGE_EVERY:
-            words, since_stage = stage(words, "words"), 0
+            words = held = restage(words, held, "words")
+            since_stage = 0
     return BpeModel(tokens, merges)
 
 
-def _ranked_pairs(words: DataFrame, limit: int, min_frequency: int) -> list[tuple[str, int]]:
-    pairs = words.select(F.explode(_adjacent(F.col("word"), 2)).alias("pair"), "n")
-    ranked = pairs.groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_frequency)
-    return [(r.pair, r.n) for r in ranked.orderBy(F.desc("n"), "pair").limit(limit).collect()]
-
+def _ranked_pairs(words: DataFrame, limit: int, min_frequency: int) -> list[tuple[str, int, int]]:
+    """The most frequent pairs with their count and the largest count a pair made by merging them can have.
 
-def _created_counts(words: DataFrame, pairs: list[tuple[str, int]]) -> dict[str, int]:
-    """Per candidate pair, the largest count a pair made by its merge can have.
-
-    Such a pair extends the candidate by one symbol on one side, so a count of three neighbouring symbols
-    bounds it.
+    Such a pair extends the merged one by a symbol on either side, so the counts of three neighbouring
+    symbols bound it.
     """
-    wanted = [p for p, _ in pairs]
-    triples = words.select(F.explode(_adjacent(F.col("word"), 3)).alias("t"), "n")
-    triples = triples.groupBy("t").agg(F.sum("n").alias("n"))
+    symbols = F.split("word", "")
+    runs = text.bind(symbols, lambda s: F.transform(
+        F.sequence(F.lit(1), F.size(s) - 1),
+        lambda i: F.struct(F.array_join(F.slice(s, i, F.lit(2)), "").alias("pair"), F.get(s, i + 1).alias("after")),
+    ))
+    triples = words.filter(F.length("word") > 1).select(F.inline(runs), "n")
+    triples = triples.groupBy("pair", "after").agg(F.sum("n").alias("n"))
+    extended = F.col("after").isNotNull()
     sides = F.array(
-        F.struct(F.substring("t", 1, 2).alias("pair"), F.lit(0).alias("side")),
-        F.struct(F.substring("t", 2, 2).alias("pair"), F.lit(1).alias("side")),
+        F.struct("pair", F.col("n").alias("count"), F.when(extended, F.col("n")).alias("made")),
+        F.struct(
+            F.concat(F.substring("pair", 2, 1), "after").alias("pair"), F.lit(0).cast("long").alias("count"),
+            F.col("n").alias("made"),
+        ),
     )
-    bounds = triples.select(F.inline(sides), "n").filter(F.col("pair").isin(wanted))
-    return {r.pair: r.n for r in bounds.groupBy("pair").agg(F.max("n").alias("n")).collect()}
+    pairs = triples.select(F.inline(F.when(extended, sides).otherwise(F.slice(sides, 1, 1))))
+    ranked = pairs.groupBy("pair").agg(F.sum("count").alias("n"), F.coalesce(F.max("made"), F.lit(0)).alias("made"))
+    ranked = ranked.filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "pair").limit(limit)
+    return [(r.pair, r.n, r.made) for r in ranked.collect()]
 
 
-def _certain(pairs: list[tuple[str, int]], created: dict[str, int]) -> list[str]:
-    accepted, used, bound = [], set(), 0
-    for pair, n in pairs:
-        if accepted and (n <= bound or used & set(pair)):
+def _certain(pairs: list[tuple[str, int, int]]) -> list[str]:
+    """The longest head of the ranking whose merges are sure to follow each other.
+
+    Occurrences of two pairs overlap only where one ends with the symbol the other begins with; without
+    such a chain a merge leaves the other count unchanged.
+    """
+    accepted, lefts, rights, bound = [], set(), set(), 0
+    for pair, n, made in pairs:
+        if accepted and (n <= bound or pair[0] in rights or pair[1] in lefts):
             break
         accepted.append(pair)
-        used |= set(pair)
-        bound = max(bound, created.get(pair, 0))
+        lefts.add(pair[0])
+        rights.add(pair[1])
+        bound = max(bound, made)
     return accepted
 
 
@@ -189,7 +194,7 @@ def bpe_encode(df: DataFrame, column: str, model: BpeModel, output: str = "token
     ids = {t: i for i, t in enumerate(model.tokens) if len(t) == 1}
     ranks = {(a, b): (rank, new) for rank, (a, b, new) in enumerate(model.merges)}
     shared = df.sparkSession.sparkContext.broadcast((ids, ranks))
-    source = df.withColumn("_words", words)
+    source, names = df.withColumn("_words", words), df.columns
     out = T.StructType(df.schema.fields + [T.StructField(output, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +204,9 @@ def bpe_encode(df: DataFrame, column: str, model: BpeModel, output: str = "token
                 None if row is None else [i for w in row for i in encode(w)]
                 for row in batch.column("_words").to_pylist()
             ]
-            kept = [batch.column(c) for c in df.columns]
+            kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(encoded, pa.list_(pa.int32()))], names=[*df.columns, output]
+                [*kept, pa.array(encoded, pa.list_(pa.int32()))], names=[*names, output]
             )
 
     return source.mapInArrow(run, out)

@@ -34,7 +34,18 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table."""
     path = f"{shared_dir(df.sparkSession)}/paperloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def restage(df: DataFrame, previous: DataFrame, label: str = "stage") -> DataFrame:
+    """Stage ``df`` and remove the earlier staged table that it replaces."""
+    staged = stage(df, label)
+    spark = df.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path(previous._staged_at)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return staged
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
