@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from paperloom.functions import fixed
+from paperloom.functions.text import bind
 
 
 def irreducible(words: Sequence[str]) -> list[str]:
@@ -14,12 +15,16 @@ def irreducible(words: Sequence[str]) -> list[str]:
 
 
 def contains_any(cols: Sequence[Column], words: Sequence[str]) -> Column:
-    """Case-sensitive substring match of any word in any column; null matches nothing."""
+    """Case-sensitive substring match of any word in any column; null matches nothing.
+
+    A column is evaluated once, however many words there are, and the plan stays one expression long.
+    """
+    listed = F.array(*[F.lit(w) for w in irreducible(words)])
     hit = F.lit(False)
     for c in cols:
-        for w in irreducible(words):
-            hit = hit | F.contains(c, F.lit(w))
-    return F.coalesce(hit, F.lit(False))
+        found = bind(c, lambda v: F.exists(listed, lambda w: F.contains(v, w)))
+        hit = hit | F.coalesce(found, F.lit(False))
+    return hit
 
 
 def non_blank(*cols: Column) -> Column:
@@ -53,4 +58,5 @@ def min_chars(c: Column, n: int = 100) -> Column:
 
 
 def drop_tokens_containing(tokens: Column, parts: Sequence[str] = fixed.TITLE_NOISE) -> Column:
-    return F.filter(tokens, lambda t: ~contains_any([t], parts))
+    listed = F.array(*[F.lit(p) for p in irreducible(parts)])
+    return F.filter(tokens, lambda t: ~F.exists(listed, lambda p: F.contains(t, p)))

@@ -128,7 +128,9 @@ def slice_sections(c: Column, markers: Sequence[str] = fixed.SECTION_MARKERS) ->
 
 
 def _between(c: Column, marker: str) -> Column:
-    return F.when(F.contains(c, F.lit(marker)), F.split_part(c, F.lit(marker), F.lit(2))).otherwise(c)
+    return bind(c, lambda v: F.when(
+        F.contains(v, F.lit(marker)), F.split_part(v, F.lit(marker), F.lit(2))
+    ).otherwise(v))
 
 
 def _before(c: Column, marker: str) -> Column:
@@ -164,8 +166,12 @@ def repair_bytes(c: Column, safe: bool = False) -> Column:
     The byte rules also hit continuation bytes of intact letters; ``safe`` keeps only the rules that
     name whole characters. A genuine U+FFFD of the input is dropped too.
     """
-    raw = F.encode(_repaired_bytes(c, safe), "ISO-8859-1")
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
+    return _valid_text(_repaired_bytes(c, safe))
+
+
+def _valid_text(byte_characters: Column) -> Column:
+    raw = F.encode(byte_characters, "ISO-8859-1").cast("string")
+    return F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
 
 
 def repaired_length(c: Column, safe: bool = False) -> Column:
@@ -173,6 +179,14 @@ def repaired_length(c: Column, safe: bool = False) -> Column:
     return F.length(_repaired_bytes(c, safe))
 
 
+def corpus_sample(c: Column, safe: bool = False) -> Column:
+    """A sample through every cleaning step: ``struct(value, n_bytes)``, each step evaluated once."""
+    marked = strip_markup(slice_sections(c))
+    return bind(_repaired_bytes(marked, safe), lambda b: F.struct(
+        strip(_valid_text(b)).alias("value"), F.length(b).alias("n_bytes"), F.contains(b, F.lit(" ")).alias("spaced"),
+    ))
+
+
 # --- full-text bodies --------------------------------------------------------------------------
 
 def remove_brackets(c: Column) -> Column:
@@ -182,12 +196,10 @@ def remove_brackets(c: Column) -> Column:
 
 def journal_body(text: Column, pub: Column) -> Column:
     """Main section of an article by the rule of its journal; null for other journals."""
-    head = _before(text, "References")
-    marked = _between(head, "\n\n1\n\n")
-    unnumbered = replace_all(marked, [(f"\n{i}\n\n", "") for i in range(20)])
-    science = F.when(
-        F.contains(head, F.lit("\n\n1\n\n")), remove_brackets(unnumbered)
-    ).otherwise(head)
+    start, numbers = "\n\n1\n\n", [(f"\n{i}\n\n", "") for i in range(20)]
+    science = bind(_before(text, "References"), lambda head: F.when(
+        F.contains(head, F.lit(start)), remove_brackets(replace_all(F.split_part(head, F.lit(start), F.lit(2)), numbers))
+    ).otherwise(head))
     apj = _before(_between(_between(text, "ABSTRACT\n"), "Introduction\n"), "\n2.")
     mnras = _before(_between(_between(text, "ABSTRACT\n"), "INTRODUCTION\n"), "\n2 ")
     return (
@@ -214,14 +226,14 @@ def raw_tokens(c: Column) -> Column:
 
 
 def keep_token(token: Column, stop_words: Sequence[str]) -> Column:
-    """True for a token that is neither a stop word nor a substring of the punctuation string."""
-    return ~token.isin(list(stop_words)) & (F.instr(F.lit(fixed.PUNCTUATION), token) == 0) & (token != "")
+    """True for a token that is neither a stop word nor a substring of the punctuation string, as is ''."""
+    return ~(token.isin(list(stop_words)) | F.contains(F.lit(fixed.PUNCTUATION), token))
 
 
 def normalize_tokens(c: Column, stop_words: Sequence[str] | None = None) -> Column:
     """Space-joined tokens without stop words and punctuation."""
     stop_words = default_stop_words() if stop_words is None else stop_words
-    kept = F.filter(F.transform(raw_tokens(c), strip), lambda t: keep_token(t, stop_words))
+    kept = F.filter(raw_tokens(c), lambda t: keep_token(t, stop_words))
     return F.array_join(kept, " ")
 
 

@@ -4,11 +4,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from paperloom.functions import text
 from paperloom.functions.vectors import l2_normalize
@@ -16,11 +16,29 @@ from paperloom.functions.vectors import l2_normalize
 MAX_VOCABULARY = 1 << 20
 
 
+def sparse_columns(df: DataFrame, column: str, *extra: Column) -> DataFrame:
+    """``(indices, values)`` of an ml vector column; a dense vector lists every index."""
+    v = F.unwrap_udt(column)
+    every = F.sequence(F.lit(0), F.size(v["values"]) - 1)
+    return df.select(*extra, F.coalesce(v["indices"], every).alias("indices"), v["values"].alias("values"))
+
+
+def times_matrix(indices: np.ndarray, values: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Product of sparse rows, given as concatenated entries, with a dense matrix."""
+    out = np.zeros((len(sizes), m.shape[1]))
+    filled = sizes > 0
+    if filled.any():
+        starts = (np.cumsum(sizes) - sizes)[filled]
+        out[filled] = np.add.reduceat(m[indices] * values[:, None], starts, axis=0)
+    return out
+
+
 class TfidfModel:
-    """A vocabulary with its inverse document frequencies, in vocabulary order."""
+    """A vocabulary and its inverse document frequencies."""
 
     def __init__(self, terms: list[str], idf: list[float]):
         self.terms, self.idf = terms, idf
+        self._counter = None
 
     @classmethod
     def from_table(cls, idf: DataFrame) -> "TfidfModel":
@@ -30,16 +48,26 @@ class TfidfModel:
             raise ValueError(f"a vocabulary holds at most {MAX_VOCABULARY} terms")
         return cls([r.term for r in rows], [r.idf for r in rows])
 
+    def counter(self, spark: SparkSession) -> CountVectorizerModel:
+        """A term counter over exactly this vocabulary, fitted on the vocabulary itself.
+
+        The features follow the order of the counter, so terms and frequencies are put in that order.
+        """
+        if self._counter is None:
+            listed = spark.createDataFrame([(self.terms,)], "terms array<string>")
+            fitted = CountVectorizer(inputCol="terms", outputCol="_tf", vocabSize=max(len(self.terms), 1)).fit(listed)
+            weight = dict(zip(self.terms, self.idf))
+            self.terms = list(fitted.vocabulary)
+            self.idf = [weight[t] for t in self.terms]
+            self._counter = fitted
+        return self._counter
+
     def transform(self, docs: DataFrame, tokens: str = "tokens", output: str = "features") -> DataFrame:
         """Unit TF-IDF vector per row as a sparse vector column. Row-local: nothing is shuffled."""
-        counted = CountVectorizerModel.from_vocabulary(
-            self.terms, inputCol=tokens, outputCol="_tf"
-        ).transform(docs)
-        weighted = ElementwiseProduct(
-            scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_weighted"
-        ).transform(counted)
-        unit = Normalizer(p=2.0, inputCol="_weighted", outputCol=output).transform(weighted)
-        return unit.drop("_tf", "_weighted")
+        counter = self.counter(docs.sparkSession).copy({self._counter.inputCol: tokens})
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_weighted")
+        unit = Normalizer(p=2.0, inputCol="_weighted", outputCol=output)
+        return unit.transform(scaled.transform(counter.transform(docs))).drop("_tf", "_weighted")
 
     def weights(self, docs: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
         """Long form ``(key, term, weight)``."""

@@ -17,11 +17,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from paperloom.functions.vectors import l2_normalize
+from paperloom.operators.features import sparse_columns, times_matrix
 from paperloom.operators.windows import topk_per_query
 from paperloom.staging import broadcast_if_small, stage
 
 TILE = 1024
 ROWS_PER_SALT = 64 * TILE
+MAX_QUERIES = 20_000
 MAX_QUERY_VALUES = 4_000_000  # values of a query set that may travel with every task (32 MB)
 MAX_CENTROID_VALUES = 16_000_000
 
@@ -199,6 +201,56 @@ def knn_exact(
     return topk_per_query(_tile_topk(pairs, k, skip_self), k)
 
 
+def knn_sparse(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame | None:
+    """Exact top-k over ``(id, features)`` with sparse unit vectors, or None for too large a query set.
+
+    The corpus is scanned once where it lies, and k rows per query leave a task. Rows that share no
+    feature with a query are not ranked for it.
+    """
+    asked = sparse_columns(queries, "features", F.col("id"))
+    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        return None
+    asked = asked.toArrow().combine_chunks()
+    ids = asked["id"].to_numpy()
+    sizes = np.array([len(v) for v in asked["indices"].to_pylist()], "int64")
+    flat = asked["indices"].combine_chunks().flatten().to_numpy() if len(ids) else np.empty(0, "int32")
+    used, position = np.unique(flat, return_inverse=True)
+    if len(used) * len(ids) > MAX_QUERY_VALUES:
+        return None
+    weights = np.zeros((len(used) + 1, len(ids)))  # the last row stands for features of no query
+    if len(flat):
+        weights[position, np.repeat(np.arange(len(ids)), sizes)] = asked["values"].combine_chunks().flatten().to_numpy()
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, used, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, features, q = shared.value
+        best, step = _Best(k), max(1, 8_000_000 // max(q.shape[1], 1))
+        for batch in batches:
+            if batch.num_rows == 0 or len(features) == 0:
+                continue
+            lists = batch.column("indices")
+            counts = lists.value_lengths().to_numpy()
+            entries, values = lists.flatten().to_numpy(), batch.column("values").flatten().to_numpy()
+            at = np.minimum(np.searchsorted(features, entries), len(features) - 1)
+            known = features[at] == entries
+            owner = np.repeat(np.arange(len(counts)), counts)[known]
+            at, values, counts = at[known], values[known], np.bincount(owner, minlength=len(counts))
+            ends = np.cumsum(counts)
+            row = 0
+            while row < len(counts):
+                begin = ends[row] - counts[row]
+                stop = max(row + 1, int(np.searchsorted(ends, begin + step, side="right")))
+                part = slice(begin, ends[stop - 1])
+                cos = times_matrix(at[part], values[part], counts[row:stop], q).T
+                dist = np.where(cos > 0, np.sqrt(np.maximum(2.0 * (1.0 - cos), 0.0)), np.inf)
+                best.add(q_ids, batch.column("id").to_numpy()[row:stop], dist)
+                row = stop
+        yield best.batch()
+
+    hits = sparse_columns(corpus, "features", F.col("id").cast("long").alias("id")).mapInArrow(run, _HIT)
+    return topk_per_query(hits, k)
+
+
 def knn_graph(df: DataFrame, k: int = 10, *, key: str = "id", vec: str = "vec", index: "CellIndex | None" = None,
               nprobe: int = 8) -> DataFrame:
     """The k nearest other points of every point; exact, or within the probed cells of an index."""
@@ -248,10 +300,10 @@ class CellIndex:
         return cls(spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/cells"))
 
     def probes(self, queries: DataFrame, k: int, nprobe: int, forest: int) -> DataFrame:
-        """Nearest ``nprobe`` cells per query ``(id, vec, cell)``; more while they hold fewer than k rows."""
+        """Nearest ``nprobe`` cells per query ``(id, vec, cells)``; more while they hold fewer than k rows."""
         rows = self.centroids.filter(F.col("forest") == forest).orderBy("cell").toArrow().combine_chunks()
         if rows.num_rows == 0:
-            return queries.select("id", "vec", F.lit(0).alias("cell")).limit(0)
+            return queries.select("id", "vec", F.array().cast("array<int>").alias("cells"))
         centers = _matrix(rows["centroid"].combine_chunks())
         if centers.size > MAX_CENTROID_VALUES:
             raise ValueError("too many cells: the centroid table must stay small")
@@ -272,8 +324,7 @@ class CellIndex:
                     names=["id", "vec", "cells"],
                 )
 
-        found = queries.select("id", "vec").mapInArrow(run, "id long, vec array<double>, cells array<int>")
-        return found.select("id", "vec", F.explode("cells").alias("cell"))
+        return queries.select("id", "vec").mapInArrow(run, "id long, vec array<double>, cells array<int>")
 
     def search(
         self, queries: DataFrame, k: int = 10, nprobe: int = 8, *, query_key: str = "id",
@@ -283,10 +334,14 @@ class CellIndex:
         asked = unit_vectors(queries, query_key, query_vec)
         hits = None
         for row in self.centroids.select("forest").distinct().orderBy("forest").collect():
-            stored = self.cells.filter(F.col("forest") == row.forest)
+            probed = stage(self.probes(asked, k, nprobe, row.forest), "probes")
+            # The probed cells are few at most; naming them prunes the partitions of a saved index.
+            wanted = [r.cell for r in probed.select(F.explode("cells").alias("cell")).distinct().collect()]
+            stored = self.cells.filter((F.col("forest") == row.forest) & F.col("cell").isin(wanted))
             sizes = self.centroids.filter(F.col("forest") == row.forest).select("cell", "n")
-            probed = pack_tiles(self.probes(asked, k, nprobe, row.forest).repartition("cell", F.pmod("id", F.lit(8))))
-            found = _tile_topk(_tile_pairs(probed, pack_tiles(stored), _salts(sizes)), k, skip_self)
+            by_cell = probed.select("id", "vec", F.explode("cells").alias("cell"))
+            tiles = pack_tiles(by_cell.repartition("cell", F.pmod("id", F.lit(8))))
+            found = _tile_topk(_tile_pairs(tiles, pack_tiles(stored), _salts(sizes)), k, skip_self)
             hits = found if hits is None else hits.unionByName(found)
         hits = hits.groupBy("query_id", "id").agg(F.min("dist").alias("dist"))
         return topk_per_query(hits, k)
@@ -297,6 +352,7 @@ class CellIndex:
         asked = self.probes(unit_vectors(queries, query_key, query_vec), k, nprobe, forest)
         sizes = self.centroids.filter(F.col("forest") == forest).select("cell", "n")
         total = sizes.agg(F.sum("n")).first()[0]
+        asked = asked.select("id", F.explode("cells").alias("cell"))
         per_query = asked.join(F.broadcast(sizes), "cell").groupBy("id").agg(F.sum("n").alias("n"))
         return per_query.agg(F.avg("n")).first()[0] / total
 

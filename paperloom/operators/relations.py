@@ -106,11 +106,15 @@ def newest_first(df: DataFrame, year: str = "year", key: str = "bibcode") -> Dat
 
 # --- unions ------------------------------------------------------------------------------------
 
-def union_samples(df: DataFrame, min_length: int = 100) -> DataFrame:
-    """Abstract of every row, and its full text where that is longer than ``min_length``."""
+def samples(min_length: int = 100) -> Column:
+    """The abstract, and the full text where it is longer than ``min_length``, as an array."""
     long_text = F.when(predicates.min_chars(F.col("text"), min_length), F.col("text"))
-    samples = F.array_compact(F.array("abstract", long_text))
-    return df.withColumn("value", F.explode(samples))
+    return F.array_compact(F.array("abstract", long_text))
+
+
+def union_samples(df: DataFrame, min_length: int = 100) -> DataFrame:
+    """One row per sample of every paper."""
+    return df.withColumn("value", F.explode(samples(min_length)))
 
 
 def union_ingest(seed: DataFrame, refs: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -18,17 +18,11 @@ def curated_papers(papers: DataFrame, words: Sequence[str] = fixed.OFF_TOPIC_WOR
 def curate_corpus(papers: DataFrame, words: Sequence[str] = fixed.OFF_TOPIC_WORDS, safe: bool = False,
                   min_bytes: int = 100) -> DataFrame:
     """Clean corpus samples in column ``value``: abstracts, and full texts that are long enough."""
-    samples = relations.union_samples(curated_papers(papers, words))
-    samples = samples.filter(predicates.non_blank(F.col("value")))
-    marked = text.strip_markup(text.slice_sections(F.col("value")))
-    samples = samples.withColumn("_marked", marked)
-    clean = samples.select(
-        *[c for c in papers.columns],
-        text.repair_bytes(F.col("_marked"), safe).alias("value"),
-        text.repaired_length(F.col("_marked"), safe).alias("_bytes"),
-    )
-    kept = clean.filter(F.contains("value", F.lit(" ")) & (F.col("_bytes") > min_bytes))
-    return kept.withColumn("value", text.strip(F.col("value"))).drop("_bytes")
+    # The cleaned samples leave a generator, so the filters on them are not evaluated below it again.
+    filled = F.filter(relations.samples(), lambda s: s != "")
+    cleaned = F.transform(filled, lambda s: text.corpus_sample(s, safe))
+    rows = curated_papers(papers, words).select(*papers.columns, F.inline(cleaned))
+    return rows.filter(F.col("spaced") & (F.col("n_bytes") > min_bytes)).drop("n_bytes", "spaced")
 
 
 def extract_bodies(papers: DataFrame, texts: DataFrame, words: Sequence[str] = fixed.BODY_OFF_TOPIC_WORDS) -> DataFrame:

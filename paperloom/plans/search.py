@@ -5,31 +5,34 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions import predicates, text
+from paperloom.functions.vectors import angular_distance
 from paperloom.operators import aggregates, features, neighbors, projections, relations, suggestions
 from paperloom.operators.windows import assign_dense_ids, topk_per_query
 from paperloom.sources.models import SearchIndex
-from paperloom.staging import broadcast_if_small, stage
+from paperloom.staging import stage
 
 SearchFunction = Callable[[DataFrame, int], DataFrame]
 
 
 def similar_documents(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, column: str = "text",
                       k: int = 10, max_features: int = 2**14) -> DataFrame:
-    """Top-k documents by TF-IDF cosine: ``(query_id, id, dist, rank)``.
+    """Top-k documents by TF-IDF cosine, among those that share a term: ``(query_id, id, dist, rank)``.
 
-    Query weights are one small table; every document meets it term by term in place, so only one partial
-    score per (query, document) of a task is shuffled.
+    A small query set is scored where the documents lie. A larger one meets them term by term, and one
+    partial score per (query, document) of a task is shuffled.
     """
     tokens = corpus.select(F.col(key).alias("id"), text.tfidf_tokens(F.col(column)).alias("tokens"))
     model = features.TfidfModel.from_table(aggregates.idf_table(tokens, max_features))
-    asked = queries.select(F.col(query_key).alias("query_id"), text.tfidf_tokens(F.col(column)).alias("tokens"))
-    wanted = broadcast_if_small(model.weights(asked, "query_id").withColumnRenamed("weight", "q"))
+    asked = queries.select(F.col(query_key).alias("id"), text.tfidf_tokens(F.col(column)).alias("tokens"))
+    found = neighbors.knn_sparse(model.transform(asked), model.transform(tokens), k)
+    if found is not None:
+        return found
+    wanted = model.weights(asked, "id").select("term", F.col("id").alias("query_id"), F.col("weight").alias("q"))
     scores = (
         model.weights(tokens, "id").join(wanted, "term")
         .groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("cos"))
     )
-    dist = F.sqrt(F.greatest(2 * (1 - F.col("cos")), F.lit(0.0)))
-    return topk_per_query(scores.select("query_id", "id", dist.alias("dist")), k)
+    return topk_per_query(scores.select("query_id", "id", angular_distance(F.col("cos")).alias("dist")), k)
 
 
 def processed_text(papers: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
@@ -44,11 +47,11 @@ def processed_text(papers: DataFrame, stop_words: Sequence[str] | None = None) -
 def build_index(papers: DataFrame, cells: int = 64, max_features: int = 2**14, variance: float = 0.6,
                 restarts: int = 1, stop_words: Sequence[str] | None = None) -> SearchIndex:
     """Number the papers densely, learn vocabulary and projection, assign the vectors to cells."""
-    numbered = assign_dense_ids(processed_text(papers, stop_words), ["bibcode"])
-    numbered = stage(numbered, "papers")
+    # Numbering comes first: range partitioning samples its input, which must be cheap to scan twice.
+    numbered = stage(processed_text(assign_dense_ids(papers, ["bibcode"]), stop_words), "papers")
     tokens = numbered.select("id", text.tfidf_tokens(F.col("abstract_processed")).alias("tokens"))
     tfidf = features.TfidfModel.from_table(aggregates.idf_table(tokens, max_features))
-    weighted = tfidf.transform(tokens).select("id", "features")
+    weighted = stage(tfidf.transform(tokens).select("id", "features"), "features")
     pca = projections.fit_pca(weighted, "features", variance)
     vectors = projections.project(weighted, pca, "id", "features")
     return SearchIndex(tfidf, pca, neighbors.CellIndex.build(vectors, cells, restarts=restarts), numbered)
@@ -77,7 +80,8 @@ def search_function(index: SearchIndex, nprobe: int = 8, exact: bool = False,
 
 def semantic_search(queries: DataFrame, papers: DataFrame, search: SearchFunction, k: int = 10) -> DataFrame:
     """Ranked papers per query: ``(query_id, rank, dist, id, bibcode, title, abstract)``."""
-    found = relations.lookup_ids(search(queries, k), papers.select("id", "bibcode", "title", "abstract"))
+    hits = stage(search(queries, k), "hits")  # few rows, whose number decides the join with the papers
+    found = relations.lookup_ids(hits, papers.select("id", "bibcode", "title", "abstract"))
     return found.select("query_id", "rank", "dist", "id", "bibcode", "title", "abstract")
 
 

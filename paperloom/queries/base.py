@@ -4,6 +4,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.staging import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,6 +19,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row: a file of one split is dealt to all cores."""
+        return spread(getattr(self, name))
+
 
 def query(name: str, sql: str | None = None):
     """Register ``build(tables) -> DataFrame`` under ``name``."""

@@ -19,7 +19,7 @@ from paperloom.streaming.search import stream_search
 
 def papers(t):
     """Documents as stored papers."""
-    return ingest._as_papers(t.documents.select(
+    return ingest._as_papers(t.spread("documents").select(
         F.col("doc_id").alias("id"), F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("bibcode"),
         F.col("source").alias("title"), F.col("lang").alias("pub"), F.col("text").alias("abstract"),
     ))
@@ -97,7 +97,7 @@ SHOUTED = [(", ", " Abstract~ "), (". ", "± <SUB>ﬁ</SUB> ")]
     plain AS (SELECT doc_id, length(c) / 3 AS n, {DECODE_STEP} AS v FROM hexed)
     SELECT doc_id, trim(v, {WS}) AS value FROM plain WHERE contains(v, ' ') AND n > 100""")
 def curate_corpus(t):
-    dressed = t.documents.select(
+    dressed = t.spread("documents").select(
         "doc_id", F.col("source").alias("title"), F.col("lang").alias("abstract"),
         text.replace_all(F.col("text"), SHOUTED).alias("text"))
     return corpus.curate_corpus(dressed, CURATED_WORDS).select("doc_id", "value")
@@ -116,7 +116,7 @@ BODIES_BAD = " OR ".join(f"contains(lang, {lit(w)}) OR contains(source, {lit(w)}
       ELSE {replaces('b.c', [(chr(10), ' '), ('- ', ''), (chr(12), ''), ('  ', ' ')])} END AS text
     FROM p LEFT JOIN b USING (doc_id)""")
 def extract_bodies(t):
-    docs = article(t.documents).join(t.labels, "doc_id", "left")
+    docs = article(t.spread("documents")).join(t.labels, "doc_id", "left")
     done = F.when(F.col("quality") == 1, "done").when(F.col("quality") == 0, "")
     stored = docs.select(
         F.col("doc_id").alias("bibcode"), "pub", done.alias("text"), F.col("source").alias("title"), F.col("lang").alias("abstract"))
@@ -240,7 +240,7 @@ def embed_papers(t):
 
 @query("evaluate_embeddings")
 def evaluate_embeddings(t):
-    docs = t.documents.select(
+    docs = t.spread("documents").select(
         F.concat("lang", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), "text")
     results = evaluate.evaluate_embeddings(docs, 100)
     scores = results["scores"]

@@ -40,7 +40,7 @@ BAD_SQL = " OR ".join(f"contains(text, {lit(w)}) OR contains(source, {lit(w)})"
 
 @query("contains_any", f"SELECT doc_id FROM documents WHERE NOT ({BAD_SQL})")
 def contains_any(t):
-    return relations.drop_off_topic(t.documents, ["text", "source"], BAD_WORDS).select("doc_id")
+    return relations.drop_off_topic(t.spread("documents"), ["text", "source"], BAD_WORDS).select("doc_id")
 
 
 @query("non_blank", f"""
@@ -267,7 +267,7 @@ def token_embedding_lookup(t):
     WITH l AS ({LEMMA_SQL}), tok AS (SELECT unnest({RAW_TOKENS_SQL}) AS token FROM documents)
     SELECT coalesce(lemma, token) AS lemma, count(*) AS n FROM tok LEFT JOIN l USING (token) GROUP BY ALL""")
 def lemma_lookup(t):
-    tokens = t.documents.select(F.explode(text.raw_tokens(F.col("text"))).alias("token"))
+    tokens = t.spread("documents").select(F.explode(text.raw_tokens(F.col("text"))).alias("token"))
     return relations.lemma_lookup(tokens, lemma_table(t)).groupBy("lemma").agg(F.count("*").alias("n"))
 
 
@@ -288,7 +288,7 @@ def dedup_first(t):
     p AS (SELECT tok, row_number() OVER (ORDER BY conv_id, turn, pos) - 1 AS p FROM tok)
     SELECT p // 128 AS block_id, string_agg(tok, ' ' ORDER BY p) AS c FROM p GROUP BY ALL HAVING count(*) = 128""")
 def pack_token_blocks(t):
-    rows = t.conversations.select("conv_id", "turn", text.tfidf_tokens(F.col("text")).alias("tokens"))
+    rows = t.spread("conversations").select("conv_id", "turn", text.tfidf_tokens(F.col("text")).alias("tokens"))
     blocks = windows.pack_token_blocks(rows, ["conv_id", "turn"])
     return blocks.select("block_id", F.array_join("tokens", " ").alias("c"))
 

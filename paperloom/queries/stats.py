@@ -10,7 +10,7 @@ from paperloom.queries.texts import TOKENS_SQL
 
 
 def _tokens(t):
-    return t.documents.select("doc_id", text.tfidf_tokens(F.col("text")).alias("tokens"))
+    return t.spread("documents").select("doc_id", text.tfidf_tokens(F.col("text")).alias("tokens"))
 
 
 @query("count_rows", """
@@ -90,7 +90,7 @@ def word_frequencies(t):
         - ln(greatest(p2, 1e-10)) * (c2 - c12) - ln(greatest(1 - p2, 1e-10)) * (total - c1 - (c2 - c12))) END AS score FROM p)
     SELECT first, second, n_pair, n_first, n_second, round(score, 4) AS score FROM s WHERE score > 30""")
 def bigram_collocations(t):
-    found = aggregates.bigram_collocations(t.documents, F.split("text", " "))
+    found = aggregates.bigram_collocations(t.spread("documents"), F.split("text", " "))
     return found.withColumn("score", F.round("score", 4))
 
 
@@ -135,7 +135,7 @@ def tfidf(t):
     SELECT item_id AS query_id, doc_id AS id, round(dist, 4) AS dist, rank, lang, source
     FROM r JOIN documents USING (doc_id) WHERE rank <= 10""")
 def similar_documents(t):
-    hits = search.similar_documents(t.benchmark, t.documents, "item_id", "doc_id")
+    hits = search.similar_documents(t.benchmark, t.spread("documents"), "item_id", "doc_id")
     docs = t.documents.select(F.col("doc_id").alias("id"), "lang", "source")
     return docs.join(hits, "id").select("query_id", "id", F.round("dist", 4).alias("dist"), "rank", "lang", "source")
 
@@ -154,7 +154,7 @@ NGRAMS = f"""
 
 
 def ngrams(t):
-    return aggregates.ngram_counts(t.documents, text.tfidf_tokens(F.col("text")))
+    return aggregates.ngram_counts(t.spread("documents"), text.tfidf_tokens(F.col("text")))
 
 
 @query("ngram_counts", f"WITH {NGRAMS} SELECT context, next, n, round(share, 4) AS share FROM grams")

@@ -19,7 +19,7 @@ def words_sql(column: str) -> str:
 
 
 def _text(t, expression, name="c"):
-    return t.documents.select("doc_id", expression.alias(name))
+    return t.spread("documents").select("doc_id", expression.alias(name))
 
 
 SPACED = [(". ", " \n  \n "), (", ", "   ")]
@@ -87,7 +87,7 @@ TAGS = [(r"</?[a-zA-Z!?][^>]*>", "")]
 @query("html_to_text", f"""
     SELECT page_id, {replaces(regexes('html', HIDDEN + TAGS), fixed.ENTITIES)} AS c FROM pages""")
 def html_to_text(t):
-    return t.pages.select("page_id", text.html_to_text(F.col("html")).alias("c"))
+    return t.spread("pages").select("page_id", text.html_to_text(F.col("html")).alias("c"))
 
 
 LINK_SQL = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -102,7 +102,7 @@ LINK_SQL = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     SELECT page_id, '{fixed.SERVICE_URL}' || link AS link, count(*) AS n
     FROM (SELECT page_id, unnest(kept) AS link FROM k) GROUP BY ALL""")
 def extract_links(t):
-    links = t.pages.select("page_id", F.explode(text.extract_links(F.col("html"), "th")).alias("link"))
+    links = t.spread("pages").select("page_id", F.explode(text.extract_links(F.col("html"), "th")).alias("link"))
     return links.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
@@ -161,7 +161,7 @@ DECODE_STEP = f"decode(unhex(replace(array_to_string(regexp_extract_all(c, '{VAL
     FROM ({staged(f"SELECT doc_id, {replaces('text', BROKEN)} AS c FROM documents", HEX_STEPS, "doc_id")})""")
 def repair_bytes(t):
     raw = text.replace_all(F.col("text"), BROKEN)
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", text.repair_bytes(raw).alias("c"), text.repaired_length(raw).alias("n_bytes"))
 
 
@@ -199,7 +199,7 @@ def article(df):
 
 @query("journal_body", journal_sql(f"SELECT doc_id, {PUB_SQL} AS pub, {BODY_SQL} AS c FROM documents", "doc_id"))
 def journal_body(t):
-    return article(t.documents).select("doc_id", text.journal_body(F.col("body"), F.col("pub")).alias("c"))
+    return article(t.spread("documents")).select("doc_id", text.journal_body(F.col("body"), F.col("pub")).alias("c"))
 
 
 BRACKETED = [(". ", ". [1, 2] "), (", ", " [3\n4] ]["), ("\n", " [x\n")]
@@ -250,7 +250,7 @@ def lemma_table(t):
     SELECT d.doc_id, coalesce(c, '') AS c FROM documents d
     LEFT JOIN (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS c FROM kept GROUP BY doc_id) k USING (doc_id)""")
 def normalized_with_lemmas(t):
-    out = normalize_with_lemmas(t.documents.select("doc_id", "text"), "doc_id", "text", lemma_table(t), STOP_WORDS)
+    out = normalize_with_lemmas(t.spread("documents").select("doc_id", "text"), "doc_id", "text", lemma_table(t), STOP_WORDS)
     return out.select("doc_id", F.col("processed").alias("c"))
 
 
@@ -260,7 +260,7 @@ def tfidf_tokens(t):
 
 
 def _chunks(t, chunks):
-    return t.documents.select("doc_id", F.posexplode(chunks).alias("chunk_ix", "chunk"))
+    return t.spread("documents").select("doc_id", F.posexplode(chunks).alias("chunk_ix", "chunk"))
 
 
 def _chunks_sql(chunks: str) -> str:

@@ -175,7 +175,7 @@ def lda_2d(t):
 @query("encode_text", """
     SELECT doc_id, 256 AS dim, CASE WHEN regexp_matches(lower(text), '[\\p{L}\\p{N}_]{2,}') THEN 1.0 END AS length FROM documents""")
 def encode_text(t):
-    encoded = features.encode_text(t.documents.select("doc_id", "text"), "text")
+    encoded = features.encode_text(t.spread("documents").select("doc_id", "text"), "text")
     return encoded.select(
         "doc_id", F.lit(256).alias("dim"),
         F.when(F.size("embedding") == 256, F.round(vectors.norm(F.col("embedding")), 4)).alias("length"))

@@ -48,6 +48,12 @@ def restage(df: DataFrame, previous: DataFrame, label: str = "stage") -> DataFra
     return staged
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores to all cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a count proves the side is small; Spark decides otherwise."""
     small = df.limit(max_rows + 1).count() <= max_rows
