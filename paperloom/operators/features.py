@@ -36,9 +36,8 @@ def times_matrix(indices: np.ndarray, values: np.ndarray, sizes: np.ndarray, m:
 class TfidfModel:
     """A vocabulary and its inverse document frequencies."""
 
-    def __init__(self, terms: list[str], idf: list[float]):
-        self.terms, self.idf = terms, idf
-        self._counter = None
+    def __init__(self, terms: list[str], idf: list[float], counter: CountVectorizerModel | None = None):
+        self.terms, self.idf, self._counter = terms, idf, counter
 
     @classmethod
     def from_table(cls, idf: DataFrame) -> "TfidfModel":

@@ -45,14 +45,15 @@ def processed_text(papers: DataFrame, stop_words: Sequence[str] | None = None) -
 
 
 def build_index(papers: DataFrame, cells: int = 64, max_features: int = 2**14, variance: float = 0.6,
-                restarts: int = 1, stop_words: Sequence[str] | None = None) -> SearchIndex:
+                components: int | None = None, restarts: int = 1,
+                stop_words: Sequence[str] | None = None) -> SearchIndex:
     """Number the papers densely, learn vocabulary and projection, assign the vectors to cells."""
     # Numbering comes first: range partitioning samples its input, which must be cheap to scan twice.
     numbered = stage(processed_text(assign_dense_ids(papers, ["bibcode"]), stop_words), "papers")
     tokens = numbered.select("id", text.tfidf_tokens(F.col("abstract_processed")).alias("tokens"))
     tfidf = features.TfidfModel.from_table(aggregates.idf_table(tokens, max_features))
     weighted = stage(tfidf.transform(tokens).select("id", "features"), "features")
-    pca = projections.fit_pca(weighted, "features", variance)
+    pca = projections.fit_pca(weighted, "features", variance, components)
     vectors = projections.project(weighted, pca, "id", "features")
     return SearchIndex(tfidf, pca, neighbors.CellIndex.build(vectors, cells, restarts=restarts), numbered)
 
@@ -87,8 +88,11 @@ def semantic_search(queries: DataFrame, papers: DataFrame, search: SearchFunctio
 
 def recommend(prompts: DataFrame, papers: DataFrame, search: SearchFunction, ngrams: DataFrame, n: int = 6,
               k: int = 10, context_chars: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Text suggestions from the end of each prompt, and papers similar to the whole prompt."""
-    tail = text.words(text.trim_context_chars(F.lower("prompt"), context_chars))
+    """Text suggestions from the end of each prompt, and papers similar to the whole prompt.
+
+    ``ngrams`` counts the tokens of :func:`tfidf_tokens`, which also split the prompts.
+    """
+    tail = text.tfidf_tokens(text.trim_context_chars(F.col("prompt"), context_chars))
     suggested = suggestions.suggest_next(prompts, ngrams, tail, n)
     asked = prompts.select(F.col("prompt_id").alias("query_id"), F.col("prompt").alias("query"))
     return suggested, semantic_search(asked, papers, search, k)

@@ -197,7 +197,7 @@ PROCESSED_TOKENS = f"regexp_extract_all(array_to_string({NORMAL}, ' '), {lit(fix
     FROM r JOIN documents USING (doc_id) QUALIFY rank <= 10""")
 def semantic_search(t):
     # With every component kept, the projected angle equals that of the centred TF-IDF vectors.
-    index = search.build_index(papers(t), cells=16, max_features=400, variance=0.999999, stop_words=STOP_WORDS)
+    index = search.build_index(papers(t), cells=16, max_features=400, components=400, stop_words=STOP_WORDS)
     find = search.search_function(index, nprobe=16, stop_words=STOP_WORDS)
     found = search.semantic_search(_queries(t), index.papers, find)
     return found.select("query_id", "id", "title", F.round("dist", 4).alias("dist"), "rank")
