@@ -69,13 +69,13 @@ def test_cell_index(points, spark, tmp_path, monkeypatch):
 
 
 def test_recall_at_candidate_share(spark):
-    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     asked = table.filter("id < 40").select("id", F.transform("vec", lambda x: x + F.randn(3) * 0.02).alias("vec"))
-    index = neighbors.CellIndex.build(table, 22)
-    exact, found = hits(neighbors.knn_exact(asked, table, 10)), hits(index.search(asked, 10, nprobe=10))
+    index = neighbors.CellIndex.build(table, 45)
+    exact, found = hits(neighbors.knn_exact(asked, table, 10)), hits(index.search(asked, 10, nprobe=16))
     recall = np.mean([len(set(found[q]) & set(v)) / len(v) for q, v in exact.items()])
-    assert index.candidate_share(asked, 10, 10) <= 0.6 and recall >= 0.8
+    assert index.candidate_share(asked, 10, 16) <= 0.6 and recall >= 0.8
 
 
 def test_knn_sparse_matches_join(spark, monkeypatch):
