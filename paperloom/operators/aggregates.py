@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import fixed, predicates, text
+from paperloom.staging import stage
 
 
 def count_rows(df: DataFrame, column: str) -> DataFrame:
@@ -69,6 +70,7 @@ def bigram_collocations(df: DataFrame, words: Column, threshold: float = 30.0) -
     """Adjacent word pairs whose Dunning log-likelihood score exceeds the threshold."""
     tokens = df.select(F.filter(words, lambda w: w != "").alias("w"))
     unigrams = tokens.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    unigrams = stage(unigrams, "unigrams")
     total = unigrams.agg(F.sum("n").alias("total"))
     pairs = F.arrays_zip(
         F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"),
