@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import fixed, predicates, text
+from paperloom.operators.windows import assign_dense_ids
 from paperloom.staging import stage
 
 
@@ -128,9 +129,8 @@ def idf_table(docs: DataFrame, max_features: int = 2**14, tokens: str = "tokens"
 
 def label_encode(df: DataFrame, column: str, label: str = "label") -> DataFrame:
     """Integer label per category, by the sorted order of the distinct categories."""
-    codes = df.select(column).distinct()
-    codes = codes.withColumn(label, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(codes, column)
+    codes = assign_dense_ids(df.select(column).distinct(), [column], label)
+    return df.join(codes.withColumn(label, F.col(label).cast("int")), column)
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from paperloom.functions.vectors import l2_normalize
 from paperloom.operators.features import sparse_columns, times_matrix
-from paperloom.operators.windows import topk_per_query
+from paperloom.operators.windows import assign_dense_ids, topk_per_query
 from paperloom.staging import broadcast_if_small, stage
 
 TILE = 1024
@@ -208,7 +208,8 @@ def knn_sparse(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame
     feature with a query are not ranked for it.
     """
     asked = sparse_columns(queries, "features", F.col("id"))
-    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("indices")).alias("entries")).first()
+    if size.n > MAX_QUERIES or (size.entries or 0) > MAX_QUERY_VALUES:
         return None
     asked = asked.toArrow().combine_chunks()
     ids = asked["id"].to_numpy()
@@ -301,12 +302,13 @@ class CellIndex:
 
     def probes(self, queries: DataFrame, k: int, nprobe: int, forest: int) -> DataFrame:
         """Nearest ``nprobe`` cells per query ``(id, vec, cells)``; more while they hold fewer than k rows."""
-        rows = self.centroids.filter(F.col("forest") == forest).orderBy("cell").toArrow().combine_chunks()
+        table = self.centroids.filter(F.col("forest") == forest)
+        if (table.agg(F.sum(F.size("centroid"))).first()[0] or 0) > MAX_CENTROID_VALUES:
+            raise ValueError("too many cells: the centroid table must stay small")
+        rows = table.orderBy("cell").toArrow().combine_chunks()
         if rows.num_rows == 0:
             return queries.select("id", "vec", F.array().cast("array<int>").alias("cells"))
         centers = _matrix(rows["centroid"].combine_chunks())
-        if centers.size > MAX_CENTROID_VALUES:
-            raise ValueError("too many cells: the centroid table must stay small")
         cell_ids, sizes = rows["cell"].to_numpy(), rows["n"].to_numpy()
         half = (centers**2).sum(axis=1) / 2
 
@@ -430,7 +432,7 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     )
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     # A tile of the right side holds one label, so each tile pair reduces to one sum per left point.
-    codes = sizes.withColumn("cell", F.row_number().over(Window.orderBy("label")).cast("int"))
+    codes = assign_dense_ids(sizes, ["label"], "cell").withColumn("cell", F.col("cell").cast("int"))
     right = pack_tiles(points.join(broadcast_if_small(codes), "label").select("cell", "id", "vec"))
     left = pack_tiles(_one_cell(points))
     salts = max(1, -(-labels.count() // ROWS_PER_SALT))
