@@ -1,10 +1,11 @@
 """Registration of queries and small builders for their SQL counterparts."""
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.staging import spread
+from paperloom.staging import shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +25,11 @@ class Tables:
         return spread(getattr(self, name))
 
 
+def scratch_path(t: Tables, name: str) -> str:
+    """A new folder for the files a query writes and reads back."""
+    return f"{shared_dir(t.spark)}/paperloom/{name}-{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None = None):
     """Register ``build(tables) -> DataFrame`` under ``name``."""
     def register(build: Callable[[Tables], DataFrame]):

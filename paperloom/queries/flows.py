@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fixed, text
 from paperloom.operators import aggregates, features
 from paperloom.plans import corpus, evaluate, ingest, profile, search
-from paperloom.queries.base import between, lit, query, replaces, staged
-from paperloom.queries.rows import _new_path
+from paperloom.queries.base import between, lit, query, replaces, scratch_path, staged
 from paperloom.queries.stats import ngrams
 from paperloom.queries.texts import (
     BODY_SQL, CATEGORIES, CATEGORY_ROWS, DECODE_STEP, HEX_STEPS, PUB_SQL, RAW_TOKENS_SQL, STOP_SQL, STOP_WORDS, WS,
@@ -56,14 +55,14 @@ def ingest_jsonl(t):
     return store.absent_rows(rows, stored, "bibcode", ["_row"]).select(*PAPER_COLUMNS)
 
 
-@query("stream_ingest", INGESTED.replace("QUALIFY", "WHERE true QUALIFY").replace("ORDER BY doc_id", "ORDER BY doc_id"))
+@query("stream_ingest", INGESTED)
 def streamed_ingest(t):
-    dump, target = _new_path(t, "dump"), _new_path(t, "papers")
-    # One sorted file keeps the line order of the fixture equal to the order of the ids.
-    metadata(t).repartitionByRange(1, "_row").sortWithinPartitions("_row").drop("_row").write.json(dump)
+    dump, target = scratch_path(t, "dump"), scratch_path(t, "papers")
+    # Range-partitioned, sorted files keep the line order of the dump equal to the order of the ids.
+    metadata(t).repartitionByRange("_row").sortWithinPartitions("_row").drop("_row").write.json(dump)
     ingest._as_papers(metadata(t).limit(0).select(F.col("id").alias("bibcode"))).write.parquet(target)
-    for run in range(2):  # the second stream starts from nothing and finds every key stored
-        stream_ingest(t.spark, dump, target, _new_path(t, "checkpoint"), CATEGORIES).awaitTermination()
+    for _ in range(2):  # the second stream starts from nothing and finds every key stored
+        stream_ingest(t.spark, dump, target, scratch_path(t, "checkpoint"), CATEGORIES).awaitTermination()
     return t.spark.read.parquet(target).select(*PAPER_COLUMNS)
 
 
@@ -158,7 +157,7 @@ def profile_corpus(t):
     SELECT term, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(DISTINCT doc_id))) + 1, 4) AS idf FROM tok GROUP BY term""")
 def save_model(t):
     tokens = t.documents.select("doc_id", F.split(F.concat("source", F.lit(" "), "lang"), " ").alias("tokens"))
-    path = _new_path(t, "vocabulary")
+    path = scratch_path(t, "vocabulary")
     models.save_vocabulary(t.spark, features.TfidfModel.from_table(aggregates.idf_table(tokens)), path)
     back = models.load_vocabulary(t.spark, path)
     return t.spark.createDataFrame(list(zip(back.terms, back.idf)), "term string, idf double").withColumn("idf", F.round("idf", 4))
@@ -222,10 +221,10 @@ def recommend(t):
 @query("stream_search")
 def streamed_search(t):
     index = search.build_index(papers(t), cells=16, max_features=512)
-    asked, sink = _new_path(t, "asked"), _new_path(t, "answers")
+    asked, sink = scratch_path(t, "asked"), scratch_path(t, "answers")
     _queries(t).write.json(asked)
     find = search.search_function(index, nprobe=16)
-    stream_search(t.spark, asked, index.papers, find, sink, _new_path(t, "checkpoint")).awaitTermination()
+    stream_search(t.spark, asked, index.papers, find, sink, scratch_path(t, "checkpoint")).awaitTermination()
     return t.spark.read.parquet(sink).select("query_id", "rank", "id", F.round("dist", 4).alias("dist"), "bibcode")
 
 

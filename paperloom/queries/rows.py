@@ -6,10 +6,9 @@ from paperloom import schema
 from paperloom.functions import fixed, predicates, text
 from paperloom.functions.vectors import csv_to_vector, vector_to_csv
 from paperloom.operators import relations, windows
-from paperloom.queries.base import lit, query
+from paperloom.queries.base import lit, query, scratch_path
 from paperloom.queries.texts import LEMMA_SQL, RAW_TOKENS_SQL, TOKENS_SQL, lemma_table
 from paperloom.sources import readers, sinks, store
-from paperloom.staging import shared_dir
 
 
 def _labelled(t):
@@ -19,12 +18,6 @@ def _labelled(t):
 LABELLED = "documents LEFT JOIN labels USING (doc_id)"
 
 
-def _new_path(t, name):
-    import uuid
-
-    return f"{shared_dir(t.spark)}/paperloom/{name}-{uuid.uuid4().hex}"
-
-
 # --- predicates --------------------------------------------------------------------------------
 
 @query("query_where", """
@@ -106,7 +99,7 @@ def drop_tokens_containing(t):
     SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, text AS abstract, lang AS categories, 'J, ' || n_chars AS journal
     FROM documents""")
 def read_papers_jsonl(t):
-    path = _new_path(t, "dump")
+    path = scratch_path(t, "dump")
     t.documents.select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("text").alias("abstract"),
         F.concat(F.lit("J, "), F.col("n_chars").cast("string")).alias("journal-ref"), F.col("lang").alias("categories"),
@@ -119,7 +112,7 @@ def read_papers_jsonl(t):
 @query("read_text_lines", """
     SELECT line AS value, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY ALL""")
 def read_text_lines(t):
-    path = _new_path(t, "lines")
+    path = scratch_path(t, "lines")
     t.documents.select(F.explode(F.split("text", "\n")).alias("value")).write.text(path)
     return readers.read_text_lines(t.spark, path).groupBy("value").agg(F.count("*").alias("n"))
 
@@ -128,14 +121,14 @@ def read_text_lines(t):
     SELECT trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), {lit(fixed.WHITESPACE)}) AS value, count(*) AS n
     FROM documents GROUP BY ALL""")
 def write_text_corpus(t):
-    path = _new_path(t, "corpus")
+    path = scratch_path(t, "corpus")
     sinks.write_text_corpus(t.documents.select(F.col("text").alias("value")), path)
     return readers.read_text_lines(t.spark, path).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query("read_markdown_dir", "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents")
 def read_markdown_dir(t):
-    path = _new_path(t, "markdown")
+    path = scratch_path(t, "markdown")
     t.documents.select("text").write.option("maxRecordsPerFile", 50).text(path)
     files = readers.read_markdown_dir(t.spark, path, "*.txt")
     return files.agg(F.sum(F.length("text")).alias("n_chars"))
@@ -151,7 +144,7 @@ def scan_columns(t):
       SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id))
     GROUP BY ALL""")
 def append_papers(t):
-    path = _new_path(t, "papers")
+    path = scratch_path(t, "papers")
     store.append_papers(t.documents.select("doc_id", "lang"), path)
     store.append_papers(t.documents.join(t.labels, "doc_id", "left_semi").select("doc_id", "lang"), path)
     return t.spark.read.parquet(path).groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
@@ -182,7 +175,7 @@ def delete_where(t):
 
 @query("write_scores_json", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def write_scores_json(t):
-    path = _new_path(t, "scores")
+    path = scratch_path(t, "scores")
     sinks.write_scores_json(t.embeddings.groupBy("label").agg(F.count("*").alias("n")), path)
     return t.spark.read.schema("label int, n long").json(path)
 
@@ -205,7 +198,7 @@ def vector_csv(t):
 
 @query("create_papers_table", f"SELECT 0 AS n_rows, {len(schema.PAPERS.fields)} AS n_columns")
 def create_papers_table(t):
-    path = _new_path(t, "created")
+    path = scratch_path(t, "created")
     store.create_papers_table(t.spark, "paperloom_created", path)
     table = t.spark.table("paperloom_created")
     return table.agg(F.count("*").cast("int").alias("n_rows"), F.lit(len(table.columns)).alias("n_columns"))

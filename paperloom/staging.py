@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 _local_dir = None
 
