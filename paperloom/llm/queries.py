@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import byte_bpe, fertility, languages, packing, secrets
+from paperloom.llm import byte_bpe, fertility, languages, packing, secrets, shingle_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op6_packing(docs: DataFrame) -> DataFrame:
 @query("op7_byte_bpe", "documents")
 def op7_byte_bpe(docs: DataFrame) -> DataFrame:
     return byte_bpe.encode(docs, vocabulary("byte_bpe_multi_50k.tiktoken").decode(), token_pattern(), digest=True)
+
+
+@query("op5_shingle_join", "documents")
+def op5_shingle_join(docs: DataFrame) -> DataFrame:
+    return shingle_join.near_duplicates(docs)

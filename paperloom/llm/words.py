@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 with np.errstate(over="ignore"):
     _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
-    _POWER = np.cumprod(np.concatenate([[1], np.full(LONG_WORD, 0xD6E8FEB86659FD93)]).astype(np.uint64))
+    _POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(LONG_WORD, 0xD6E8FEB86659FD93, np.uint64)]))
 
 
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
