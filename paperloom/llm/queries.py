@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import byte_bpe, fertility, languages, packing, secrets, shingle_join
+from paperloom.llm import byte_bpe, fertility, languages, packing, repeats, secrets, shingle_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op7_byte_bpe(docs: DataFrame) -> DataFrame:
 @query("op5_shingle_join", "documents")
 def op5_shingle_join(docs: DataFrame) -> DataFrame:
     return shingle_join.near_duplicates(docs)
+
+
+@query("op10_repeats", "documents")
+def op10_repeats(docs: DataFrame) -> DataFrame:
+    return repeats.digest(docs)
