@@ -12,6 +12,7 @@ columns of the input are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,14 +28,19 @@ END_ID = 1
 #: Pieces in a group that one task packs.
 GROUP = 20_000
 ROUNDS = 5
-#: Words of one worker's memory; longer words are encoded but not kept.
-KEPT_WORDS, KEPT_BYTES = 400_000, 48
+#: Words that a worker keeps between slices of text, and bytes of a slice.
+KEPT_WORDS, ENCODED_BYTES = 400_000, 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of a text by words between ASCII white space, which the vocabulary drops and never merges over."""
+    """Ids of texts by words between ASCII white space, which the vocabulary drops and never merges over.
+
+    Most words are Latin letters, then marks: two pieces that the vocabulary never joins either. Pieces are
+    lower-cased and encoded many at a time, since the last token of each is known by its word end. All other
+    words are encoded one by one. A worker process keeps the words that it met first for its later tasks.
+    """
 
     _kept: dict[bytes, bytes] = {}
     _of: int | None = None
@@ -44,33 +50,75 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         mark = zlib.crc32(definition.encode())
-        if WordEncoder._of != mark:  # worker processes are used again for other tasks
+        if WordEncoder._of != mark:
             WordEncoder._kept, WordEncoder._of = {}, mark
 
-    def __call__(self, raw: bytes) -> bytes:
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(pieces), 4000):
+            part = pieces[at : at + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, bounds = ids.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
+                out.update(zip(part, [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], strict=True))
+            else:
+                out.update(zip(part, self._one_by_one(part), strict=True))
+        return out
+
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out, split, other = {}, [], []
+        for raw in words:
+            word = raw.decode()
+            found = _LATIN.fullmatch(word)
+            if found:
+                split.append((raw, found[1].lower(), found[2]))
+            else:
+                other.append((raw, word))
+        pieces = {p for _, *both in split for p in both if p}
+        ids = self._pieces(sorted(pieces))
+        ids[""] = b""
+        for raw, letters, marks in split:
+            out[raw] = ids[letters] + ids[marks]
+        for at in range(0, len(other), 1000):
+            part = other[at : at + 1000]
+            out.update(zip([raw for raw, _ in part], self._one_by_one([word for _, word in part]), strict=True))
+        return out
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         kept = WordEncoder._kept
-        words = raw.split()
-        fresh = [w for w in set(words) if w not in kept]
-        extra = {}
-        if fresh:
-            if len(kept) + len(fresh) > KEPT_WORDS:
-                kept.clear()
-                fresh = list(set(words))
-            for at in range(0, len(fresh), 1000):
-                part = fresh[at : at + 1000]
-                for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    (kept if len(word) <= KEPT_BYTES and len(kept) < KEPT_WORDS else extra)[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([kept[w] if w in kept else extra[w] for w in words] if extra else map(kept.__getitem__, words))
+        words = [raw.split() for raw in texts]
+        fresh = set().union(*words) - kept.keys()
+        found = self._words(list(fresh)) if fresh else {}
+        kept.update(found)
+        try:
+            return [b"".join(map(kept.__getitem__, own)) for own in words]
+        finally:
+            for word in list(found):
+                if len(kept) <= KEPT_WORDS:
+                    break
+                del kept[word]
+
+
+#: Precomposed Latin letters, then marks that start no contraction and no special token.
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"-]*)")
 
 
 def _ids(batches, definition: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
     encode = WordEncoder(definition)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for first, last, data, offsets in text_slices(batch.column("text")):
+        for first, last, data, offsets in text_slices(batch.column("text"), ENCODED_BYTES):
             raw = data.tobytes()
-            yield batch.column("doc_id").slice(first, last - first), [encode(raw[a:b]) + end for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            encoded = encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+            yield batch.column("doc_id").slice(first, last - first), [x + end for x in encoded]
 
 
 def encode_pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
