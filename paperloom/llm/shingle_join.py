@@ -64,11 +64,17 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-SUMMARY = "doc_id long, n long, h1 long, h2 long, token long, sets long"
+def _bit_maps(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    bits = np.zeros((len(bounds) - 1, BITS), bool)
+    bits[np.repeat(np.arange(len(bits)), np.diff(bounds)), (tokens % np.uint64(BITS)).astype(np.int64)] = True
+    return [m.tobytes() for m in np.packbits(bits, axis=1)]
+
+
+SUMMARY = "doc_id long, n long, h1 long, h2 long, bits binary, token long, sets long"
 
 
 def summaries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A row for each text (size and hashes of its set), and partial counts of tokens that several sets share."""
+    """A row for each text (size, hashes and bit map of its set), and partial counts of shared tokens."""
 
     def run(batches):
         waiting, size, seen = [], 0, set()
@@ -77,13 +83,13 @@ def summaries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             found, number = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             often = number >= 3
             none = pa.nulls(int(often.sum()), pa.int64())
-            return _batch(SUMMARY, none, none, none, none, found[often].view(np.int64), number[often])
+            return _batch(SUMMARY, none, none, none, none, pa.nulls(len(none), pa.binary()), found[often].view(np.int64), number[often])
 
         for batch in batches:
             for ids, empty, tokens, bounds in _sets(batch, width):
                 h1, h2 = _hash_sums(tokens, bounds)
                 none = pa.nulls(len(ids), pa.int64())
-                yield _batch(SUMMARY, pa.array(ids, mask=empty), np.diff(bounds), h1.view(np.int64), h2.view(np.int64), none, none)
+                yield _batch(SUMMARY, pa.array(ids, mask=empty), np.diff(bounds), h1.view(np.int64), h2.view(np.int64), _bit_maps(tokens, bounds), none, none)
                 fresh = [i for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)) if key not in seen and not seen.add(key)]
                 waiting += [tokens[bounds[i] : bounds[i + 1]] for i in fresh]
                 size += len(tokens)
@@ -183,11 +189,11 @@ def buckets(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, BUCKET)
 
 
-SETS = "doc_id long, n long, bits binary, tokens binary"
+SETS = "doc_id long, tokens binary"
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Sets and bit maps of the texts whose id is in ``wanted(doc_id)``; a fixed-size filter spares the others."""
+    """Sets of the texts whose id is in ``wanted(doc_id)``; a filter of fixed size spares the others."""
 
     def packed(batches):
         for batch in batches:
@@ -201,11 +207,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFr
             known = passes(mix(batch.column("doc_id").fill_null(-1).to_numpy().view(np.uint64)), shared.value)
             batch = batch.filter(pa.array(known & ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)))
             for ids, _, tokens, bounds in _sets(batch, width):
-                n = np.diff(bounds)
-                bits = np.zeros((len(ids), BITS), bool)
-                bits[np.repeat(np.arange(len(ids)), n), (tokens % np.uint64(BITS)).astype(np.int64)] = True
-                maps = np.packbits(bits, axis=1)
-                yield _batch(SETS, ids, n, [m.tobytes() for m in maps], [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+                yield _batch(SETS, ids, [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
     return docs.mapInArrow(run, SETS).join(wanted, "doc_id", "left_semi")
 
@@ -227,8 +229,8 @@ def _maps(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, mapped: bool = False) -> DataFrame:
-    """The pairs ``(a, b)`` that link. Bit maps are compared first, whole sets only for what they leave."""
+def possible(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``(a, b)`` that ``sizes(doc_id, n, bits)`` can't rule out."""
 
     def bounded(batches):
         for batch in batches:
@@ -236,6 +238,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, mapped:
                 keep = _possible(*(batch.column(c).to_numpy() for c in ("na", "nb")), *(_maps(batch.column(c)) for c in ("ma", "mb")), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
+    one = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ma"))
+    two = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("mb"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(bounded, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``(a, b)`` that link, by the whole sets of their texts; only those texts are cut again."""
+
     def exact(batches):
         for batch in batches:
             keep = []
@@ -245,13 +255,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, mapped:
                 keep.append(100 * common >= percent * (len(one) + len(two) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = lambda names: sets.select(F.col("doc_id").alias("a"), *[F.col(c).alias(d + "a") for c, d in names])
-    two = lambda names: sets.select(F.col("doc_id").alias("b"), *[F.col(c).alias(d + "b") for c, d in names])
-    if not mapped:
-        light = [("n", "n"), ("bits", "m")]
-        pairs = pairs.join(one(light), "a").join(two(light), "b").mapInArrow(bounded, "a long, b long").distinct()
-    heavy = [("tokens", "t")]
-    return pairs.join(one(heavy), "a").join(two(heavy), "b").mapInArrow(exact, "a long, b long").distinct()
+    pairs = stage(pairs, "pairs")
+    wanted = stage(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    sets = stage(token_sets(texts, wanted, width), "sets")
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(exact, "a long, b long").distinct()
 
 
 def unresolved(members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -316,12 +324,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     members = stage(buckets(index_entries(texts, frequent, width, percent, most)), "buckets")
     whole = members.select("key", "doc_id", "n").unionByName(members.select("key", F.col("leader").alias("doc_id"), F.col("leader_n").alias("n")).distinct())
-    wanted = stage(whole.select("doc_id").distinct(), "wanted")
-    sets = stage(token_sets(texts, wanted, width), "sets")
+    sizes = stage(told.where("token is null and n > 0").select("doc_id", "n", "bits").join(whole.select("doc_id").distinct(), "doc_id", "left_semi"), "sizes")
 
     close = members.where(100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
     stars = close.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    links = stage(verified(stars, sets, percent).unionByName(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
+    links = stage(verified(possible(stars, sizes, percent), texts, width, percent).unionByName(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
     labels = stage(components(links), "labels")
 
     marked = whole.select("key", F.col("doc_id").alias("a"), "n").distinct().join(labels.withColumnRenamed("id", "a"), "a", "left").withColumn("label", F.coalesce("component", "a")).drop("component")
@@ -331,8 +338,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     dealt = marked.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
     dealt = dealt.select("key", "a", "label", "n", "own", "blocks", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
     dealt = dealt.withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).select("key", "block", "a", "label", "n")
-    bits = sets.select(F.col("doc_id").alias("a"), "bits")
-    more = verified(unresolved(dealt.join(bits, "a"), percent), sets, percent, mapped=True)
+    bits = sizes.select(F.col("doc_id").alias("a"), "bits")
+    more = verified(unresolved(dealt.join(bits, "a"), percent), texts, width, percent)
     found = stage(components(links.unionByName(more)), "components")
 
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
