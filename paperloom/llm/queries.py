@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import byte_bpe, fertility, languages, packing, repeats, secrets, shingle_join
+from paperloom.llm import byte_bpe, fertility, languages, near_vectors, packing, repeats, secrets, shingle_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,8 @@ def op5_shingle_join(docs: DataFrame) -> DataFrame:
 @query("op10_repeats", "documents")
 def op10_repeats(docs: DataFrame) -> DataFrame:
     return repeats.digest(docs)
+
+
+@query("op1_near_vectors", "embeddings")
+def op1_near_vectors(vectors: DataFrame) -> DataFrame:
+    return near_vectors.near_duplicates(vectors)
