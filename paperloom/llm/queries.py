@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import byte_bpe, fertility, languages, near_vectors, packing, repeats, secrets, shingle_join
+from paperloom.llm import byte_bpe, fertility, host_trust, languages, licenses, near_vectors, packing, repeats, secrets, shingle_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,13 @@ def op10_repeats(docs: DataFrame) -> DataFrame:
 @query("op1_near_vectors", "embeddings")
 def op1_near_vectors(vectors: DataFrame) -> DataFrame:
     return near_vectors.near_duplicates(vectors)
+
+
+@query("op8_host_trust", "pages", host_trust.judge_sql())
+def op8_host_trust(pages: DataFrame) -> DataFrame:
+    return host_trust.judge(pages.select("page_id", "url", "html"))
+
+
+@query("op9_licenses", "documents", licenses.licenses_sql())
+def op9_licenses(docs: DataFrame) -> DataFrame:
+    return licenses.find_licenses(docs)
