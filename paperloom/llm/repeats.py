@@ -3,7 +3,7 @@
 Any window of ``width`` words holds a whole block of ``width // 2`` words of every text cut into such blocks.
 The blocks are indexed; every rolling window of that length probes the index, through a filter of fixed size
 first. Where a probe meets a block elsewhere, the repeat is extended to all full windows around the hit on
-both sides, and these are compared exactly by 128-bit hashes: a window that also starts earlier is a repeat.
+both sides, and these are compared by 96-bit hashes: a window that also starts earlier is a repeat.
 Consecutive repeated windows join to maximal repeats.
 
 Repeats within one batch of texts are settled there, so a passage that a third of all texts hold leaves a task
@@ -89,7 +89,7 @@ def repeated_filter(texts: DataFrame, blocks: np.ndarray, width: int = WIDTH) ->
     return build_filter(met.where("places > 1 and block = 1").select("h").mapInArrow(packed, "slice int, hashes binary"))
 
 
-PLACE = "h1 long, h2 long, doc_id long, place long, run long"
+PLACE = "h1 long, h2 int, doc_id long, place long, run long"
 
 
 def extended(texts: DataFrame, repeated: np.ndarray, width: int = WIDTH) -> DataFrame:
@@ -101,15 +101,17 @@ def extended(texts: DataFrame, repeated: np.ndarray, width: int = WIDTH) -> Data
     def places(ids, data, offsets, of, hashes):
         rolling = windows(hashes, block)
         at, owner = _inside(of, len(rolling), block)
-        hits = np.zeros(len(hashes) + width, np.int64)
-        hits[at[passes(rolling[at], shared.value)]] = 1
-        before = np.concatenate([[0], np.cumsum(hits)])
+        at = at[(at - of[owner[at]]) % block == 0]
+        hits = np.zeros(len(hashes) + width, bool)
+        hits[at[passes(rolling[at], shared.value)]] = True
+        # A repeated window holds a block of its own text, or two, and that content is repeated too.
         at, owner = _inside(of, len(hashes) - width + 1, width)
-        at = at[before[at + width - block + 1] > before[at]]
+        past = (at - of[owner[at]]) % block
+        at = at[hits[at + (block - past) % block] & ((past > 0) | hits[at + block])]
         with np.errstate(over="ignore"):
             h1 = mix(rolling[at] * np.uint64(0x9E3779B97F4A7C15) + rolling[at + block])
             other = windows(hashes, block, seed=1)
-            h2 = mix(other[at] * np.uint64(0xC2B2AE3D27D4EB4F) + other[at + block])
+            h2 = mix(other[at] * np.uint64(0xC2B2AE3D27D4EB4F) + other[at + block]).astype(np.uint32).view(np.int32)
         raw = data.tobytes()
         marks = np.array([zlib.crc32(raw[a:b]) >> 1 for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
         text = owner[at]
@@ -128,13 +130,13 @@ def extended(texts: DataFrame, repeated: np.ndarray, width: int = WIDTH) -> Data
         edge[1:-1] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
         begin = np.flatnonzero(edge[:-1])
         end = np.flatnonzero(edge)[1:] - 1
-        yield mix(doc[begin].view(np.uint64)), np.zeros(len(begin), np.uint64), doc[begin], place[begin], place[end] - place[begin] + 1
+        yield mix(doc[begin].view(np.uint64)), np.zeros(len(begin), np.int32), doc[begin], place[begin], place[end] - place[begin] + 1
 
     def run(batches):
         for batch in batches:
             for part in _parts(batch):
                 for h1, h2, doc, place, runs in places(*part):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), h2.view(np.int64), doc, place, runs)], names=["h1", "h2", "doc_id", "place", "run"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), h2, doc, place, runs)], names=["h1", "h2", "doc_id", "place", "run"])
 
     return texts.mapInArrow(run, PLACE)
 
