@@ -105,10 +105,16 @@ def train_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, pas
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden section over its logarithm."""
-    if not len(labels):
+    """The temperature of least log loss, by golden section over its logarithm.
+
+    As n rows can't tell certainty from a chance of error of 1 / (n + 2), the labels are softened by that.
+    """
+    n, classes = logits.shape
+    if not n or classes < 2:
         return 1.0
-    loss = lambda t: -np.log(np.maximum(_softmax(logits / np.exp(t))[np.arange(len(labels)), labels], 1e-12)).mean()
+    target = np.full((n, classes), 1 / (n + 2) / (classes - 1))
+    target[np.arange(n), labels] = (n + 1) / (n + 2)
+    loss = lambda t: -(target * np.log(np.maximum(_softmax(logits / np.exp(t)), 1e-300))).sum(axis=1).mean()
     low, high, ratio = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
