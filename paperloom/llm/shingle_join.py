@@ -32,8 +32,8 @@ WIDTH, PERCENT = 5, 80
 FREQUENT_SETS, FREQUENT_LIST = 64, 1 << 17
 #: A text with more frequent prefix tokens than this is indexed by single ones.
 MOST_IN_PAIRS = 32
-#: Tokens counted at a time, texts of a block, bits of a bit map.
-FLUSH, BLOCK, BITS = 2_000_000, 2048, 2048
+#: Tokens counted at a time, texts of a block, least bits of a bit map.
+FLUSH, BLOCK, LEAST_BITS = 2_000_000, 2048, 256
 
 
 def needed_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -65,9 +65,14 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 
 
 def _bit_maps(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    bits = np.zeros((len(bounds) - 1, BITS), bool)
-    bits[np.repeat(np.arange(len(bits)), np.diff(bounds)), (tokens % np.uint64(BITS)).astype(np.int64)] = True
-    return [m.tobytes() for m in np.packbits(bits, axis=1)]
+    """Bit maps of at least two bits a token; the length is a power of two, so that longer ones can be folded."""
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        size = max(LEAST_BITS, 1 << int(2 * (b - a) - 1).bit_length()) if b > a else LEAST_BITS
+        bits = np.zeros(size, bool)
+        bits[(tokens[a:b] % np.uint64(size)).astype(np.int64)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
 
 
 SUMMARY = "doc_id long, n long, h1 long, h2 long, bits binary, token long, sets long"
@@ -217,16 +222,21 @@ def _least_common(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def _possible(na, nb, ma, mb, percent):
-    """False where the bit maps prove that the sets have too few tokens in common; ``ma`` is rows x 64-bit words."""
+def _possible(na, nb, ma: list[bytes], mb: list[bytes], percent) -> np.ndarray:
+    """False where the bit maps prove that the sets have too few tokens in common."""
     least = _least_common(na, nb, percent)
-    only_a = np.bitwise_count(ma & ~mb).sum(axis=1, dtype=np.int64)
-    only_b = np.bitwise_count(mb & ~ma).sum(axis=1, dtype=np.int64)
-    return (na - only_a >= least) & (nb - only_b >= least)
-
-
-def _maps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+    out = np.zeros(len(na), bool)
+    lengths = np.array([(len(x), len(y)) for x, y in zip(ma, mb, strict=True)], np.int64).reshape(-1, 2)
+    for la, lb in np.unique(lengths, axis=0):
+        at = np.flatnonzero((lengths == (la, lb)).all(axis=1))
+        for some in np.array_split(at, max(1, len(at) * int(max(la, lb)) // 8_000_000)):
+            one, two = (np.frombuffer(b"".join([m[i] for i in some.tolist()]), np.uint64).reshape(len(some), -1) for m in (ma, mb))
+            words = min(one.shape[1], two.shape[1])
+            one, two = (np.bitwise_or.reduce(x.reshape(len(some), -1, words), axis=1) for x in (one, two))
+            only_a = np.bitwise_count(one & ~two).sum(axis=1, dtype=np.int64)
+            only_b = np.bitwise_count(two & ~one).sum(axis=1, dtype=np.int64)
+            out[some] = (na[some] - only_a >= least[some]) & (nb[some] - only_b >= least[some])
+    return out
 
 
 def possible(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,7 +245,7 @@ def possible(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> Data
     def bounded(batches):
         for batch in batches:
             if len(batch):
-                keep = _possible(*(batch.column(c).to_numpy() for c in ("na", "nb")), *(_maps(batch.column(c)) for c in ("ma", "mb")), percent)
+                keep = _possible(*(batch.column(c).to_numpy() for c in ("na", "nb")), *(batch.column(c).to_pylist() for c in ("ma", "mb")), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     one = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ma"))
@@ -268,7 +278,7 @@ def unresolved(members: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def compared(table: pa.Table):
         key, block, ids, label, n = (table.column(c).to_numpy() for c in ("key", "block", "a", "label", "n"))
-        maps = _maps(table.column("bits").combine_chunks())
+        maps = table.column("bits").to_pylist()
         at, step = np.arange(len(key)), 0
         while True:
             step += 1
@@ -280,7 +290,7 @@ def unresolved(members: DataFrame, percent: int = PERCENT) -> DataFrame:
                 to = part + step
                 some = (label[part] != label[to]) & (100 * np.minimum(n[part], n[to]) >= percent * np.maximum(n[part], n[to]))
                 one, two = part[some], to[some]
-                some = _possible(n[one], n[two], maps[one], maps[two], percent)
+                some = _possible(n[one], n[two], [maps[i] for i in one.tolist()], [maps[i] for i in two.tolist()], percent)
                 one, two = ids[one[some]], ids[two[some]]
                 yield np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
 
@@ -323,6 +333,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     of = stage(rows.where("n > 0 and doc_id is not null").join(classes.select("rep", F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), F.expr("n = cn and h1 = c1 and h2 = c2")).where("rep <> doc_id").select("doc_id", "rep").distinct(), "classes")
 
     members = stage(buckets(index_entries(texts, frequent, width, percent, most)), "buckets")
+    # Near texts share many keys: of the buckets with the same members one is enough.
+    same = [F.sum(F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << 31))).alias(f"s{i}") for i in (1, 2)]
+    keys = members.groupBy("key", "leader", "leader_n").agg(F.count("*").alias("texts"), *same).groupBy("leader", "leader_n", "texts", "s1", "s2").agg(F.min("key").alias("key"))
+    members = stage(members.join(keys.select("key"), "key", "left_semi"), "members")
     whole = members.select("key", "doc_id", "n").unionByName(members.select("key", F.col("leader").alias("doc_id"), F.col("leader_n").alias("n")).distinct())
     sizes = stage(told.where("token is null and n > 0").select("doc_id", "n", "bits").join(whole.select("doc_id").distinct(), "doc_id", "left_semi"), "sizes")
 
