@@ -29,7 +29,7 @@ END_ID = 1
 GROUP = 20_000
 ROUNDS = 5
 #: Words that a worker keeps between slices of text, and bytes of a slice.
-KEPT_WORDS, ENCODED_BYTES = 400_000, 8_000_000
+KEPT_WORDS, ENCODED_BYTES = 500_000, 16_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -74,19 +74,11 @@ class WordEncoder:
         return out
 
     def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, split, other = {}, [], []
-        for raw in words:
-            word = raw.decode()
-            found = _LATIN.fullmatch(word)
-            if found:
-                split.append((raw, found[1].lower(), found[2]))
-            else:
-                other.append((raw, word))
-        pieces = {p for _, *both in split for p in both if p}
-        ids = self._pieces(sorted(pieces))
+        found = _LINE.findall(b"\n".join(words).decode())
+        other = [(raw, rest) for raw, (_, _, rest) in zip(words, found, strict=True) if rest]
+        ids = self._pieces(list({p.lower() for letters, marks, _ in found for p in (letters, marks) if p}))
         ids[""] = b""
-        for raw, letters, marks in split:
-            out[raw] = ids[letters] + ids[marks]
+        out = {raw: ids[letters.lower()] + ids[marks] for raw, (letters, marks, rest) in zip(words, found, strict=True) if not rest}
         for at in range(0, len(other), 1000):
             part = other[at : at + 1000]
             out.update(zip([raw for raw, _ in part], self._one_by_one([word for _, word in part]), strict=True))
@@ -107,8 +99,9 @@ class WordEncoder:
                 del kept[word]
 
 
-#: Precomposed Latin letters, then marks that start no contraction and no special token.
-_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"-]*)")
+#: A word for each line: precomposed Latin letters, then marks that start no contraction and no special token,
+#: or anything else.
+_LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"-]*)|(.+))$", re.MULTILINE)
 
 
 def _ids(batches, definition: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
