@@ -99,58 +99,72 @@ def _small_matrix(df: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray] |
 
 
 def pack_tiles(df: DataFrame, tile: int = TILE) -> DataFrame:
-    """``(cell, id, vec)`` rows to tiles ``(cell, tile, ids, vecs)``, within each partition."""
+    """``(cell, salt, id, vec)`` rows to tiles ``(cell, salt, ids, vecs)``, within each partition."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {}
+        waiting: dict[tuple[int, int], list] = {}
 
-        def emit(cell):
-            ids = np.concatenate([i for i, _ in waiting[cell]])
-            vecs = np.concatenate([v for _, v in waiting[cell]])
-            del waiting[cell]
+        def emit(group):
+            ids = np.concatenate([i for i, _ in waiting[group]])
+            vecs = np.concatenate([v for _, v in waiting[group]])
+            del waiting[group]
             for at in range(0, len(ids), tile):
                 yield pa.RecordBatch.from_pylist([{
-                    "cell": int(cell), "ids": ids[at:at + tile], "vecs": vecs[at:at + tile].ravel(),
+                    "cell": group[0], "salt": group[1], "ids": ids[at:at + tile], "vecs": vecs[at:at + tile].ravel(),
                 }], schema=arrow)
 
-        arrow = pa.schema([("cell", pa.int32()), ("ids", pa.list_(pa.int64())), ("vecs", pa.list_(pa.float64()))])
+        arrow = pa.schema([
+            ("cell", pa.int32()), ("salt", pa.int32()), ("ids", pa.list_(pa.int64())), ("vecs", pa.list_(pa.float64())),
+        ])
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            cells = batch.column("cell").to_numpy()
+            groups = np.stack([batch.column("cell").to_numpy(), batch.column("salt").to_numpy()], axis=1)
             ids, vecs = batch.column("id").to_numpy(), _matrix(batch.column("vec"))
-            for cell in np.unique(cells):
-                mine = cells == cell
-                waiting.setdefault(cell, []).append((ids[mine], vecs[mine]))
-                if sum(len(i) for i, _ in waiting[cell]) >= tile:
-                    yield from emit(cell)
-        for cell in list(waiting):
-            yield from emit(cell)
+            kinds, place = np.unique(groups, axis=0, return_inverse=True)
+            for number, group in enumerate(kinds.tolist()):
+                mine = place.ravel() == number
+                group = tuple(group)
+                waiting.setdefault(group, []).append((ids[mine], vecs[mine]))
+                if sum(len(i) for i, _ in waiting[group]) >= tile:
+                    yield from emit(group)
+        for group in list(waiting):
+            yield from emit(group)
 
-    return df.select("cell", "id", "vec").mapInArrow(pack, "cell int, ids array<long>, vecs array<double>")
+    if "salt" not in df.columns:
+        df = df.withColumn("salt", F.lit(0))
+    return df.select("cell", "salt", "id", "vec").mapInArrow(pack, "cell int, salt int, ids array<long>, vecs array<double>")
 
 
 def _tile_pairs(left: DataFrame, right: DataFrame, salts: DataFrame) -> DataFrame:
     """Every left tile next to every right tile of its cell.
 
-    ``salts`` holds ``(cell, n_salts)``: right tiles are dealt to the salts of their cell, left tiles are
-    copied to all of them, so the work of a large cell is shared out evenly.
+    ``salts`` holds ``(cell, n_left, n_right)``. Rows are dealt to salts by their id before they are packed,
+    so a task that is run again builds the same tiles; each pair of a left and a right salt is one key, and
+    the work of a large cell is shared out on both sides.
     """
-    right = right.join(F.broadcast(salts), "cell").withColumn(
-        "salt", F.pmod(F.xxhash64("ids"), F.col("n_salts")).cast("int")
-    ).select("cell", "salt", F.col("ids").alias("r_ids"), F.col("vecs").alias("r_vecs"))
-    left = left.join(F.broadcast(salts), "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"),
-        F.col("ids").alias("l_ids"), F.col("vecs").alias("l_vecs"),
-    )
-    return left.join(right, ["cell", "salt"])
+    def dealt(df: DataFrame, side: str, other: str) -> DataFrame:
+        salted = df.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col(f"n_{side}")).cast("int"))
+        tiles = pack_tiles(salted)
+        tiles = tiles.join(F.broadcast(salts), "cell").withColumnRenamed("salt", f"{side}_salt")
+        copies = F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(f"{other}_salt")
+        return tiles.select("cell", f"{side}_salt", copies, F.col("ids").alias(f"{side[0]}_ids"), F.col("vecs").alias(f"{side[0]}_vecs"))
+
+    return dealt(left, "left", "right").join(dealt(right, "right", "left"), ["cell", "left_salt", "right_salt"])
 
 
 def _one_cell(df: DataFrame) -> DataFrame:
     return df.withColumn("cell", F.lit(0))
 
 
-def _salts(cell_sizes: DataFrame) -> DataFrame:
-    return cell_sizes.select("cell", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int").alias("n_salts"))
+def _salts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Salts of each cell from the ``(cell, n)`` sizes of both sides."""
+    number = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / ROWS_PER_SALT)).cast("int")
+    both = left.select("cell", F.col("n").alias("l")).join(right.select("cell", F.col("n").alias("r")), "cell")
+    return both.select("cell", number("l").alias("n_left"), number("r").alias("n_right"))
+
+
+def _sizes(df: DataFrame) -> DataFrame:
+    return df.groupBy("cell").agg(F.count("*").alias("n"))
 
 
 def _tile_topk(pairs: DataFrame, k: int, skip_self: bool) -> DataFrame:
@@ -176,11 +190,13 @@ def _scan_topk(corpus: DataFrame, q_ids: np.ndarray, q_vecs: np.ndarray, k: int,
         for batch in batches:
             if batch.num_rows == 0 or len(q_ids) == 0:
                 continue
-            ids = batch.column("id").to_numpy()
-            dist = _angular(q_vecs, _matrix(batch.column("vec"), q_vecs.shape[1]))
-            if skip_self:
-                dist[q_ids[:, None] == ids[None, :]] = np.inf
-            best.add(q_ids, ids, dist)
+            ids, vecs = batch.column("id").to_numpy(), _matrix(batch.column("vec"), q_vecs.shape[1])
+            for r in range(0, len(ids), TILE):
+                for q in range(0, len(q_ids), TILE):
+                    dist = _angular(q_vecs[q:q + TILE], vecs[r:r + TILE])
+                    if skip_self:
+                        dist[q_ids[q:q + TILE, None] == ids[None, r:r + TILE]] = np.inf
+                    best.add(q_ids[q:q + TILE], ids[r:r + TILE], dist)
         yield best.batch()
 
     return corpus.select("id", "vec").mapInArrow(run, _HIT)
@@ -196,8 +212,8 @@ def knn_exact(
     small = _small_matrix(asked, MAX_QUERY_VALUES)
     if small is not None:
         return topk_per_query(_scan_topk(stored, *small, k, skip_self), k)
-    sizes = _one_cell(stored).groupBy("cell").agg(F.count("*").alias("n"))
-    pairs = _tile_pairs(pack_tiles(_one_cell(asked)), pack_tiles(_one_cell(stored)), _salts(sizes))
+    left, right = _one_cell(asked), _one_cell(stored)
+    pairs = _tile_pairs(left, right, _salts(_sizes(left), _sizes(right)))
     return topk_per_query(_tile_topk(pairs, k, skip_self), k)
 
 
@@ -342,8 +358,7 @@ class CellIndex:
             stored = self.cells.filter((F.col("forest") == row.forest) & F.col("cell").isin(wanted))
             sizes = self.centroids.filter(F.col("forest") == row.forest).select("cell", "n")
             by_cell = probed.select("id", "vec", F.explode("cells").alias("cell"))
-            tiles = pack_tiles(by_cell.repartition("cell", F.pmod("id", F.lit(8))))
-            found = _tile_topk(_tile_pairs(tiles, pack_tiles(stored), _salts(sizes)), k, skip_self)
+            found = _tile_topk(_tile_pairs(by_cell, stored, _salts(_sizes(by_cell), sizes)), k, skip_self)
             hits = found if hits is None else hits.unionByName(found)
         hits = hits.groupBy("query_id", "id").agg(F.min("dist").alias("dist"))
         return topk_per_query(hits, k)
@@ -378,9 +393,8 @@ def _all_tile_pairs(df: DataFrame, key: str, vec: str, keep_zero: bool) -> DataF
     else:
         points = unit_vectors(df, key, vec)
     points = _one_cell(points)
-    sizes = points.groupBy("cell").agg(F.count("*").alias("n"))
-    tiles = pack_tiles(points)
-    return _tile_pairs(tiles, tiles, _salts(sizes))
+    sizes = _sizes(points)
+    return _tile_pairs(points, points, _salts(sizes, sizes))
 
 
 def _reduce_tiles(pairs: DataFrame, schema: str, reduce_tile: Callable) -> DataFrame:
@@ -433,18 +447,14 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     # A tile of the right side holds one label, so each tile pair reduces to one sum per left point.
     codes = assign_dense_ids(sizes, ["label"], "cell").withColumn("cell", F.col("cell").cast("int"))
-    right = pack_tiles(points.join(broadcast_if_small(codes), "label").select("cell", "id", "vec"))
-    left = pack_tiles(_one_cell(points))
     salts = max(1, -(-labels.count() // ROWS_PER_SALT))
-    right = right.select(
-        "cell", F.pmod(F.xxhash64("ids"), F.lit(salts)).alias("salt"), F.col("ids").alias("r_ids"),
-        F.col("vecs").alias("r_vecs"),
-    )
-    left = left.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"),
-        F.col("ids").alias("l_ids"), F.col("vecs").alias("l_vecs"),
-    )
-    pairs = left.join(right, "salt")
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    right = pack_tiles(points.join(broadcast_if_small(codes), "label").select("cell", "id", "vec").withColumn("salt", salt))
+    left = pack_tiles(_one_cell(points).withColumn("salt", salt))
+    right = right.select("cell", F.col("salt").alias("r_salt"), every.alias("l_salt"), F.col("ids").alias("r_ids"), F.col("vecs").alias("r_vecs"))
+    left = left.select(F.col("salt").alias("l_salt"), every.alias("r_salt"), F.col("ids").alias("l_ids"), F.col("vecs").alias("l_vecs"))
+    pairs = left.join(right, ["l_salt", "r_salt"])
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -67,7 +67,7 @@ def expand_references(
 
 def token_embedding_lookup(tokens: DataFrame, table: DataFrame, token: str = "token_id") -> DataFrame:
     """Static embedding row of every token."""
-    return tokens.join(broadcast_if_small(table, 70_000), token)
+    return tokens.join(broadcast_if_small(table), token)
 
 
 def lemma_lookup(tokens: DataFrame, lemmas: DataFrame, token: str = "token") -> DataFrame:

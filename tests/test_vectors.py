@@ -177,13 +177,31 @@ def test_wide_pca_equals_exact(spark, monkeypatch):
     tokens = docs.select("doc_id", text.tfidf_tokens(F.col("text")).alias("tokens"))
     tfidf = features.TfidfModel.from_table(aggregates.idf_table(tokens, 300))
     vectors = tfidf.transform(tokens).select("doc_id", "features").cache()
-    exact = projections.fit_pca(vectors, "features", 0.6)
-    monkeypatch.setattr(projections, "MAX_EXACT_FEATURES", 100)
-    monkeypatch.setattr(projections, "_SKETCH_EXTRA", -180)  # starts too narrow and must widen
+    values, axes = np.linalg.eigh(projections.covariance(vectors, "features"))
+    values, axes = values[::-1], axes[:, ::-1]
+    share = values / values.sum()
+    keep = int(np.searchsorted(np.cumsum(share), 0.6, side="right")) + 1
+    monkeypatch.setattr(projections, "BLOCK", 16)  # the space must grow
+    monkeypatch.setattr(projections, "RESIDUAL", 1e-6)
     wide = projections.fit_pca(vectors, "features", 0.6)
-    assert wide.components.shape == exact.components.shape
-    assert np.allclose(wide.ratio[:5], exact.ratio[:5], rtol=1e-2)
-    assert abs(wide.ratio.sum() - exact.ratio.sum()) < 5e-3
+    assert wide.components.shape == (300, keep)
+    assert np.allclose(wide.ratio, share[:keep], rtol=1e-6)
+    assert np.allclose(np.abs((wide.components * axes[:, :keep]).sum(axis=0)[:5]), 1, atol=1e-6)
+    monkeypatch.setattr(projections, "MAX_DIRECTIONS", 40)
+    with pytest.raises(ValueError):
+        projections.fit_pca(vectors, "features", 0.6)
+
+
+def test_projection_is_blocked(spark, monkeypatch):
+    """A batch of 10,000 rows is multiplied in parts whose products stay within ``TASK_VALUES``."""
+    rng = np.random.default_rng(3)
+    w = rng.standard_normal((50, 20))
+    model = projections.PcaModel(np.zeros(50), w, np.ones(20) / 20)
+    rows = [(i, [float(x) for x in rng.standard_normal(50)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    monkeypatch.setattr(projections, "TASK_VALUES", 2_000)  # two rows at a time
+    got = {r.id: r.vec for r in projections.project(df, model, "id", "v").collect()}
+    assert len(got) == 300 and all(np.allclose(got[i], np.array(v) @ w) for i, v in rows)
 
 
 def test_lda(points):
