@@ -122,45 +122,53 @@ MARKUP_RULES = [
     ("\r", " "),
 ]
 
-# Fixed values. Byte sequences (hexadecimal UTF-8) replaced in corpus samples, in this order.
+# Fixed values. Byte sequences replaced in corpus samples, in this order.
 BYTE_RULES = [
-    ("efac81", "fi"),
-    ("efac83", "fi"),
-    ("e28099", "'"),
-    ("efac80", "ff"),
-    ("e288bc", "~"),
-    ("cebc6d", "micron"),
-    ("cebc206d", "micron"),
-    ("c2b56d", "micron"),
-    ("c2a9", ""),
-    ("cb87", ""),
-    ("e28892", "-"),
-    ("efac82", "fl"),
-    ("ceb1", "-alpha-"),
-    ("c397", "~"),
-    ("e28a99", "_sun"),
-    ("e28093", "-"),
-    ("a0", " "),
-    ("e280", ""),
-    ("9c", "'"),
-    ("9d", "'"),
-    ("94", ""),
-    ("98", "'"),
-    ("b2", ""),
-    ("c2b120", "+-"),
-    ("ce", ""),
-    ("b7", ""),
-    ("c2a7", "Section"),
-    ("e288", ""),
-    ("97", ""),
-    ("bb", ""),
-    ("09", ""),
-    ("2020202020", " "),
+    (b'\xef\xac\x81', "fi"),
+    (b'\xef\xac\x83', "fi"),
+    (b'\xe2\x80\x99', "'"),
+    (b'\xef\xac\x80', "ff"),
+    (b'\xe2\x88\xbc', "~"),
+    (b'\xce\xbcm', "micron"),
+    (b'\xce\xbc m', "micron"),
+    (b'\xc2\xb5m', "micron"),
+    (b'\xc2\xa9', ""),
+    (b'\xcb\x87', ""),
+    (b'\xe2\x88\x92', "-"),
+    (b'\xef\xac\x82', "fl"),
+    (b'\xce\xb1', "-alpha-"),
+    (b'\xc3\x97', "~"),
+    (b'\xe2\x8a\x99', "_sun"),
+    (b'\xe2\x80\x93', "-"),
+    (b'\xa0', " "),
+    (b'\xe2\x80', ""),
+    (b'\x9c', "'"),
+    (b'\x9d', "'"),
+    (b'\x94', ""),
+    (b'\x98', "'"),
+    (b'\xb2', ""),
+    (b'\xc2\xb1 ', "+-"),
+    (b'\xce', ""),
+    (b'\xb7', ""),
+    (b'\xc2\xa7', "Section"),
+    (b'\xe2\x88', ""),
+    (b'\x97', ""),
+    (b'\xbb', ""),
+    (b'\t', ""),
+    (b'     ', " "),
 ]
 
 # Fixed values. Section headings after which a corpus sample starts, tried in this order.
 SECTION_MARKERS = ["ABSTRACT", "Abstract", "INTRODUCTION"]
 
+# Fixed values. Markers around the main section of an article, by journal.
+REFERENCES = "References"
+SCIENCE_START = "\n\n1\n\n"
+SCIENCE_NUMBERS = [(f"\n{i}\n\n", "") for i in range(20)]
+ABSTRACT_LINE = "ABSTRACT\n"
+APJ_START, APJ_END = "Introduction\n", "\n2."
+MNRAS_START, MNRAS_END = "INTRODUCTION\n", "\n2 "
+
 # Fixed values. ASCII punctuation in code-point order; tokens that are a substring of it are dropped.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -183,22 +191,6 @@ BYTE_LEVEL_WORD = (
 )
 END_OF_TEXT = "<|endoftext|>"
 
-# Fixed values. Named character references decoded in web pages; the ampersand comes last.
-ENTITIES = [
-    ("&nbsp;", "\xa0"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-]
-
 # Fixed values. Abstract page of the literature service.
 ABSTRACT_URL = "https://ui.adsabs.harvard.edu/abs/%s/abstract"
 SERVICE_URL = "https://ui.adsabs.harvard.edu"

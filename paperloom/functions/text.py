@@ -2,6 +2,8 @@
 
 from collections.abc import Callable, Mapping, Sequence
 
+from html.entities import name2codepoint
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
 
@@ -65,8 +67,29 @@ def category_from_name(path: Column) -> Column:
 
 # --- markup ------------------------------------------------------------------------------------
 
+NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
 def decode_entities(c: Column) -> Column:
-    return replace_all(c, fixed.ENTITIES)
+    """Character references, named and numeric, each decoded once; unknown ones stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.lit(8)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.lit(8))).try_cast("int")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        character = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return (
+            F.when(name == "", F.concat(F.lit("&"), part))
+            .when(name.startswith("#"), F.concat(character, rest))
+            .otherwise(F.coalesce(F.concat(F.try_element_at(names, name), rest), F.concat(F.lit("&"), part)))
+        )
+
+    parts = F.split(c, "&")
+    whole = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def drop_hidden_html(c: Column) -> Column:
@@ -144,8 +167,7 @@ def strip_markup(c: Column) -> Column:
 def _repaired_bytes(c: Column, safe: bool) -> Column:
     """The repaired UTF-8 bytes, one character (U+0000-00FF) per byte."""
     c = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
-    for sequence, new in fixed.BYTE_RULES:
-        raw = bytes.fromhex(sequence)
+    for raw, new in fixed.BYTE_RULES:
         if safe and not _is_whole(raw):
             continue
         c = F.replace(c, F.lit(raw.decode("latin-1")), F.lit(new))
@@ -196,12 +218,13 @@ def remove_brackets(c: Column) -> Column:
 
 def journal_body(text: Column, pub: Column) -> Column:
     """Main section of an article by the rule of its journal; null for other journals."""
-    start, numbers = "\n\n1\n\n", [(f"\n{i}\n\n", "") for i in range(20)]
-    science = bind(_before(text, "References"), lambda head: F.when(
-        F.contains(head, F.lit(start)), remove_brackets(replace_all(F.split_part(head, F.lit(start), F.lit(2)), numbers))
+    start = F.lit(fixed.SCIENCE_START)
+    science = bind(_before(text, fixed.REFERENCES), lambda head: F.when(
+        F.contains(head, start), remove_brackets(replace_all(F.split_part(head, start, F.lit(2)), fixed.SCIENCE_NUMBERS))
     ).otherwise(head))
-    apj = _before(_between(_between(text, "ABSTRACT\n"), "Introduction\n"), "\n2.")
-    mnras = _before(_between(_between(text, "ABSTRACT\n"), "INTRODUCTION\n"), "\n2 ")
+    body = _between(text, fixed.ABSTRACT_LINE)
+    apj = _before(_between(body, fixed.APJ_START), fixed.APJ_END)
+    mnras = _before(_between(body, fixed.MNRAS_START), fixed.MNRAS_END)
     return (
         F.when(pub == fixed.SCIENCE, science)
         .when(pub == fixed.APJ, apj)
@@ -270,8 +293,11 @@ def chunk_none(c: Column) -> Column:
     return F.array(c)
 
 
-def chunker(mode: int | str) -> Callable[[Column], Column]:
-    """Chunking expression for a word count or a named mode; unknown modes keep the whole text."""
+def chunker(mode: int | str | Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Chunking expression for a word count, a named mode, or the caller's own expression; unknown modes keep
+    the whole text."""
+    if callable(mode):
+        return mode
     if isinstance(mode, int):
         return lambda c: chunk_words(c, mode)
     return {"sentence": chunk_sentences, "newline": chunk_newline}.get(mode, chunk_none)

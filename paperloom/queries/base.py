@@ -5,6 +5,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.shipping import ship
 from paperloom.staging import shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,11 @@ def scratch_path(t: Tables, name: str) -> str:
 def query(name: str, sql: str | None = None):
     """Register ``build(tables) -> DataFrame`` under ``name``."""
     def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return build(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return build

@@ -50,9 +50,15 @@ PAPER_COLUMNS = ["bibcode", "title", "abstract", "pub", "year", "categories"]
 
 @query("ingest_jsonl", INGESTED + " AND bibcode NOT IN (SELECT md5(text) FROM documents SEMI JOIN labels USING (doc_id))")
 def ingest_jsonl(t):
-    stored = t.documents.join(t.labels, "doc_id", "left_semi").select(F.md5("text").alias("bibcode"))
-    rows = ingest.metadata_to_papers(metadata(t), CATEGORIES)
-    return store.absent_rows(rows, stored, "bibcode", ["_row"]).select(*PAPER_COLUMNS)
+    """A dump is written, read and appended to stored papers; what was appended is returned."""
+    dump, target = scratch_path(t, "dump"), scratch_path(t, "papers")
+    metadata(t).repartitionByRange("_row").sortWithinPartitions("_row").drop("_row").write.json(dump)
+    stored = t.documents.join(t.labels, "doc_id", "left_semi").select(F.md5("text").alias("bibcode")).distinct()
+    ingest._as_papers(stored.withColumn("submitter", F.lit("stored"))).write.parquet(target)
+    ingest.ingest_jsonl(t.spark, dump, target, CATEGORIES)
+    known = stored.withColumnRenamed("bibcode", "old")
+    found = t.spark.read.parquet(target)
+    return found.join(known, found["bibcode"] == known["old"], "left_anti").select(*PAPER_COLUMNS)
 
 
 @query("stream_ingest", INGESTED)
@@ -173,12 +179,13 @@ PROCESSED_TOKENS = f"regexp_extract_all(array_to_string({NORMAL}, ' '), {lit(fix
 
 
 @query("semantic_search", f"""
-    WITH tok AS (SELECT doc_id, unnest({PROCESSED_TOKENS}) AS term FROM documents),
-    vocab AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY term ORDER BY tf DESC, term LIMIT 400),
+    WITH asked AS (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 100 = 0),
+    tok AS (SELECT doc_id, unnest({PROCESSED_TOKENS}) AS term FROM documents),
+    vocab AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY term ORDER BY tf DESC, term LIMIT 16384),
     idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM vocab),
     raw AS (SELECT doc_id, term, count(*) * idf AS w FROM tok JOIN idf USING (term) GROUP BY doc_id, term, idf),
     x AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw),
-    qtok AS (SELECT item_id, unnest({PROCESSED_TOKENS}) AS term FROM benchmark),
+    qtok AS (SELECT item_id, unnest({PROCESSED_TOKENS}) AS term FROM asked),
     qraw AS (SELECT item_id, term, count(*) * idf AS w FROM qtok JOIN idf USING (term) GROUP BY item_id, term, idf),
     q AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM qraw),
     mu AS (SELECT term, sum(w) / (SELECT count(*) FROM documents) AS m FROM x GROUP BY term),
@@ -186,7 +193,7 @@ PROCESSED_TOKENS = f"regexp_extract_all(array_to_string({NORMAL}, ' '), {lit(fix
     dx AS (SELECT doc_id, coalesce(sum(x.w * m), 0) AS xm, coalesce(sum(x.w * x.w), 0) AS xx
            FROM documents LEFT JOIN x USING (doc_id) LEFT JOIN mu USING (term) GROUP BY doc_id),
     dq AS (SELECT item_id, coalesce(sum(q.w * m), 0) AS qm, coalesce(sum(q.w * q.w), 0) AS qq
-           FROM benchmark LEFT JOIN q USING (item_id) LEFT JOIN mu USING (term) GROUP BY item_id),
+           FROM asked LEFT JOIN q USING (item_id) LEFT JOIN mu USING (term) GROUP BY item_id),
     xq AS (SELECT item_id, doc_id, sum(q.w * x.w) AS xq FROM q JOIN x USING (term) GROUP BY ALL),
     s AS (SELECT item_id, doc_id, (coalesce(xq, 0) - xm - qm + mm) / sqrt((xx - 2 * xm + mm) * (qq - 2 * qm + mm)) AS cos
           FROM dx CROSS JOIN dq CROSS JOIN mm LEFT JOIN xq USING (item_id, doc_id)),
@@ -195,22 +202,24 @@ PROCESSED_TOKENS = f"regexp_extract_all(array_to_string({NORMAL}, ' '), {lit(fix
       row_number() OVER (PARTITION BY item_id ORDER BY round(dist, 6), doc_id) AS rank
     FROM r JOIN documents USING (doc_id) QUALIFY rank <= 10""")
 def semantic_search(t):
-    # With every component kept, the projected angle equals that of the centred TF-IDF vectors.
-    index = search.build_index(papers(t), cells=16, max_features=400, components=400, stop_words=STOP_WORDS)
+    # The production width. Up to 1,200 texts that keeps every component, so for texts of the corpus the projected
+    # angle equals that of the centred TF-IDF vectors; every cell is probed.
+    asked = t.documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    index = search.build_index(papers(t), cells=16, components=1200, stop_words=STOP_WORDS)
     find = search.search_function(index, nprobe=16, stop_words=STOP_WORDS)
-    found = search.semantic_search(_queries(t), index.papers, find)
+    found = search.semantic_search(asked, index.papers, find)
     return found.select("query_id", "id", "title", F.round("dist", 4).alias("dist"), "rank")
 
 
 @query("build_index")
 def build_index(t):
-    index = search.build_index(papers(t), cells=32, max_features=2048)
+    index = search.build_index(papers(t), cells=32)
     return index.cells.centroids.select("forest", "cell", F.size("centroid").alias("n_components"), "n")
 
 
 @query("recommend")
 def recommend(t):
-    index = search.build_index(papers(t), cells=32, max_features=1024)
+    index = search.build_index(papers(t), cells=32)
     prompts = t.benchmark.select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
     suggested, similar = search.recommend(prompts, index.papers, search.search_function(index), ngrams(t))
     texts = suggested.select("prompt_id", F.lit("text").alias("kind"), "rank", F.col("suggestion").alias("value"))
@@ -220,7 +229,7 @@ def recommend(t):
 
 @query("stream_search")
 def streamed_search(t):
-    index = search.build_index(papers(t), cells=16, max_features=512)
+    index = search.build_index(papers(t), cells=16)
     asked, sink = scratch_path(t, "asked"), scratch_path(t, "answers")
     _queries(t).write.json(asked)
     find = search.search_function(index, nprobe=16)

@@ -1,5 +1,7 @@
 """Predicates, joins, orders and the papers table over the test tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paperloom import schema
@@ -126,12 +128,13 @@ def write_text_corpus(t):
     return readers.read_text_lines(t.spark, path).groupBy("value").agg(F.count("*").alias("n"))
 
 
-@query("read_markdown_dir", "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents")
+@query("read_markdown_dir", "SELECT '# ' || text || chr(10) AS text, true AS named FROM documents")
 def read_markdown_dir(t):
+    """One file for each document; Spark gives the names."""
     path = scratch_path(t, "markdown")
-    t.documents.select("text").write.option("maxRecordsPerFile", 50).text(path)
-    files = readers.read_markdown_dir(t.spark, path, "*.txt")
-    return files.agg(F.sum(F.length("text")).alias("n_chars"))
+    named = t.documents.select(F.concat(F.lit("# "), "text").alias("text"), F.col("doc_id").cast("string").alias("doc"))
+    named.repartition("doc").write.partitionBy("doc").text(path)
+    return readers.read_markdown_dir(t.spark, path, "*.txt").select("text", F.col("file").endswith(".txt").alias("named"))
 
 
 @query("scan_columns", "SELECT doc_id, lang, source FROM documents")
@@ -196,12 +199,19 @@ def vector_csv(t):
     return long.select("vec_id", "pos", F.round(F.col("x").cast("double") * 1e6).cast("long").alias("millionths"))
 
 
-@query("create_papers_table", f"SELECT 0 AS n_rows, {len(schema.PAPERS.fields)} AS n_columns")
+@query("create_papers_table", f"""
+    SELECT doc_id AS id, 'd' || doc_id AS bibcode, text AS abstract, {len(schema.PAPERS.fields)} AS n_columns FROM documents
+    WHERE doc_id % 2 = 1""")
 def create_papers_table(t):
-    path = scratch_path(t, "created")
-    store.create_papers_table(t.spark, "paperloom_created", path)
-    table = t.spark.table("paperloom_created")
-    return table.agg(F.count("*").cast("int").alias("n_rows"), F.lit(len(table.columns)).alias("n_columns"))
+    """Created, filled, created again and filled with other rows: only the second filling is there."""
+    name = f"paperloom_created_{uuid.uuid4().hex}"
+    for rest in (0, 1):
+        store.create_papers_table(t.spark, name, scratch_path(t, "created"))
+        empty = t.spark.table(name)
+        rows = t.documents.where(F.col("doc_id") % 2 == rest).select(F.col("doc_id").alias("id"), F.concat(F.lit("d"), "doc_id").alias("bibcode"), F.col("text").alias("abstract"))
+        empty.unionByName(rows, allowMissingColumns=True).select(*[F.col(f.name).cast(f.dataType) for f in empty.schema]).write.mode("append").saveAsTable(name)
+    table = t.spark.table(name)
+    return table.select("id", "bibcode", "abstract", F.lit(len(table.columns)).alias("n_columns"))
 
 
 # --- joins -------------------------------------------------------------------------------------
@@ -246,14 +256,13 @@ def join_by_position(t):
 
 
 @query("token_embedding_lookup", """
-    SELECT p_partkey, p_size AS token_id, round(CAST(embedding[1] AS DOUBLE), 4) AS x, round(CAST(embedding[64] AS DOUBLE), 4) AS y
+    SELECT p_partkey, p_size AS token_id, array_to_string([round(CAST(x AS DOUBLE) * 1000000)::BIGINT FOR x IN embedding], ',') AS millionths
     FROM part JOIN embeddings ON p_size = vec_id""")
 def token_embedding_lookup(t):
     tokens = t.part.select("p_partkey", F.col("p_size").cast("long").alias("token_id"))
     table = t.embeddings.select(F.col("vec_id").alias("token_id"), "embedding")
-    return relations.token_embedding_lookup(tokens, table).select(
-        "p_partkey", "token_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("x"),
-        F.round(F.col("embedding")[63].cast("double"), 4).alias("y"))
+    millionths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return relations.token_embedding_lookup(tokens, table).select("p_partkey", "token_id", F.array_join(millionths, ",").alias("millionths"))
 
 
 @query("lemma_lookup", f"""

@@ -25,6 +25,23 @@ def _text(t, expression, name="c"):
 SPACED = [(". ", " \n  \n "), (", ", "   ")]
 
 
+# The references that the test pages hold, and some more; the ampersand comes last.
+ENTITIES = [
+    ("&nbsp;", "\xa0"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&apos;", "'"),
+    ("&middot;", "·"),
+    ("&copy;", "©"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&hellip;", "…"),
+    ("&amp;", "&"),
+]
+
+
 @query("clean_text", f"""
     SELECT doc_id, trim({replaces('text', SPACED + [(chr(10), ' '), ('  ', ' ')])}, {WS}) AS c FROM documents""")
 def clean_text(t):
@@ -85,7 +102,7 @@ TAGS = [(r"</?[a-zA-Z!?][^>]*>", "")]
 
 
 @query("html_to_text", f"""
-    SELECT page_id, {replaces(regexes('html', HIDDEN + TAGS), fixed.ENTITIES)} AS c FROM pages""")
+    SELECT page_id, {replaces(regexes('html', HIDDEN + TAGS), ENTITIES)} AS c FROM pages""")
 def html_to_text(t):
     return t.spread("pages").select("page_id", text.html_to_text(F.col("html")).alias("c"))
 
@@ -97,7 +114,7 @@ LINK_SQL = r"""(?is)<a(?:\s[^>]*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     WITH h AS (
       SELECT page_id, list_transform(
         regexp_extract_all({regexes('html', HIDDEN)}, {lit(LINK_SQL)}, 1),
-        lambda x: {replaces("trim(x, chr(34) || chr(39))", fixed.ENTITIES)}) AS hrefs FROM pages),
+        lambda x: {replaces("trim(x, chr(34) || chr(39))", ENTITIES)}) AS hrefs FROM pages),
     k AS (SELECT page_id, list_filter(hrefs, lambda x: contains(lower(x), 'th')) AS kept FROM h)
     SELECT page_id, '{fixed.SERVICE_URL}' || link AS link, count(*) AS n
     FROM (SELECT page_id, unnest(kept) AS link FROM k) GROUP BY ALL""")
@@ -111,7 +128,7 @@ MARKDOWN_SQL = [
     (p.replace("(?dm)", "(?m)").replace("(?d)", ""), k.replace("$1", "\\1")) for p, k in text.MARKDOWN_RULES
 ]
 MARKDOWN_STEPS = [
-    replaces("c", MARKDOWN), regexes("c", MARKDOWN_SQL), replaces(regexes("c", HIDDEN + TAGS), fixed.ENTITIES),
+    replaces("c", MARKDOWN), regexes("c", MARKDOWN_SQL), replaces(regexes("c", HIDDEN + TAGS), ENTITIES),
     "replace(c, chr(10), ' ')", regexes("c", [(" +", " ")]), replaces("c", [("\\", ""), ("__", "")]),
 ]
 
@@ -151,7 +168,7 @@ VALID_UTF8 = (
 )
 HEX_STEPS = [
     "regexp_replace(hex(encode(c)), '(..)', '\\1 ', 'g')",
-    replaces("c", [(_hex(bytes.fromhex(a)), _hex(b.encode())) for a, b in fixed.BYTE_RULES]),
+    replaces("c", [(_hex(a), _hex(b.encode())) for a, b in fixed.BYTE_RULES]),
 ]
 DECODE_STEP = f"decode(unhex(replace(array_to_string(regexp_extract_all(c, '{VALID_UTF8}'), ''), ' ', '')))"
 

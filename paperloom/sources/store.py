@@ -27,8 +27,9 @@ def append_papers(df: DataFrame, path: str) -> None:
 
 
 def absent_rows(new: DataFrame, existing: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
-    """First row per key of ``new`` whose key is not stored. Both join sides hold a key only once."""
-    return dedup_first(new, [key], order).join(existing.select(key), key, "left_anti")
+    """First row per key of ``new`` whose key is not stored. Rows without a key are not taken: they would be
+    absent, and be inserted, each time."""
+    return dedup_first(new.where(F.col(key).isNotNull()), [key], order).join(existing.select(key), key, "left_anti")
 
 
 def insert_if_absent(
