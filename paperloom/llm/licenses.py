@@ -2,18 +2,21 @@
 
 Every line and every paragraph of a text is normalised to words of a-z and 0-9 and becomes a set of word
 bigrams. A set of n bigrams can only reach a coefficient t against a template of m bigrams if
-``m t / (2 - t) <= n <= m (2 - t) / t``: the bounds pick the templates that are compared at all. Everything
-runs in DataFrame functions.
+``m t / (2 - t) <= n <= m (2 - t) / t``: the bounds pick the templates that are compared at all, after words that any match must hold have
+picked the lines. Everything runs in DataFrame functions.
 
 Nulls and odd rows: a null or empty text has no notice; rows that share an id (null too) are one document;
 equal lines count each; an empty table gives an empty result; other columns are not read.
 """
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 LEAST = 0.7
+#: Words taken last as marks of a template; this list changes the work, never the result.
+COMMON = frozenset("a and any as at be by for from if in is it of on or that the this to was with you".split())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Short forms and notices of public licences.
@@ -41,6 +44,27 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def marker_words(known: list[tuple[str, list[str]]], least: float = LEAST) -> list[str]:
+    """Words of which every text that reaches some template holds at least one.
+
+    Such a text has at least c of a template's m bigrams, so it has one of any m - c + 1 of them, and so one of
+    the words that cover these. Long words come first, as they are rare; words that hold another are left out.
+    """
+    chosen: list[str] = []
+    for _, pairs in known:
+        m = len(pairs)
+        c = math.ceil(least * (m + math.ceil(m * least / (2 - least))) / 2 - 1e-9)
+        left = {tuple(p.split(" ")) for p in pairs}
+        words = sorted({w for p in left for w in p}, key=lambda w: (w in COMMON, not any(x in w for x in chosen), -len(w), w))
+        for word in words:
+            if len(left) < c:
+                break
+            if any(word in p for p in left):
+                left = {p for p in left if word not in p}
+                chosen.append(word)
+    return sorted({w for w in chosen if not any(x != w and x in w for x in chosen)}, key=lambda w: (-len(w), w))
+
+
 def words_of(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "))
     return F.split(plain, " ")
@@ -53,10 +77,14 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, lea
     low = {name: len(pairs) * least / (2 - least) for name, pairs in known}
     high = {name: len(pairs) * (2 - least) / least for name, pairs in known}
     text = F.col("text").cast("string")
+    # Texts without a marker word can't reach any template; the same holds for each line.
+    markers = F.array(*[F.lit(w) for w in marker_words(known, least)])
+    marked = lambda c: F.exists(F.array(F.lower(c)), lambda low: F.exists(markers, lambda w: F.contains(low, w)))
+    docs = docs.where(marked(text))
     lines = F.split(text, "\n")
     # A paragraph of one line is that line; only longer ones are units of their own.
     paragraphs = F.filter(F.split(text, "\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.concat(lines, paragraphs)).alias("unit"))
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.filter(F.concat(lines, paragraphs), marked)).alias("unit"))
     words = units.select("doc_id", words_of(F.col("unit")).alias("words"))
     # Not distinct yet, so only the lower bound holds here.
     words = words.where(F.size("words") - 1 >= min(low.values()))
