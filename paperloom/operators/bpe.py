@@ -7,8 +7,9 @@ the driver sees the merges, which the vocabulary size bounds.
 
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from paperloom.functions import fixed, text
 from paperloom.staging import restage, stage
@@ -76,7 +77,7 @@ def bpe_train(
         raise ValueError(f"at most {MAX_SYMBOLS} tokens")
     counted = df.select(F.explode(pre_tokens(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = counted.select(_byte_string(F.col("word")).alias("word"), "n")
-    counted = stage(counted.repartition(df.sparkSession.sparkContext.defaultParallelism), "words")
+    counted = stage(counted, "words")
     present = counted.select(F.explode(F.array_distinct(F.split("word", ""))).alias("b")).distinct().collect()
     shown = byte_characters()
     alphabet = sorted((shown[ord(r.b)], r.b) for r in present)
@@ -213,8 +214,14 @@ def bpe_encode(df: DataFrame, column: str, model: BpeModel, output: str = "token
 
 
 def bpe_decode(token_ids: Column, model: BpeModel) -> Column:
-    """Token ids back to text."""
-    tokens = F.array(*[F.lit(t) for t in model.tokens])
-    shown = F.array_join(F.transform(token_ids, lambda i: F.get(tokens, i)), "")
-    raw = F.translate(shown, "".join(byte_characters()), "".join(chr(b) for b in range(256)))
-    return F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8")
+    """Token ids back to text; ids that the model lacks are skipped."""
+    of = {c: b for b, c in enumerate(byte_characters())}
+    raw = [bytes(of[c] for c in token) for token in model.tokens]
+    shared = SparkSession.active().sparkContext.broadcast(raw)
+
+    @F.pandas_udf("string")
+    def decode(rows: pd.Series) -> pd.Series:
+        tokens = shared.value
+        return rows.map(lambda ids: None if ids is None else b"".join([tokens[i] for i in ids if 0 <= i < len(tokens)]).decode("utf-8", "replace"))
+
+    return decode(token_ids)

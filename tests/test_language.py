@@ -85,3 +85,21 @@ def test_year_histogram_edges(spark):
 
     assert bins([2000, 2000, 2003, 2004, None]) == [(2000, 2), (2001, 0), (2002, 0), (2003, 2)]
     assert bins([2000, 2000]) == []
+
+
+def test_sampling(spark):
+    """The drawn tokens follow the filtered distribution, and a seed repeats them."""
+    rows = [("a", "b", 60, 0.6), ("a", "c", 30, 0.3), ("a", "d", 10, 0.1), ("b", "a", 5, 1.0), ("c", "a", 5, 1.0), ("d", "x", 1, 1.0)]
+    grams = spark.createDataFrame(rows, "context string, next string, n long, share double")
+    prompts = spark.createDataFrame([(i, "z a") for i in range(300)] + [(999, "unknown")], "prompt_id long, p string")
+    knobs = dict(sequences=2, extra_tokens=1, temperature=1.0, top_p=0.95, repetition_penalty=1.0)
+    got = suggestions.sample_next(prompts, grams, F.split("p", " "), **knobs).collect()
+    drawn = [r.suggestion for r in got if r.prompt_id < 999]
+    assert len(got) == 602 and all(r.suggestion == "" for r in got if r.prompt_id == 999)
+    assert abs(drawn.count("b") / 600 - 0.6) < 0.07 and abs(drawn.count("d") / 600 - 0.1) < 0.05
+    again = suggestions.sample_next(prompts.repartition(7), grams, F.split("p", " "), **knobs).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    other = suggestions.sample_next(prompts, grams, F.split("p", " "), seed=1, **knobs).collect()
+    assert sorted(map(tuple, other)) != sorted(map(tuple, got))
+    longer = suggestions.sample_next(prompts.limit(5), grams, F.split("p", " "), extra_tokens=3, top_k=1, repetition_penalty=1e9).collect()
+    assert {r.suggestion for r in longer} == {"b a c"}  # after "a b a" the seen "b" gives way

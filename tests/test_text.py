@@ -65,7 +65,7 @@ def test_sections_and_markup(column):
 def _repaired(s: str) -> tuple[str, int]:
     raw = s.encode()
     for sequence, new in fixed.BYTE_RULES:
-        raw = raw.replace(bytes.fromhex(sequence), new.encode())
+        raw = raw.replace(sequence, new.encode())
     return raw.decode("utf-8", "ignore").replace("�", ""), len(raw)
 
 
