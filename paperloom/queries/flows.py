@@ -1,5 +1,6 @@
 """Whole jobs: ingest, curation, profiles, search, evaluation, streams."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed, text
@@ -8,7 +9,7 @@ from paperloom.plans import corpus, evaluate, ingest, profile, search
 from paperloom.queries.base import between, lit, query, replaces, scratch_path, staged
 from paperloom.queries.stats import ngrams
 from paperloom.queries.texts import (
-    BODY_SQL, CATEGORIES, CATEGORY_ROWS, DECODE_STEP, HEX_STEPS, PUB_SQL, RAW_TOKENS_SQL, STOP_SQL, STOP_WORDS, WS,
+    BODY_SQL, CATEGORIES, CATEGORY_ROWS, DECODE_STEP, HEX_STEPS, PUB_SQL, RAW_TOKENS_SQL, STOP_SQL, STOP_WORDS, TOKENS_SQL, WS,
     article, journal_sql,
 )
 from paperloom.sources import models, store
@@ -137,32 +138,55 @@ PROFILE_NOISE = " OR ".join(f"contains(k, {lit(w)})" for w in fixed.TITLE_NOISE)
 @query("profile_corpus", f"""
     WITH p AS (SELECT p_name AS title, p_brand AS pub, 1970 + p_size AS year FROM part WHERE NOT ({PROFILE_BAD})),
     b AS (SELECT min(year) AS lo, max(year) AS hi FROM p),
-    bins AS (SELECT unnest(range(lo, hi)) AS bin FROM b)
-    SELECT * FROM (SELECT 'publications' AS stat, pub AS k, count(*) AS n FROM p GROUP BY pub ORDER BY n DESC, pub LIMIT 15)
-    UNION ALL SELECT 'years', CAST(bin AS VARCHAR), count(year) FROM bins CROSS JOIN b LEFT JOIN p ON least(year, hi - 1) = bin GROUP BY bin
-    UNION ALL SELECT 'year_stats', 'n', count(*) FROM p
-    UNION ALL SELECT * FROM (SELECT 'words', k, count(*) AS n FROM (SELECT unnest(string_split(title, ' ')) AS k FROM p)
-      WHERE k <> '' AND NOT ({PROFILE_NOISE}) GROUP BY k ORDER BY n DESC, k LIMIT 200)""")
+    bins AS (SELECT unnest(range(lo, hi)) AS bin FROM b),
+    w AS (SELECT list_filter(string_split(title, ' '), lambda k: k <> '' AND NOT ({PROFILE_NOISE})) AS w FROM p),
+    u AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM w) GROUP BY word),
+    t AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM u),
+    g AS (SELECT first, second, count(*) AS n_pair FROM (
+            SELECT unnest(w[1 : len(w) - 1]) AS first, unnest(w[2 : len(w)]) AS second FROM w WHERE len(w) > 1) GROUP BY ALL),
+    c AS (SELECT g.*, t.n AS n, CAST(n_pair AS DOUBLE) AS k12, CAST(x.n AS DOUBLE) AS k1, CAST(y.n AS DOUBLE) AS k2
+          FROM g JOIN u x ON x.word = first JOIN u y ON y.word = second CROSS JOIN t),
+    q AS (SELECT *, k2 / n AS p, k12 / k1 AS p1, (k2 - k12) / greatest(n - k1, 1e-10) AS p2 FROM c),
+    s AS (SELECT *, CASE WHEN n <= k1 OR n <= k2 THEN 0 ELSE -2 * (
+        ln(greatest(p, 1e-10)) * k12 + ln(greatest(1 - p, 1e-10)) * (k1 - k12)
+        + ln(greatest(p, 1e-10)) * (k2 - k12) + ln(greatest(1 - p, 1e-10)) * (n - k1 - (k2 - k12))
+        - ln(greatest(p1, 1e-10)) * k12 - ln(greatest(1 - p1, 1e-10)) * (k1 - k12)
+        - ln(greatest(p2, 1e-10)) * (k2 - k12) - ln(greatest(1 - p2, 1e-10)) * (n - k1 - (k2 - k12))) END AS score FROM q)
+    SELECT * FROM (SELECT 'publications' AS stat, pub AS k, count(*) AS n, CAST(NULL AS DOUBLE) AS value FROM p GROUP BY pub ORDER BY n DESC, pub LIMIT 15)
+    UNION ALL SELECT 'years', CAST(bin AS VARCHAR), count(year), NULL FROM bins CROSS JOIN b LEFT JOIN p ON least(year, hi - 1) = bin GROUP BY bin
+    UNION ALL SELECT 'year_stats', k, n, round(v, 4) FROM (
+      SELECT count(*) AS n, unnest(['mean', 'std', 'min_year', 'max_year', 'lower_bound']) AS k,
+        unnest([avg(year), stddev_pop(year), min(year), max(year), avg(year) - 3 * stddev_pop(year)]) AS v FROM p)
+    UNION ALL SELECT * FROM (SELECT 'words', word, n, NULL FROM u ORDER BY n DESC, word LIMIT 200)
+    UNION ALL SELECT 'bigrams', first || ' ' || second, n_pair, round(score, 4) FROM s WHERE score > 30""")
 def profile_corpus(t):
     kept = t.part.select(
         F.col("p_name").alias("title"), F.col("p_type").alias("abstract"), F.col("p_brand").alias("pub"),
         (F.lit(1970) + F.col("p_size")).alias("year"))
     stats = profile.profile_corpus(kept, fixed.PROFILE_OFF_TOPIC_WORDS + ["red"])
-
-    def long(name, key):
-        return stats[name].select(F.lit(name).alias("stat"), key.alias("k"), F.col("n").cast("long").alias("n"))
-
-    out = long("publications", F.col("pub"))
-    for name, key in (("years", F.col("bin").cast("string")), ("year_stats", F.lit("n")), ("words", F.col("word"))):
-        out = out.unionByName(long(name, key))
+    years = ("mean", "std", "min_year", "max_year", "lower_bound")
+    spread = stats["year_stats"].select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("value")) for c in years])))
+    parts = {
+        "publications": stats["publications"].select(F.col("pub").alias("k"), "n", F.lit(None).cast("double").alias("value")),
+        "years": stats["years"].select(F.col("bin").cast("string").alias("k"), "n", F.lit(None).cast("double").alias("value")),
+        "year_stats": spread,
+        "words": stats["words"].select(F.col("word").alias("k"), "n", F.lit(None).cast("double").alias("value")),
+        "bigrams": stats["bigrams"].select(F.concat_ws(" ", "first", "second").alias("k"), F.col("n_pair").alias("n"), F.col("score").alias("value")),
+    }
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("stat"), "k", F.col("n").cast("long").alias("n"), F.round("value", 4).alias("value"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("save_model", """
-    WITH tok AS (SELECT doc_id, unnest(string_split(source || ' ' || lang, ' ')) AS term FROM documents)
-    SELECT term, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(DISTINCT doc_id))) + 1, 4) AS idf FROM tok GROUP BY term""")
+@query("save_model", f"""
+    WITH tok AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents),
+    v AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY term ORDER BY tf DESC, term LIMIT 16384)
+    SELECT term, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 4) AS idf FROM v""")
 def save_model(t):
-    tokens = t.documents.select("doc_id", F.split(F.concat("source", F.lit(" "), "lang"), " ").alias("tokens"))
+    """The vocabulary of all texts, saved and loaded; semantic_search saves and loads a whole index."""
+    tokens = t.spread("documents").select("doc_id", text.tfidf_tokens(F.col("text")).alias("tokens"))
     path = scratch_path(t, "vocabulary")
     models.save_vocabulary(t.spark, features.TfidfModel.from_table(aggregates.idf_table(tokens)), path)
     back = models.load_vocabulary(t.spark, path)
@@ -206,6 +230,9 @@ def semantic_search(t):
     # angle equals that of the centred TF-IDF vectors; every cell is probed.
     asked = t.documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     index = search.build_index(papers(t), cells=16, components=1200, stop_words=STOP_WORDS)
+    path = scratch_path(t, "index")
+    models.save_model(index, path)
+    index = models.load_model(t.spark, path)
     find = search.search_function(index, nprobe=16, stop_words=STOP_WORDS)
     found = search.semantic_search(asked, index.papers, find)
     return found.select("query_id", "id", "title", F.round("dist", 4).alias("dist"), "rank")
@@ -254,5 +281,51 @@ def evaluate_embeddings(t):
     scores = results["scores"]
     metrics = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in scores.columns]))
     long = scores.select(metrics.alias("m")).select("m.metric", "m.value")
-    inside = results["in_out"].select(F.concat(F.lit("in "), "cat").alias("metric"), F.col("in_sim").alias("value"))
-    return long.unionByName(inside)
+    cats = results["in_out"]
+    parts = [
+        long,
+        cats.select(F.concat(F.lit("in "), "cat").alias("metric"), F.col("in_sim").alias("value")),
+        cats.select(F.concat(F.lit("out "), "cat").alias("metric"), F.col("out_sim").alias("value")),
+        results["neighbors"].agg(F.count("*").cast("double").alias("value")).select(F.lit("neighbour edges").alias("metric"), "value"),
+        *[results[name].agg(F.var_samp("x").alias("value")).select(F.lit(f"{name} variance").alias("metric"), "value") for name in ("pca", "lda")],
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# --- callables in the place of named parts ------------------------------------------------------
+
+@query("chunk_callable", """
+    SELECT doc_id, unnest(range(len(c))) AS chunk_ix, unnest(c) AS chunk FROM (SELECT doc_id, string_split(text, ', ') AS c FROM documents)""")
+def chunk_callable(t):
+    own = text.chunker(lambda c: F.split(c, ", "))
+    return t.spread("documents").select("doc_id", F.posexplode(own(F.col("text"))).alias("chunk_ix", "chunk"))
+
+
+LETTERS = "aeiou"
+
+
+def letter_counts():
+    """An encoder that SQL can repeat: how often a text holds each vowel."""
+    return lambda texts: np.array([[t.count(c) for c in LETTERS] for t in texts], dtype=float).reshape(len(texts), len(LETTERS))
+
+
+@query("encode_callable", f"""
+    SELECT doc_id, {', '.join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE) AS {c}" for c in LETTERS)} FROM documents""")
+def encode_callable(t):
+    encoded = features.encode_text(t.spread("documents").select("doc_id", "text"), "text", make_encoder=letter_counts)
+    return encoded.select("doc_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(LETTERS)])
+
+
+@query("search_callable", """
+    SELECT item_id AS query_id, r + 1 AS rank, round(r / 10.0, 4)::DOUBLE AS dist, doc_id AS id, source AS title
+    FROM benchmark, (SELECT unnest(range(10)) AS r), documents WHERE doc_id = item_id + r""")
+def search_callable(t):
+    def next_ids(asked, k):
+        hits = asked.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("r"))
+        return hits.select("query_id", (F.col("query_id") + F.col("r")).alias("id"), (F.col("r") / 10.0).alias("dist"), (F.col("r") + 1).alias("rank"))
+
+    found = search.semantic_search(_queries(t), papers(t), next_ids)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("dist", 4).alias("dist"), "id", "title")
