@@ -29,7 +29,7 @@ END_ID = 1
 GROUP = 20_000
 ROUNDS = 5
 #: Words that a worker keeps between slices of text, and bytes of a slice.
-KEPT_WORDS, ENCODED_BYTES = 500_000, 16_000_000
+KEPT_WORDS, ENCODED_BYTES = 400_000, 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -88,12 +88,13 @@ class WordEncoder:
         kept = WordEncoder._kept
         words = [raw.split() for raw in texts]
         fresh = set().union(*words) - kept.keys()
-        found = self._words(list(fresh)) if fresh else {}
-        kept.update(found)
+        fresh = list(fresh)
+        for at in range(0, len(fresh), 50_000):
+            kept.update(self._words(fresh[at : at + 50_000]))
         try:
             return [b"".join(map(kept.__getitem__, own)) for own in words]
         finally:
-            for word in list(found):
+            for word in fresh:
                 if len(kept) <= KEPT_WORDS:
                     break
                 del kept[word]
