@@ -34,6 +34,8 @@ FREQUENT_SETS, FREQUENT_LIST = 64, 1 << 17
 MOST_IN_PAIRS = 32
 #: Tokens counted at a time, texts of a block, least bits of a bit map.
 FLUSH, BLOCK, LEAST_BITS = 2_000_000, 2048, 256
+#: Bits a token, before the next power of two, up to a set size; and beyond.
+BITS_A_TOKEN, LEAST_BITS_A_TOKEN = ((256, 8), (1024, 4)), 2
 
 
 def needed_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -65,10 +67,12 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 
 
 def _bit_maps(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Bit maps of at least two bits a token; the length is a power of two, so that longer ones can be folded."""
+    """Bit maps with room for the tokens, most for small sets; longer maps fold onto shorter ones."""
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        size = max(LEAST_BITS, 1 << int(2 * (b - a) - 1).bit_length()) if b > a else LEAST_BITS
+        n = max(1, b - a)
+        room = next((bits for most, bits in BITS_A_TOKEN if n <= most), LEAST_BITS_A_TOKEN)
+        size = max(LEAST_BITS, 1 << (room * n - 1).bit_length())
         bits = np.zeros(size, bool)
         bits[(tokens[a:b] % np.uint64(size)).astype(np.int64)] = True
         out.append(np.packbits(bits, bitorder="little").tobytes())
@@ -336,17 +340,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # Near texts share many keys: of the buckets with the same members one is enough.
     same = [F.sum(F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << 31))).alias(f"s{i}") for i in (1, 2)]
     keys = members.groupBy("key", "leader", "leader_n").agg(F.count("*").alias("texts"), *same).groupBy("leader", "leader_n", "texts", "s1", "s2").agg(F.min("key").alias("key"))
-    members = stage(members.join(keys.select("key"), "key", "left_semi"), "members")
-    whole = members.select("key", "doc_id", "n").unionByName(members.select("key", F.col("leader").alias("doc_id"), F.col("leader_n").alias("n")).distinct())
-    sizes = stage(told.where("token is null and n > 0").select("doc_id", "n", "bits").join(whole.select("doc_id").distinct(), "doc_id", "left_semi"), "sizes")
+    members = members.join(keys.select("key"), "key", "left_semi")
+    for name in ("doc_id", "leader"):  # equal sets stand for each other
+        members = members.join(of.select(F.col("doc_id").alias(name), "rep"), name, "left").withColumn(name, F.coalesce("rep", name)).drop("rep")
+    members = stage(members.where("doc_id <> leader").distinct(), "members")
+    whole = members.select("doc_id").unionByName(members.select(F.col("leader").alias("doc_id"))).distinct()
+    sizes = stage(told.where("token is null and n > 0").select("doc_id", "n", "bits").join(whole, "doc_id", "left_semi"), "sizes")
 
     close = members.where(100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
     stars = close.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     links = stage(verified(possible(stars, sizes, percent), texts, width, percent).unionByName(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
     labels = stage(components(links), "labels")
 
-    marked = whole.select("key", F.col("doc_id").alias("a"), "n").distinct().join(labels.withColumnRenamed("id", "a"), "a", "left").withColumn("label", F.coalesce("component", "a")).drop("component")
-    # One text of a set is enough to find the others' links, as equal sets have one label.
+    # The bucket's first text has met all others.
+    marked = members.select("key", F.col("doc_id").alias("a"), "n").distinct().join(labels.withColumnRenamed("id", "a"), "a", "left").withColumn("label", F.coalesce("component", "a")).drop("component")
     open_keys = marked.groupBy("key").agg(F.count("*").alias("texts"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     open_keys = open_keys.select("key", F.expr(f"cast(ceil(texts / {block}) as long)").alias("blocks"))
     dealt = marked.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
