@@ -28,8 +28,8 @@ END_ID = 1
 #: Pieces in a group that one task packs.
 GROUP = 20_000
 ROUNDS = 5
-#: Words that a worker keeps between slices of text, and bytes of a slice.
-KEPT_WORDS, ENCODED_BYTES = 400_000, 8_000_000
+#: Words and pieces that a worker keeps between slices of text, and bytes of a slice.
+KEPT_WORDS, KEPT_PIECES, ENCODED_BYTES = 300_000, 400_000, 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,6 +43,7 @@ class WordEncoder:
     """
 
     _kept: dict[bytes, bytes] = {}
+    _pieces_kept: dict[str, bytes] = {}
     _of: int | None = None
 
     def __init__(self, definition: str):
@@ -55,13 +56,15 @@ class WordEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         mark = zlib.crc32(definition.encode())
         if WordEncoder._of != mark:
-            WordEncoder._kept, WordEncoder._of = {}, mark
+            WordEncoder._kept, WordEncoder._pieces_kept, WordEncoder._of = {}, {}, mark
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
+    def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        known = WordEncoder._pieces_kept
+        out = {p: known[p] for p in pieces & known.keys()}
+        pieces = list(pieces - out.keys())
         for at in range(0, len(pieces), 4000):
             part = pieces[at : at + 4000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -71,12 +74,14 @@ class WordEncoder:
                 out.update(zip(part, [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], strict=True))
             else:
                 out.update(zip(part, self._one_by_one(part), strict=True))
+        if len(known) < KEPT_PIECES:
+            known.update((p, out[p]) for p in pieces)
         return out
 
     def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
         found = _LINE.findall(b"\n".join(words).decode())
         other = [(raw, rest) for raw, (_, _, rest) in zip(words, found, strict=True) if rest]
-        ids = self._pieces(list({p.lower() for letters, marks, _ in found for p in (letters, marks) if p}))
+        ids = self._pieces({p.lower() for letters, marks, _ in found for p in (letters, marks) if p})
         ids[""] = b""
         out = {raw: ids[letters.lower()] + ids[marks] for raw, (letters, marks, rest) in zip(words, found, strict=True) if not rest}
         for at in range(0, len(other), 1000):
