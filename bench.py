@@ -17,7 +17,8 @@ HEADLINE = [
     "curate_corpus", "ingest_jsonl", "insert_if_absent", "dedup_first", "assign_dense_ids", "pack_token_blocks",
     "term_vocabulary", "tfidf", "similar_documents", "ngram_counts", "bigram_collocations", "expand_references",
     "knn_exact", "knn_approx", "knn_graph", "pairwise_cosine", "silhouette", "category_cosine_matrix", "fit_pca",
-    "encode_text", "semantic_search",
+    "encode_text", "semantic_search", "build_index", "recommend", "stream_search", "evaluate_embeddings", "bpe_train", "bpe_encode",
+    "sample_next",
 ]
 
 

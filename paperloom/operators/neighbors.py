@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
@@ -437,8 +438,14 @@ def pairwise_cosine(df: DataFrame, key: str, vec: str) -> DataFrame:
     )
 
 
-def silhouette(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
-    """Mean silhouette with Euclidean distance; a point alone in its label scores 0."""
+def silhouette(df: DataFrame, key: str, vec: str, label: str, metric: str = "euclidean") -> DataFrame:
+    """Mean silhouette; a point alone in its label scores 0.
+
+    ``euclidean`` compares every pair of points. ``squaredEuclidean`` and ``cosine`` need one sum per label
+    and are linear in the points.
+    """
+    if metric != "euclidean":
+        return _linear_silhouette(df, vec, label, metric)
     labels = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"))
     points = df.select(
         F.col(key).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("vec"),
@@ -484,3 +491,13 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     widest = F.greatest("a", "b")
     score = F.when((F.col("n_own") == 1) | (widest == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / widest)
     return per_point.agg(F.avg(score).alias("silhouette"))
+
+
+def _linear_silhouette(df: DataFrame, vec: str, label: str, metric: str) -> DataFrame:
+    """By Spark's evaluator, which keeps a vector of sums for each label."""
+    v = F.transform(vec, lambda x: x.cast("double"))
+    codes = assign_dense_ids(df.select(label).distinct(), [label], "prediction")
+    points = df.select(F.col(label), (l2_normalize(v) if metric == "cosine" else v).alias("v")).where("v is not null").join(codes, label)
+    points = points.select(array_to_vector("v").alias("features"), F.col("prediction").cast("double").alias("prediction"))
+    score = ClusteringEvaluator(distanceMeasure=metric).evaluate(points)
+    return df.sparkSession.range(1).select(F.lit(float(score)).alias("silhouette"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from paperloom.functions import fixed, predicates, text
 from paperloom.operators import relations
-from paperloom.sources.store import update_by_key
+from paperloom.sources.sinks import write_text_corpus
+from paperloom.sources.store import delete_where, update_by_key
 
 
 def curated_papers(papers: DataFrame, words: Sequence[str] = fixed.OFF_TOPIC_WORDS) -> DataFrame:
@@ -25,6 +26,20 @@ def curate_corpus(papers: DataFrame, words: Sequence[str] = fixed.OFF_TOPIC_WORD
     return rows.filter(F.col("spaced") & (F.col("n_bytes") > min_bytes)).drop("n_bytes", "spaced")
 
 
+def curate_to_files(papers: DataFrame, corpus_path: str, papers_path: str, words: Sequence[str] = fixed.OFF_TOPIC_WORDS,
+                    safe: bool = False, min_bytes: int = 100) -> dict[str, int]:
+    """The whole job: write the lines of the corpus and the papers without the off-topic ones; return counts.
+
+    ``read`` papers, ``deleted`` ones (title and abstract, but off topic), ``kept`` ones that gave samples.
+    """
+    off_topic = predicates.non_blank(F.col("title"), F.col("abstract")) & predicates.contains_any(
+        [F.col(c) for c in ("title", "abstract", "text")], words)
+    delete_where(papers, off_topic).write.parquet(papers_path)
+    write_text_corpus(curate_corpus(papers, words, safe, min_bytes), corpus_path)
+    read, deleted = papers.agg(F.count("*"), F.count(F.when(off_topic, 1))).first()
+    return {"read": read, "deleted": deleted, "kept": curated_papers(papers, words).count()}
+
+
 def extract_bodies(papers: DataFrame, texts: DataFrame, words: Sequence[str] = fixed.BODY_OFF_TOPIC_WORDS) -> DataFrame:
     """New content of the papers table with the main section of the supplied texts filled in.
 

@@ -2,12 +2,14 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperloom.functions import text
 from paperloom.functions.vectors import vector_to_csv
 from paperloom.operators import aggregates, clusters, features, neighbors, projections
 from paperloom.operators.windows import assign_dense_ids
+from paperloom.sources.readers import read_markdown_dir
+from paperloom.sources.sinks import write_scores_json
 from paperloom.sources.store import update_by_key
 from paperloom.staging import stage
 
@@ -30,17 +32,24 @@ def chunk_documents(docs: DataFrame, chunker: Callable[[Column], Column], normal
     return aggregates.label_encode(chunks, "category")
 
 
-def evaluate_embeddings(docs: DataFrame, chunking: int | str = 100, encoder: Encoder = features.encode_text,
-                        normalize: bool = False, neighbors_k: int = 10) -> dict[str, DataFrame]:
-    """Scores, category similarities, projections and neighbour edges of the encoded chunks."""
+def evaluate_embeddings(
+    docs: DataFrame, chunking: int | str | Callable[[Column], Column] = 100, encoder: Encoder = features.encode_text,
+    normalize: bool = False, neighbors_k: int = 10, metric: str = "euclidean", cells: int | None = None, nprobe: int = 8,
+) -> dict[str, DataFrame]:
+    """Scores, category similarities, projections and neighbour edges of the encoded chunks.
+
+    The defaults compare all pairs of chunks twice. For many chunks, ``metric`` names a linear silhouette and
+    ``cells`` builds an index for the neighbours.
+    """
     chunks = chunk_documents(docs, text.chunker(chunking), normalize)
     points = encoder(chunks, "chunk").filter(F.col("embedding").isNotNull())
     points = stage(assign_dense_ids(stage(points, "chunks"), ["file", "chunk_ix"]), "points")
     scores = [
-        neighbors.silhouette(points, "id", "embedding", "label"),
+        neighbors.silhouette(points, "id", "embedding", "label", metric),
         clusters.davies_bouldin(points, "embedding", "label"),
         clusters.calinski_harabasz(points, "embedding", "label"),
     ]
+    index = None if cells is None else neighbors.CellIndex.build(points, cells, key="id", vec="embedding")
     return {
         "points": points,
         "scores": points.sparkSession.range(1).select(*[s.scalar().alias(s.columns[0]) for s in scores]),
@@ -48,5 +57,12 @@ def evaluate_embeddings(docs: DataFrame, chunking: int | str = 100, encoder: Enc
         "in_out": clusters.in_out_similarity(points, "embedding", "category"),
         "pca": projections.pca_2d(points, "id", "embedding"),
         "lda": projections.lda_2d(points, "id", "embedding", "label"),
-        "neighbors": neighbors.knn_graph(points, neighbors_k, key="id", vec="embedding"),
+        "neighbors": neighbors.knn_graph(points, neighbors_k, key="id", vec="embedding", index=index, nprobe=nprobe),
     }
+
+
+def evaluate_folder(spark: SparkSession, folder: str, scores_path: str, **options) -> dict[str, DataFrame]:
+    """Evaluate the markdown files of a folder and write the scores as JSON."""
+    results = evaluate_embeddings(read_markdown_dir(spark, folder), **options)
+    write_scores_json(results["scores"], scores_path)
+    return results

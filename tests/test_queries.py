@@ -6,10 +6,9 @@ from paperloom.queries import QUERIES, SQL
 from tests.compare import difference
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"bpe_train", "bpe_encode", "recommend", "evaluate_embeddings", "stream_search", "build_index"}  # covered elsewhere
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     if name in SQL:
         assert difference(spark, QUERIES[name], SQL[name], FOLDER) is None

@@ -162,6 +162,22 @@ def test_curate_corpus(spark):
     assert got == [("body", long.replace("planets", "fitabout 5")), ("keep", long)]
 
 
+def test_curate_to_files(spark, tmp_path):
+    long = "A long enough abstract about planets and their atmospheres, seen in transit with a small telescope at night."
+    papers = [("keep", "Title", long, None), ("blank", "", long, None), ("off", "A galaxy", long, None), ("blank off", None, "galaxy", None)]
+    df = spark.createDataFrame(papers, "bibcode string, title string, abstract string, text string")
+    counts = corpus.curate_to_files(df, str(tmp_path / "lines"), str(tmp_path / "papers"))
+    assert counts == {"read": 4, "deleted": 1, "kept": 1}
+    assert [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()] == [long]
+    assert {r.bibcode for r in spark.read.parquet(str(tmp_path / "papers")).collect()} == {"keep", "blank", "blank off"}
+
+
+def test_rows_without_a_key_are_not_inserted(spark):
+    new = spark.createDataFrame([(None, 1), ("a", 2), ("a", 3), ("b", 4)], "k string, v int")
+    stored = spark.createDataFrame([("b", 0)], "k string, v int")
+    assert [tuple(r) for r in store.absent_rows(new, stored, "k", ["v"]).collect()] == [("a", 2)]
+
+
 def test_extract_bodies(spark):
     papers = [
         ("a", "Science", "T", "abs", ""), ("b", "Science", "T", "abs", "done"), ("c", "Nature", "T", "abs", None),

@@ -178,3 +178,13 @@ def test_rows_to_json(spark):
 
     row = spark.createDataFrame([(None, "x")], "year int, title string").select(rows_to_json(["title", "year"])).first()[0]
     assert list(json.loads(row).items()) == [("title", "x"), ("year", None)]
+
+
+def test_character_references(column):
+    cases = [("a &amp; b", "a & b"), ("&#233;&#xE9;&eacute;&Eacute;", "éééÉ"), ("&amp;lt;", "&lt;"), ("&unknown; & &#; &#x;", "&unknown; & &#; &#x;"), ("&#128512;&#0;&#xD800;&#x110000;", "\U0001f600\ufffd\ufffd\ufffd"),
+             ("&&&lt;", "&&<"), ("no reference", "no reference"), ("", ""), (None, None), ("&apos;&quot;&nbsp;", "'\"\xa0"), ("&copy", "&copy")]
+    assert column(text.decode_entities, [c for c, _ in cases]) == [w for _, w in cases]
+
+
+def test_callable_chunker(column):
+    assert column(text.chunker(lambda c: F.split(c, "-")), ["a-b", None]) == [["a", "b"], None]

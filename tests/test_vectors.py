@@ -233,3 +233,21 @@ def test_encoders(spark):
 
     plugged = {r.i: list(r.embedding) for r in features.encode_text(df, "t", make, batch=2).collect()}
     assert plugged == {1: [15.0, 2.0], 2: [15.0, 2.0], 3: [0.0, 0.0], 4: [1.0, 0.0]}
+
+
+def test_linear_silhouette(points):
+    live = X[np.linalg.norm(X, axis=1) > 0]
+    labels = LABELS[np.linalg.norm(X, axis=1) > 0]
+    for metric, vectors, own in (("squaredEuclidean", X, LABELS), ("cosine", live / np.linalg.norm(live, axis=1)[:, None], labels)):
+        d = ((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2) / (2 if metric == "cosine" else 1)
+        scores = []
+        for i in range(len(vectors)):
+            mine = own == own[i]
+            if mine.sum() == 1:
+                scores.append(0.0)
+                continue
+            a = d[i][mine].sum() / (mine.sum() - 1)
+            b = min(d[i][own == o].mean() for o in set(own) if o != own[i])
+            scores.append((b - a) / max(a, b))
+        got = neighbors.silhouette(points, "id", "vec", "label", metric).first().silhouette
+        assert abs(got - np.mean(scores)) < 1e-6
