@@ -26,7 +26,7 @@ def collected(df, *names):
     return sorted(tuple(r) for r in df.select(*names).collect())
 
 
-@pytest.mark.parametrize("options", [{}, {"frequent_sets": 3, "most": 3, "block": 4}, {"frequent_sets": 3, "most": 40, "block": 8}])
+@pytest.mark.parametrize("options", [{}, {"frequent_sets": 3, "most": 6, "block": 4}])
 def test_shingle_join(spark, rows, docs, options):
     found = shingle_join.near_duplicates(docs, **options)
     assert collected(found, "doc_id", "n_shingles", "component_id") == cases.near_components(rows)
