@@ -8,6 +8,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_BYTES = 32 << 20
 
 _local_dir = None
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,17 +37,43 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table."""
     path = f"{shared_dir(df.sparkSession)}/paperloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._staged_at = path
     return staged
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+@contextmanager
+def discarding(spark: SparkSession):
+    """Remove the tables that are staged inside, but for those that the yielded function was given to keep.
+
+    What leaves the block must be staged and kept, or read none of these tables.
+    """
+    first, kept = len(_paths), set()
+
+    def keep(staged: DataFrame) -> DataFrame:
+        kept.add(staged._staged_at)
+        return staged
+
+    yield keep
+    inside = _paths[first:]
+    del _paths[first:]
+    for path in inside:
+        if path in kept:
+            _paths.append(path)
+        else:
+            _delete(spark, path)
+
+
 def restage(df: DataFrame, previous: DataFrame, label: str = "stage") -> DataFrame:
     """Stage ``df`` and remove the earlier staged table that it replaces."""
     staged = stage(df, label)
-    spark = df.sparkSession
-    old = spark._jvm.org.apache.hadoop.fs.Path(previous._staged_at)
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    _delete(df.sparkSession, previous._staged_at)
     return staged
 
 
