@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.llm import byte_bpe, fertility, host_trust, languages, licenses, near_vectors, packing, repeats, secrets, shingle_join
+from paperloom.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -12,7 +13,11 @@ SQL: dict[str, str] = {}
 
 def query(name: str, table: str, sql: str | None = None):
     def register(build):
-        QUERIES[name] = lambda spark, folder: build(spark.read.parquet(f"{folder}/{table}.parquet"))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return build(spark.read.parquet(f"{folder}/{table}.parquet"))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return build
