@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.llm import languages, packing, repeats, secrets, shingle_join
 from paperloom.llm.queries import vocabulary
-from paperloom.staging import stage
+from paperloom.shipping import ship
+from paperloom.staging import discarding, stage
 
 #: Texts whose language is less certain than this go, and those without a letter.
 LEAST_SCORE = 0.35
@@ -59,9 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with discarding(spark) as keep:  # what the stage itself has staged goes when its result is written
+            docs = keep(stage(step(spark, docs, sf_dir), f"pipeline-{name}"))
     return docs
 
 
