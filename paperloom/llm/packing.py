@@ -28,8 +28,8 @@ END_ID = 1
 #: Pieces in a group that one task packs.
 GROUP = 20_000
 ROUNDS = 5
-#: Words and pieces that a worker keeps between slices of text, and bytes of a slice.
-KEPT_WORDS, KEPT_PIECES, ENCODED_BYTES = 300_000, 400_000, 8_000_000
+#: Words and pieces that a task keeps between slices of text, and bytes of a slice.
+KEPT_WORDS, KEPT_PIECES, ENCODED_BYTES = 200_000, 250_000, 6_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,13 +39,9 @@ class WordEncoder:
 
     Most words are Latin letters, then marks: two pieces that the vocabulary never joins either. Pieces are
     lower-cased and encoded many at a time, since the last token of each is known by its word end. All other
-    words are encoded one by one. A worker process keeps the words that it met first for its later tasks.
+    words are encoded one by one. A task keeps the words and pieces that it meets first.
     """
 
-    _kept: dict[bytes, bytes] = {}
-    _pieces_kept: dict[str, bytes] = {}
-    _of: int | None = None
-
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -54,15 +50,14 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        mark = zlib.crc32(definition.encode())
-        if WordEncoder._of != mark:
-            WordEncoder._kept, WordEncoder._pieces_kept, WordEncoder._of = {}, {}, mark
+        self.kept: dict[bytes, bytes] = {}
+        self.kept_pieces: dict[str, bytes] = {}
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        known = WordEncoder._pieces_kept
+        known = self.kept_pieces
         out = {p: known[p] for p in pieces & known.keys()}
         pieces = list(pieces - out.keys())
         for at in range(0, len(pieces), 4000):
@@ -90,12 +85,12 @@ class WordEncoder:
         return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        kept = WordEncoder._kept
+        kept = self.kept
         words = [raw.split() for raw in texts]
         fresh = set().union(*words) - kept.keys()
         fresh = list(fresh)
-        for at in range(0, len(fresh), 50_000):
-            kept.update(self._words(fresh[at : at + 50_000]))
+        for at in range(0, len(fresh), 25_000):
+            kept.update(self._words(fresh[at : at + 25_000]))
         try:
             return [b"".join(map(kept.__getitem__, own)) for own in words]
         finally:
