@@ -29,7 +29,7 @@ END_ID = 1
 GROUP = 20_000
 ROUNDS = 5
 #: Words and pieces that a task keeps between slices of text, and bytes of a slice.
-KEPT_WORDS, KEPT_PIECES, ENCODED_BYTES = 200_000, 250_000, 6_000_000
+KEPT_WORDS, KEPT_PIECES, ENCODED_BYTES = 300_000, 400_000, 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,7 +42,8 @@ class WordEncoder:
     words are encoded one by one. A task keeps the words and pieces that it meets first.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, kept_words: int = KEPT_WORDS, kept_pieces: int = KEPT_PIECES):
+        self.most_words, self.most_pieces = kept_words, kept_pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,7 +70,7 @@ class WordEncoder:
                 out.update(zip(part, [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], strict=True))
             else:
                 out.update(zip(part, self._one_by_one(part), strict=True))
-        if len(known) < KEPT_PIECES:
+        if len(known) < self.most_pieces:
             known.update((p, out[p]) for p in pieces)
         return out
 
@@ -95,7 +96,7 @@ class WordEncoder:
             return [b"".join(map(kept.__getitem__, own)) for own in words]
         finally:
             for word in fresh:
-                if len(kept) <= KEPT_WORDS:
+                if len(kept) <= self.most_words:
                     break
                 del kept[word]
 
@@ -105,25 +106,26 @@ class WordEncoder:
 _LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"-]*)|(.+))$", re.MULTILINE)
 
 
-def _ids(batches, definition: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    encode = WordEncoder(definition)
+def _ids(batches, definition: str, end_id: int, slice_bytes: int, kept: dict[str, int]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    encode = WordEncoder(definition, **kept)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for first, last, data, offsets in text_slices(batch.column("text"), ENCODED_BYTES):
+        for first, last, data, offsets in text_slices(batch.column("text"), slice_bytes):
             raw = data.tobytes()
             encoded = encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
             yield batch.column("doc_id").slice(first, last - first), [x + end for x in encoded]
 
 
-def encode_pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, slice_bytes: int = ENCODED_BYTES, **kept: int) -> DataFrame:
     """Cut every document's ids, then ``end_id``, into pieces of ``capacity``; only longer documents are cut.
 
     ``definition`` is the text of a tokenizer file. With ``with_ids`` the pieces carry their ids (uint32).
+    ``slice_bytes``, ``kept_words`` and ``kept_pieces`` trade a task's memory for time (about 0.5 GB as they are).
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches):
-        for ids, encoded in _ids(batches, shared.value, end_id):
+        for ids, encoded in _ids(batches, shared.value, end_id, slice_bytes, kept):
             owner, piece, start, length, crc, raw = [], [], [], [], [], []
             for i, own in enumerate(encoded):
                 for k, at in enumerate(range(0, len(own), 4 * capacity)):
