@@ -13,6 +13,8 @@ from paperloom.staging import discarding, stage
 
 #: Texts whose language is less certain than this go, and those without a letter.
 LEAST_SCORE = 0.35
+#: Memory of a packing task beside what executors hold from the stages before.
+LEAN = {"slice_bytes": 6_000_000, "kept_words": 200_000, "kept_pieces": 250_000}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def redacted_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 4096 tokens."""
-    return packing.pack(packing.encode_pieces(docs, vocabulary("word_bpe_49k.json").decode()))
+    return packing.pack(packing.encode_pieces(docs, vocabulary("word_bpe_49k.json").decode(), **LEAN))
 
 
 STAGES = [
