@@ -1,6 +1,8 @@
 """Secrets in text: fixed patterns, and strings that a primed compressor finds new.
 
-A candidate is a long run of key characters in a sensitive context. Its novelty is the number of bytes it
+A candidate is a long run of key characters, cut at its equals signs, in a sensitive context: a word such as
+``key`` before it in its context, its own name in ``NAME=value`` included, or another candidate before it with
+only white space or quotes between (the lines of a PEM body). Its novelty is the number of bytes it
 adds to the zstandard frame of its surroundings, primed with a dictionary of the identifiers that surround
 candidates anywhere in the corpus, for each of its characters. Names and repeated values compress; secrets
 do not.
@@ -28,6 +30,11 @@ HEX = re.compile(r"[0-9a-f]+")
 #: A run of at least 16 of these bytes holds every base match of the last two kinds and every candidate.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|private|signature|access|session|login", re.ASCII | re.IGNORECASE)
+#: Values of a run that sets names to values, and what may part the lines of one secret.
+PART = re.compile(r"[A-Za-z0-9+/_.-]{16,}")
+BETWEEN = re.compile(r"""(?:[\s=.'"|>-]|\\[nr])*""")
+#: What follows a name that is set to a value.
+NAMES = re.compile(r"=[^=\s]")
 IDENTIFIER = r"[A-Za-z_]{4,}"
 #: Characters of context on each side, identifiers in the dictionary, least novelty in bytes a character.
 CONTEXT, IDENTIFIERS, NOVELTY = 160, 2000, 0.6
@@ -48,18 +55,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str]]:
     """``(start, end, before, after)`` of runs in a sensitive context that no base span touches."""
-    out = []
+    out, last = [], None
     for run in RUN.finditer(text):
-        value = run.group().strip("=.-")
-        start = run.start() + run.group().index(value) if value else run.start()
-        end = start + len(value)
-        if len(value) < 16 or sum(c.isdigit() for c in value) < 2 or not any(c.isalpha() for c in value):
-            continue
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-        if SENSITIVE.search(before[-64:].rpartition("\n")[2]):
-            out.append((start, end, before, after))
+        # A run without a long part is one candidate.
+        for part in list(PART.finditer(text, run.start(), run.end())) or [run]:
+            value = part.group().strip("=.-")
+            start = part.start() + part.group().index(value)
+            end = start + len(value)
+            if len(value) < 16:
+                continue
+            before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+            follows = last is not None and BETWEEN.fullmatch(text, last, start)
+            if not follows and not SENSITIVE.search(before):
+                continue
+            last = end
+            if not any(s < end and start < e for s, _, e in base):
+                out.append((start, end, before, after))
     return out
 
 
@@ -81,12 +92,31 @@ def suspicious(column: pa.Array):
             yield first + i, own.decode("utf-8")
 
 
+def _contexts(text: str) -> list[str]:
+    """The surroundings of candidates without other candidates, which may be secrets, but with names set to values."""
+    found = candidates(text, base_spans(text))
+    values = [(start, end) for start, end, _, _ in found if not NAMES.match(text, end)]
+    out, first = [], 0
+    for start, end, before, after in found:
+        for low, high in ((start - len(before), start), (end, end + len(after))):
+            while first < len(values) and values[first][1] <= start - CONTEXT:
+                first += 1
+            for a, b in values[first:]:
+                if a >= high:
+                    break
+                if b > low:
+                    out.append(text[low : max(low, a)])
+                    low = b
+            out.append(text[low:high])
+    return out
+
+
 def identifier_dictionary(docs: DataFrame, size: int = IDENTIFIERS) -> bytes:
     """The ``size`` identifiers most frequent around candidates of all texts, the most frequent last."""
 
     def contexts(batches):
         for batch in batches:
-            near = [part for _, text in suspicious(batch.column("text")) for _, _, before, after in candidates(text, base_spans(text)) for part in (before, after)]
+            near = [part for _, text in suspicious(batch.column("text")) for part in _contexts(text)]
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["near"])
 
     near = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(contexts, "near string")
