@@ -3,7 +3,7 @@
 Counts of words, symbols, repeated lines and repeated windows give the base rules. A public vocabulary
 measures characters per token, the share of byte-fallback tokens and the entropy of the tokens; medians over
 all texts of a language (of a script where the language is null) set the bands outside which a text of some
-length is rejected.
+length is rejected. A small group is judged by the bands of its script, those of a rare script by all texts.
 
 Nulls and odd rows: a null or empty text has no words and fails the base rule; a null language is judged by
 its script; repeated rows count each time and get the same answer; a null id is kept; an empty table gives
@@ -20,8 +20,10 @@ from paperloom.llm.words import mix, split_words, text_slices, windows, word_has
 from paperloom.staging import stage
 
 WINDOW = 8
-#: Texts with fewer tokens or groups with fewer texts aren't judged by bands.
+#: Medians are of texts with so many tokens; a group or script with fewer such texts has no bands of its own.
 LEAST_TOKENS, LEAST_TEXTS = 64, 50
+#: Texts with fewer words fail the base rule.
+LEAST_WORDS = 20
 #: Characters per token: times and share of the median; byte share: above the median; entropy: share of it.
 LONG, SHORT, BYTES, POOR = 2.5, 0.4, 0.25, 0.35
 KEPT_WORDS, KEPT_BYTES = 400_000, 48
@@ -29,7 +31,7 @@ KEPT_WORDS, KEPT_BYTES = 400_000, 48
 _symbol = np.zeros(256, bool)
 _symbol[list(b"#*$%&|<>")] = True
 
-MEASURES = "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+MEASURES = "doc_id long, grp string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 
 
 class WordTokens:
@@ -89,14 +91,15 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _script(text: bytes) -> str:
     """The script of most letters, by leading bytes: enough to tell vocabularies' coverage apart."""
-    lead = np.frombuffer(text, np.uint8)
+    lead = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    count = lambda first, last: int(lead[first : last + 1].sum())
     shares = {
-        "latin": int(((lead >= 65) & (lead < 123)).sum() + ((lead >= 0xC3) & (lead <= 0xC9)).sum()),
-        "greek-cyrillic": int(((lead >= 0xCD) & (lead <= 0xD4)).sum()),
-        "semitic": int(((lead >= 0xD6) & (lead <= 0xDF)).sum()),
-        "indic-thai": int((lead == 0xE0).sum()),
-        "cjk": int(((lead >= 0xE3) & (lead <= 0xED)).sum()),
-        "other": int((lead >= 0xEE).sum()) + int(((lead == 0xE1) | (lead == 0xE2)).sum()),
+        "latin": count(65, 122) + count(0xC3, 0xC9),
+        "greek-cyrillic": count(0xCD, 0xD4),
+        "semitic": count(0xD6, 0xDF),
+        "indic-thai": count(0xE0, 0xE0),
+        "cjk": count(0xE3, 0xED),
+        "other": count(0xEE, 0xFF) + count(0xE1, 0xE2),
     }
     return "script:" + max(shares, key=shares.get)
 
@@ -115,20 +118,21 @@ def measure(docs: DataFrame, model: bytes) -> DataFrame:
                 inner = (data & 0xC0) != 0x80
                 inner &= ~np.isin(data, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
                 raw = data.tobytes()
-                groups, lines, measured = [], [], []
+                groups, scripts, lines, measured = [], [], [], []
                 chars = _sums(inner, offsets)
                 for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                     own = raw[a:b]
                     worded = [x for x in own.split(b"\n") if x.strip()]
                     lines.append(len(worded) - len(set(worded)))
                     ids = tokens(own.split())
-                    groups.append(langs[first + i] or _script(own))
+                    scripts.append(_script(own))
+                    groups.append(langs[first + i] or scripts[-1])
                     if len(ids):
                         counts = np.unique(ids, return_counts=True)[1] / len(ids)
                         measured.append((len(ids), chars[i] / len(ids), float(tokens.fallback[ids].mean()), float(-(counts * np.log2(counts)).sum())))
                     else:
                         measured.append((0, 0.0, 0.0, 0.0))
-                columns = [batch.column("doc_id").slice(first, last - first), pa.array(groups, pa.string())]
+                columns = [batch.column("doc_id").slice(first, last - first), pa.array(groups, pa.string()), pa.array(scripts, pa.string())]
                 columns += [pa.array(x, pa.int64()) for x in (np.diff(of), chars, _sums(_symbol[data], offsets), lines, repeat_words(hashes, of), [m[0] for m in measured])]
                 columns += [pa.array([float(m[i]) for m in measured], pa.float64()) for i in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MEASURES.split(", ")])
@@ -140,19 +144,28 @@ def measure(docs: DataFrame, model: bytes) -> DataFrame:
 def judge(measures: DataFrame) -> DataFrame:
     """``measures`` with base_failed, fertile (inside every band of its group) and kept.
 
-    The medians of a group are read from one aggregation over all its texts; they meet the texts by a join
-    whose small side has one row for each group.
+    The medians of groups, scripts and all texts are read from one aggregation each; they meet the texts by joins
+    whose small sides have one row for each group or script of LEAST_TEXTS texts. Every text that passes the base
+    rule is measured against some band.
     """
     measures = stage(measures, "fertility")
     long = F.col("n_tokens") >= LEAST_TOKENS
-    middle = measures.where(long).groupBy("grp").agg(
-        F.count("*").alias("texts"), *[F.percentile_approx(c, 0.5, 1000).alias(f"mid_{c}") for c in ("chars_per_token", "byte_share", "token_entropy")]
-    )
+    told = long | (F.col("n_words") >= LEAST_WORDS)
+    names = ("chars_per_token", "byte_share", "token_entropy")
+
+    def middles(level: str) -> DataFrame:
+        found = measures.where(long).groupBy(level).agg(F.count("*").alias("texts"), *[F.percentile_approx(c, 0.5, 1000).alias(f"{level}_{c}") for c in names])
+        return found.where(F.col("texts") >= LEAST_TEXTS).drop("texts")
+
+    # Where no text is long, the medians of all that are judged.
+    over = [F.coalesce(*[F.percentile_approx(F.when(of, F.col(c)), 0.5, 1000) for of in (long, told)]).alias(f"all_{c}") for c in names]
+    judged = measures.join(middles("grp"), "grp", "left").join(F.broadcast(middles("script")), "script", "left").crossJoin(F.broadcast(measures.agg(*over)))
+    mid = {c: F.coalesce(f"grp_{c}", f"script_{c}", f"all_{c}") for c in names}
     inside = (
-        F.col("chars_per_token").between(SHORT * F.col("mid_chars_per_token"), LONG * F.col("mid_chars_per_token"))
-        & (F.col("byte_share") <= F.col("mid_byte_share") + BYTES) & (F.col("token_entropy") >= POOR * F.col("mid_token_entropy"))
+        F.col("chars_per_token").between(SHORT * mid["chars_per_token"], LONG * mid["chars_per_token"])
+        & (F.col("byte_share") <= mid["byte_share"] + BYTES) & (F.col("token_entropy") >= POOR * mid["token_entropy"])
     )
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = measures.join(middle, "grp", "left").withColumn("base_failed", failed)
-    judged = judged.withColumn("fertile", ~long | (F.coalesce("texts", F.lit(0)) < LEAST_TEXTS) | F.coalesce(inside, F.lit(True)))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("fertile")).drop("texts", "mid_chars_per_token", "mid_byte_share", "mid_token_entropy")
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    judged = judged.withColumn("base_failed", failed).withColumn("fertile", ~told | F.coalesce(inside, F.lit(True)))
+    kept = judged.withColumn("kept", ~F.col("base_failed") & F.col("fertile"))
+    return kept.select("grp", *[c for c in measures.columns if c not in ("grp", "script")], "base_failed", "fertile", "kept")

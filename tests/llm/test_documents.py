@@ -118,6 +118,22 @@ def test_fertility_rejects_what_the_vocabulary_does_not_know(spark, rows):
     assert not kept[500_000] and np.mean([kept[i] for i, _ in plain]) > 0.95
 
 
+def test_fertility_judges_small_groups_and_short_texts(spark, rows):
+    from pyspark.sql import functions as F
+
+    plain = [(i, t) for i, t in rows if i < 10_000 and t and len(t.split()) > 60][:120]
+    garbage = " ".join("\u1200\u1201\u1202\u1203"[k % 4] * 3 + "\U00012000" * 2 + str(k) for k in range(100))
+    short = " ".join(chr(0x710 + k) for k in range(20))
+    own = [*plain, (500_000, garbage), (500_001, "Plain words of a small group. " + plain[0][1]), (500_002, short), (500_003, garbage)]
+    rare = F.when(F.col("doc_id") >= 500_000, F.concat(F.lit("rare"), F.col("doc_id"))).otherwise("en")
+    model = vocabulary("piece_bpe_32k.model")
+    judged = {r["doc_id"]: r for r in fertility.judge(fertility.measure(cases.table(spark, own).withColumn("lang", rare), model)).collect()}
+    assert not judged[500_000]["fertile"] and not judged[500_003]["fertile"] and judged[500_001]["fertile"]
+    assert judged[500_002]["n_tokens"] < 64 and not judged[500_002]["base_failed"] and not judged[500_002]["kept"]
+    few = {r["doc_id"]: r["fertile"] for r in fertility.judge(fertility.measure(cases.table(spark, [*plain[:20], (500_000, garbage)]), model)).collect()}
+    assert not few[500_000] and np.mean([few[i] for i, _ in plain[:20]]) > 0.9
+
+
 def test_packing(spark, rows, docs):
     from tokenizers import Tokenizer
 
