@@ -261,3 +261,51 @@ def test_licenses(spark, rows):
     assert licenses.find_licenses(cases.empty(spark)).count() == 0
     plan = licenses.find_licenses(cases.table(spark, own))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "op9_licenses" in SQL
+
+
+MIT = """MIT License
+
+Copyright (c) 2021 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark} {line}" for line in text.split("\n"))
+
+
+def test_licenses_of_whole_notices_and_texts(spark):
+    own = [(1, MIT), (2, commented(MIT, " *")), (3, commented(APACHE, "#")), (4, commented(APACHE, " *")), (5, APACHE)]
+    own += [(10 + k, commented(licenses.TEMPLATES[name].replace(". ", ".\n"), "//")) for k, name in enumerate(("bsd-2-text", "bsd-3-text", "gpl-notice", "isc-text"))]
+    found = {(r["doc_id"], r["license"]) for r in licenses.find_licenses(cases.table(spark, own)).collect()}
+    assert {(1, "mit-grant"), (2, "mit-text"), (3, "apache-2.0-notice"), (4, "apache-2.0-notice"), (5, "apache-2.0-header")} <= found
+    assert {(10, "bsd-2-text"), (11, "bsd-3-text"), (12, "gpl-notice"), (13, "isc-text")} <= found
