@@ -1,10 +1,11 @@
 """The operators with production parameters over their whole tables."""
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import byte_bpe, fertility, host_trust, languages, licenses, near_vectors, packing, repeats, secrets, shingle_join
+from paperloom.llm import byte_bpe, exact_copies, fertility, host_trust, languages, licenses, near_vectors, packing, periodic_runs, repeats, secrets, shingle_join, whitening
 from paperloom.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,30 @@ def op8_host_trust(pages: DataFrame) -> DataFrame:
 @query("op9_licenses", "documents", licenses.licenses_sql())
 def op9_licenses(docs: DataFrame) -> DataFrame:
     return licenses.find_licenses(docs)
+
+
+@query("op11_exact_copies", "documents")
+def op11_exact_copies(docs: DataFrame) -> DataFrame:
+    return exact_copies.group_copies(docs)
+
+
+@query("op12_whitening", "embeddings")
+def op12_whitening(vectors: DataFrame) -> DataFrame:
+    return whitening.whiten(vectors)
+
+
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of the fixed rule: in a tenth of the documents, those from a place on repeat with a period."""
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return words[:start] + [words[start + i % period] for i in range(n - start)]
+
+
+@query("op13_periodic_runs", "documents")
+def op13_periodic_runs(docs: DataFrame) -> DataFrame:
+    return periodic_runs.digest(docs, periodic_tail)
