@@ -1,23 +1,25 @@
 """Byte-level byte-pair vocabulary, learnt from the word counts of a corpus.
 
 A symbol is one code point of a private plane, so a word is a string, an adjacent pair is two
-characters, and a merge is a string replacement. Everything that grows with the corpus is a DataFrame;
-the driver sees the merges, which the vocabulary size bounds.
+characters. Everything that grows with the corpus is a DataFrame; the driver sees the merges, which the
+vocabulary size bounds, and a bounded number of word segments.
 """
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from paperloom.functions import fixed, text
+from paperloom.functions import fixed
 from paperloom.staging import restage, stage
 
 _SYMBOL_BASE = 0xF0000
 MAX_SYMBOLS = 0x110000 - _SYMBOL_BASE
-_CANDIDATES = 256
-_STAGE_EVERY = 20
+#: Pairs that the first round looks at, and the most different segments that the driver follows merges on.
+_PAIRS = 4096
+_SEGMENTS = 500_000
 
 
 def byte_characters() -> list[str]:
@@ -65,13 +67,15 @@ class BpeModel:
 
 def bpe_train(
     df: DataFrame, column: str, vocab_size: int = 65_536, min_frequency: int = 3,
-    special: Sequence[str] = (fixed.END_OF_TEXT,), candidates: int = _CANDIDATES,
+    special: Sequence[str] = (fixed.END_OF_TEXT,), pairs: int = _PAIRS, most_segments: int = _SEGMENTS,
 ) -> BpeModel:
     """Merge the most frequent adjacent pair until the vocabulary is full or counts fall too low.
 
-    Ties go to the smallest pair of ids. A round takes as many merges from the top of the ranking as are
-    certain to come next: their occurrences never overlap, and no pair an earlier one creates can outrank a
-    later one.
+    Ties go to the smallest pair of ids. A round looks at the ``pairs`` most frequent pairs. Between any two
+    neighbours that are none of these, words are cut: a merge across a cut can't be as frequent as the pairs looked at. Equal
+    segments are counted together over the corpus, and the driver follows the merges on them for as long as the
+    next one is certain to outrank every pair outside; then the words take all merges of the round in one pass. When
+    there are more than ``most_segments`` different segments the round looks at fewer pairs; one pair needs none.
     """
     if vocab_size > MAX_SYMBOLS:
         raise ValueError(f"at most {MAX_SYMBOLS} tokens")
@@ -85,70 +89,164 @@ def bpe_train(
     raw = "".join(b for _, b in alphabet)
     symbols = "".join(_symbol(len(special) + i) for i in range(len(alphabet)))
     words = counted.select(F.translate("word", raw, symbols).alias("word"), "n") if alphabet else counted
+    words = words.filter(F.length("word") > 1)
     merges: list[tuple[int, int, int]] = []
-    since_stage, held = 0, counted
+    held = counted
     while len(tokens) < vocab_size:
-        pairs = _ranked_pairs(words, min(candidates, vocab_size - len(tokens)), min_frequency)
-        if not pairs:
+        ranked = _ranked_pairs(words, pairs + 1, min_frequency)
+        if not ranked:
             break
-        accepted = _certain(pairs)
-        rules = []
-        for pair in accepted:
-            left, right = (ord(c) - _SYMBOL_BASE for c in pair)
-            merges.append((left, right, len(tokens)))
-            rules.append((pair, _symbol(len(tokens))))
+        while True:
+            outside = ranked[pairs] if len(ranked) > pairs else None
+            segments = _segments(words, [pair for pair, _ in ranked[:pairs]], most_segments) if pairs > 1 else [ranked[0]]
+            if segments is not None:
+                break
+            pairs = max(1, pairs // 8)
+        found = _certain_merges(segments, outside, min_frequency, len(tokens), vocab_size - len(tokens))
+        for left, right, _ in found:
             tokens.append(tokens[left] + tokens[right])
-        words = words.withColumn("word", text.replace_all(F.col("word"), rules))
-        words = words.filter(F.length("word") > 1)
-        since_stage += len(accepted)
-        if since_stage >= _STAGE_EVERY:
-            words = held = restage(words, held, "words")
-            since_stage = 0
+        merges += found
+        if outside is not None and len(segments) < most_segments // 4:
+            pairs *= 2
+        if len(tokens) < vocab_size:
+            words = held = restage(_merge_words(words, found), held, "words")
     return BpeModel(tokens, merges)
 
 
-def _ranked_pairs(words: DataFrame, limit: int, min_frequency: int) -> list[tuple[str, int, int]]:
-    """The most frequent pairs with their count and the largest count a pair made by merging them can have.
+def _ranked_pairs(words: DataFrame, limit: int, min_frequency: int) -> list[tuple[str, int]]:
+    """The most frequent pairs with their counts, in the order in which ties are broken."""
 
-    Such a pair extends the merged one by a symbol on either side, so the counts of three neighbouring
-    symbols bound it.
-    """
-    symbols = F.split("word", "")
-    runs = text.bind(symbols, lambda s: F.transform(
-        F.sequence(F.lit(1), F.size(s) - 1),
-        lambda i: F.struct(F.array_join(F.slice(s, i, F.lit(2)), "").alias("pair"), F.get(s, i + 1).alias("after")),
-    ))
-    triples = words.filter(F.length("word") > 1).select(F.inline(runs), "n")
-    triples = triples.groupBy("pair", "after").agg(F.sum("n").alias("n"))
-    extended = F.col("after").isNotNull()
-    sides = F.array(
-        F.struct("pair", F.col("n").alias("count"), F.when(extended, F.col("n")).alias("made")),
-        F.struct(
-            F.concat(F.substring("pair", 2, 1), "after").alias("pair"), F.lit(0).cast("long").alias("count"),
-            F.col("n").alias("made"),
-        ),
-    )
-    pairs = triples.select(F.inline(F.when(extended, sides).otherwise(F.slice(sides, 1, 1))))
-    ranked = pairs.groupBy("pair").agg(F.sum("count").alias("n"), F.coalesce(F.max("made"), F.lit(0)).alias("made"))
-    ranked = ranked.filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "pair").limit(limit)
-    return [(r.pair, r.n, r.made) for r in ranked.collect()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, int] = {}
+            for word, n in zip(*(batch.column(c).to_pylist() for c in ("word", "n"))):
+                for i in range(len(word) - 1):
+                    pair = word[i:i + 2]
+                    counts[pair] = counts.get(pair, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
 
+    counted = words.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    ranked = counted.filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "pair").limit(limit)
+    return [(r.pair, r.n) for r in ranked.collect()]
 
-def _certain(pairs: list[tuple[str, int, int]]) -> list[str]:
-    """The longest head of the ranking whose merges are sure to follow each other.
 
-    Occurrences of two pairs overlap only where one ends with the symbol the other begins with; without
-    such a chain a merge leaves the other count unchanged.
-    """
-    accepted, lefts, rights, bound = [], set(), set(), 0
-    for pair, n, made in pairs:
-        if accepted and (n <= bound or pair[0] in rights or pair[1] in lefts):
+def _segments(words: DataFrame, pairs: list[str], most: int) -> list[tuple[str, int]] | None:
+    """Stretches of words in which all neighbours are among ``pairs``, with their counts; None when there are too many."""
+    shared = words.sparkSession.sparkContext.broadcast(frozenset(pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            counts: dict[str, int] = {}
+            for word, n in zip(*(batch.column(c).to_pylist() for c in ("word", "n"))):
+                start = 0
+                for i in range(1, len(word) + 1):
+                    if i == len(word) or word[i - 1:i + 1] not in known:
+                        if i - start > 1:
+                            part = word[start:i]
+                            counts[part] = counts.get(part, 0) + n
+                        start = i
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["segment", "n"])
+
+    counted = words.mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    found = [(r.segment, r.n) for r in counted.limit(most + 1).collect()]
+    shared.destroy()
+    return found if len(found) <= most else None
+
+
+def _certain_merges(segments: list[tuple[str, int]], outside: tuple[str, int] | None, min_frequency: int, first: int,
+                    room: int) -> list[tuple[int, int, int]]:
+    """Merges ``(left, right, merged)`` in order, from id ``first`` on, for as long as no pair outside the segments can come before."""
+    number = [n for _, n in segments]
+    parts = [[ord(c) - _SYMBOL_BASE for c in segment] for segment, _ in segments]
+    counts: dict[tuple[int, int], int] = {}
+    holders: dict[tuple[int, int], set[int]] = {}
+    for k, own in enumerate(parts):
+        for pair in zip(own, own[1:]):
+            counts[pair] = counts.get(pair, 0) + number[k]
+            holders.setdefault(pair, set()).add(k)
+    queue = [(-n, pair) for pair, n in counts.items()]
+    heapq.heapify(queue)
+    limit = (0, ()) if outside is None else (outside[1], tuple(ord(c) - _SYMBOL_BASE for c in outside[0]))
+    merges: list[tuple[int, int, int]] = []
+    while queue and len(merges) < room:
+        n, pair = heapq.heappop(queue)
+        now = counts.get(pair, 0)
+        if now != -n:  # its count has fallen since
+            if now >= min_frequency:
+                heapq.heappush(queue, (-now, pair))
+            continue
+        if now < min_frequency or now < limit[0] or (now == limit[0] and pair >= limit[1]):
             break
-        accepted.append(pair)
-        lefts.add(pair[0])
-        rights.add(pair[1])
-        bound = max(bound, made)
-    return accepted
+        new = first + len(merges)
+        merges.append((*pair, new))
+        changed = set()
+        for k in holders.pop(pair):
+            own = parts[k]
+            for p in zip(own, own[1:]):
+                counts[p] -= number[k]
+            parts[k] = own = _replaced(own, pair, new)
+            for p in zip(own, own[1:]):
+                counts[p] = counts.get(p, 0) + number[k]
+                holders.setdefault(p, set()).add(k)
+                changed.add(p)
+        for p in changed:
+            heapq.heappush(queue, (-counts[p], p))
+    return merges
+
+
+def _merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """The words after the merges; words of one symbol are done."""
+    rules = {chr(_SYMBOL_BASE + a) + chr(_SYMBOL_BASE + b): (rank, new) for rank, (a, b, new) in enumerate(merges)}
+    shared = words.sparkSession.sparkContext.broadcast(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        ranks = {tuple(ord(c) - _SYMBOL_BASE for c in pair): rule for pair, rule in known.items()}
+        for batch in batches:
+            out, number = [], []
+            for word, n in zip(*(batch.column(c).to_pylist() for c in ("word", "n"))):
+                if any(word[i:i + 2] in known for i in range(len(word) - 1)):
+                    word = "".join(map(_symbol, _merged([ord(c) - _SYMBOL_BASE for c in word], ranks)))
+                if len(word) > 1:
+                    out.append(word)
+                    number.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(number, pa.int64())], names=["word", "n"])
+
+    return words.mapInArrow(run, "word string, n long")
+
+
+def _replaced(parts: list[int], pair: tuple[int, int], new: int) -> list[int]:
+    out, at = [], 0
+    while at < len(parts):
+        if at + 1 < len(parts) and (parts[at], parts[at + 1]) == pair:
+            out.append(new)
+            at += 2
+        else:
+            out.append(parts[at])
+            at += 1
+    return out
+
+
+def _merged(parts: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """``parts`` after all merges in order of rank, each from left to right; a queue of places keeps long words cheap."""
+    parts, size = list(parts), len(parts)
+    left, right = list(range(-1, size - 1)), list(range(1, size + 1))
+    queue = [(ranks[pair][0], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in ranks]
+    heapq.heapify(queue)
+    while queue:
+        rank, i = heapq.heappop(queue)
+        j = right[i]
+        rule = ranks.get((parts[i], parts[j])) if j < size and parts[i] >= 0 else None
+        if rule is None or rule[0] != rank:  # one of the two is gone
+            continue
+        parts[i], parts[j], right[i] = rule[1], -1, right[j]
+        if right[i] < size:
+            left[right[i]] = i
+        for a in (left[i], i):
+            if a >= 0 and right[a] < size and (again := ranks.get((parts[a], parts[right[a]]))):
+                heapq.heappush(queue, (again[0], a))
+    return [p for p in parts if p >= 0]
 
 
 class _WordEncoder:
@@ -167,22 +265,7 @@ class _WordEncoder:
         return found
 
     def _encode(self, word: str) -> list[int]:
-        parts = [self.ids[c] for c in word if c in self.ids]
-        while len(parts) > 1:
-            best = min(self.ranks.get(pair, (len(self.ranks), -1)) for pair in zip(parts, parts[1:]))
-            if best[1] < 0:
-                break
-            merged, at = [], 0
-            while at < len(parts):
-                pair = tuple(parts[at:at + 2])
-                if self.ranks.get(pair) == best:
-                    merged.append(best[1])
-                    at += 2
-                else:
-                    merged.append(parts[at])
-                    at += 1
-            parts = merged
-        return parts
+        return _merged([self.ids[c] for c in word if c in self.ids], self.ranks)
 
 
 def bpe_encode(df: DataFrame, column: str, model: BpeModel, output: str = "token_ids") -> DataFrame:

@@ -1,7 +1,10 @@
 """Byte-pair tokens against the installed tokenizer library, n-gram suggestions by hand."""
 
 import math
+import random
 
+import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from paperloom.operators import aggregates, bpe, suggestions
@@ -31,6 +34,41 @@ def test_bpe_equals_the_library(spark, tmp_path):
         assert list(r.token_ids) == tokenizer.encode(r.text).ids and r.back == r.text
 
 
+def test_full_vocabulary_equals_the_library(spark):
+    """The default size over whole documents: every merge that is frequent enough, and the ids of every text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").cache()
+    texts = [r.text for r in docs.collect()]
+    tokenizer, vocab = library(texts, 65_536)
+    model = bpe.bpe_train(docs, "text")
+    assert model.tokens == vocab and len(vocab) > 2000
+    encoded = [list(r.token_ids) for r in bpe.bpe_encode(docs, "text", model).collect()]
+    assert encoded == [tokenizer.encode(t).ids for t in texts]
+
+
+@pytest.mark.parametrize("pairs,most_segments", [(1, 500), (2, 500), (7, 500), (64, 20), (64, 500)])
+def test_rounds_of_any_size_learn_the_same(spark, pairs, most_segments):
+    rng = random.Random(pairs)
+    texts = [" ".join("".join(rng.choice("aab") for _ in range(rng.randrange(1, 9))) for _ in range(30)) for _ in range(40)] + ["aaaaaaaaaaaaaaaaaaaaa", "ababababab ababab"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    _, vocab = library(texts, 60)
+    assert bpe.bpe_train(df, "text", 60, pairs=pairs, most_segments=most_segments).tokens == vocab
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.integers(0, 100))
+def test_merges_by_queue(word, seed):
+    rng = random.Random(seed)
+    rules, known = [], 4
+    for _ in range(8):
+        rules.append((rng.randrange(known), rng.randrange(known), known))
+        known += 1
+    rules = sorted({(a, b): (a, b, new) for a, b, new in rules}.values(), key=lambda r: r[2])
+    expected = list(word)
+    for a, b, new in rules:
+        expected = bpe._replaced(expected, (a, b), new)
+    assert bpe._merged(word, {(a, b): (rank, new) for rank, (a, b, new) in enumerate(rules)}) == expected
+
+
 def test_bpe_stops_at_rare_pairs(spark):
     texts = ["aaaa aaa", "abab abab ab", "été 42 été!", "aaaa"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
