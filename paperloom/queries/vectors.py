@@ -149,27 +149,95 @@ def calinski_harabasz(t):
     return _rounded(clusters.calinski_harabasz(t.embeddings, "embedding", "label"), "calinski_harabasz")
 
 
-@query("fit_pca")
+# Eigenvectors in SQL: 16 squarings of a matrix leave its leading direction; it is taken off and the rest squared again.
+MATRIX = f"""
+    e AS {E},
+    x AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e),
+    mu AS (SELECT list(m ORDER BY pos) AS mu FROM (SELECT pos, avg(x) AS m FROM x GROUP BY pos)),
+    y AS (SELECT vec_id, label, list_transform(v, lambda a, i: a - mu[i]) AS y FROM e, mu),
+    z AS (SELECT vec_id, label, unnest(y) AS z, generate_subscripts(y, 1) AS pos FROM y),
+    entry AS (SELECT a.pos AS i, b.pos AS j, sum(a.z * b.z) / ((SELECT count(*) FROM e) - 1) AS c FROM z a JOIN z b USING (vec_id) GROUP BY ALL),
+    matrix AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(c ORDER BY j) AS r FROM entry GROUP BY i))"""
+
+
+def _signed(axis: str) -> str:
+    return f"CASE WHEN list_max({axis}) >= -list_min({axis}) THEN {axis} ELSE list_transform({axis}, lambda a: -a) END"
+
+
+def _pca_sql(more: str) -> str:
+    """``pair(component, ratio, axis)``; the next is taken while ``more`` holds of the ``sum`` and number ``k`` of those before."""
+    return f"""{MATRIX},
+    total AS (SELECT sum(c) AS total FROM entry WHERE i = j),
+    step(k, s, c, p, value, axis, sum) AS (
+      SELECT 0, 0, c, c, 0::DOUBLE, NULL::DOUBLE[], 0::DOUBLE FROM matrix
+      UNION ALL
+      SELECT CASE WHEN done THEN k + 1 ELSE k END, CASE WHEN done THEN 0 ELSE s + 1 END, CASE WHEN done THEN less ELSE c END,
+        CASE WHEN done THEN less ELSE list_transform(p, lambda a: list_transform(p, lambda b: list_dot_product(a, b) / size)) END,
+        CASE WHEN done THEN value ELSE 0 END, CASE WHEN done THEN axis END, CASE WHEN done THEN sum + value ELSE sum END
+      FROM (SELECT *, CASE WHEN done THEN list_transform(c, lambda row, i: list_transform(row, lambda a, j: a - value * axis[i] * axis[j])) END AS less
+            FROM (SELECT *, list_dot_product(axis, list_transform(c, lambda row: list_dot_product(row, axis))) AS value
+                  FROM (SELECT k, s, c, p, sum, s = 16 AS done, list_sum(list_transform(p, lambda a: list_dot_product(a, a))) AS size,
+                          CASE WHEN s = 16 THEN list_transform(big, lambda a: a / sqrt(list_dot_product(big, big))) END AS axis
+                        FROM (SELECT *, p[list_position(list_transform(p, lambda a, i: a[i]), list_max(list_transform(p, lambda a, i: a[i])))] AS big FROM step)))),
+        total WHERE {more}),
+    pair AS (SELECT k - 1 AS component, value / total AS ratio, {_signed("axis")} AS axis FROM step, total WHERE axis IS NOT NULL)"""
+
+
+_POINTS = """SELECT vec_id, round(max(x) FILTER (component = 0), 4) AS x, round(max(x) FILTER (component = 1), 4) AS y
+    FROM (SELECT vec_id, component, list_dot_product(y, axis) AS x FROM y, pair) GROUP BY vec_id"""
+
+
+@query("fit_pca", f"WITH RECURSIVE {_pca_sql('sum <= 0.6 * total')} SELECT component, round(ratio, 4) AS ratio FROM pair")
 def fit_pca(t):
     model = projections.fit_pca(t.embeddings, "embedding", variance=0.6)
     rows = [(i, round(float(r), 4)) for i, r in enumerate(model.ratio)]
     return t.spark.createDataFrame(rows, "component int, ratio double")
 
 
-@query("project")
+@query("project", f"""WITH RECURSIVE {_pca_sql('sum <= 0.6 * total')}
+    SELECT vec_id, component AS pos, round(list_dot_product(y, axis), 4) AS x FROM y, pair""")
 def project(t):
     model = projections.fit_pca(t.embeddings, "embedding", variance=0.6)
     return _long(projections.project(t.embeddings, model, "vec_id", "embedding"), "vec_id", "vec")
 
 
-@query("pca_2d")
+@query("pca_2d", f"WITH RECURSIVE {_pca_sql('k < 2')} {_POINTS}")
 def pca_2d(t):
-    return projections.pca_2d(t.embeddings, "vec_id", "embedding")
-
-
-@query("lda_2d")
+    return _rounded(projections.pca_2d(t.embeddings, "vec_id", "embedding"), "x", "y")
+
+
+# Scatter within labels is inverted by Newton's iteration; its product with the scatter between is squared as above.
+@query("lda_2d", f"""
+    WITH RECURSIVE {MATRIX},
+    centre AS (SELECT label, pos, avg(z) AS m, count(*) AS n FROM z GROUP BY label, pos),
+    between AS (SELECT a.pos AS i, b.pos AS j, sum(a.n * a.m * b.m) AS c FROM centre a JOIN centre b USING (label) GROUP BY ALL),
+    wide AS (SELECT list(rb ORDER BY i) AS b, list(rw ORDER BY i) AS w FROM (
+      SELECT i, list(t.c ORDER BY j) AS rb, list((e.c * ((SELECT count(*) FROM e) - 1) - t.c) / ((SELECT count(*) - count(DISTINCT label) FROM e)) ORDER BY j) AS rw
+      FROM between t JOIN entry e USING (i, j) GROUP BY i)),
+    newton(s, w, v) AS (
+      SELECT 0, w, list_transform(w, lambda row, i: list_transform(row, lambda a, j: CASE WHEN i = j THEN 1 / list_sum(list_transform(w, lambda r, k: r[k])) ELSE 0 END)) FROM wide
+      UNION ALL
+      SELECT s + 1, w, list_transform(v, lambda a, i: list_transform(v, lambda b, j: 2 * a[j] - list_dot_product(vw[i], b)))
+      FROM (SELECT *, list_transform(v, lambda a: list_transform(w, lambda b: list_dot_product(a, b))) AS vw FROM newton) WHERE s < 60),
+    m AS (SELECT newton.w, b, list_transform(v, lambda p: list_transform(b, lambda q: list_dot_product(p, q))) AS m,
+            list_transform(b, lambda p: list_transform(v, lambda q: list_dot_product(p, q))) AS t FROM newton, wide WHERE s = 60),
+    step(k, s, w, b, m, t, p, q, axis) AS (
+      SELECT 0, 0, w, b, m, t, m, t, NULL::DOUBLE[] FROM (SELECT m.w, m.b, m.m, m.t FROM m)
+      UNION ALL
+      SELECT CASE WHEN done THEN k + 1 ELSE k END, CASE WHEN done THEN 0 ELSE s + 1 END, w, b, CASE WHEN done THEN m1 ELSE m END, CASE WHEN done THEN t1 ELSE t END,
+        CASE WHEN done THEN m1 ELSE list_transform(p, lambda a: list_transform(q, lambda c: list_dot_product(a, c) / size)) END,
+        CASE WHEN done THEN t1 ELSE list_transform(q, lambda a: list_transform(p, lambda c: list_dot_product(a, c) / size)) END, CASE WHEN done THEN axis END
+      FROM (SELECT *, CASE WHEN done THEN list_transform(m, lambda r, i: list_transform(r, lambda a, j: a - power * axis[i] * wa[j])) END AS m1,
+                      CASE WHEN done THEN list_transform(t, lambda r, i: list_transform(r, lambda a, j: a - power * wa[i] * axis[j])) END AS t1
+            FROM (SELECT *, list_transform(w, lambda r: list_dot_product(r, axis)) AS wa, list_dot_product(axis, list_transform(b, lambda r: list_dot_product(r, axis))) AS power
+                  FROM (SELECT k, s, w, b, m, t, p, q, s = 16 AS done, list_sum(list_transform(p, lambda a: list_dot_product(a, a))) AS size,
+                          CASE WHEN s = 16 THEN list_transform(big, lambda a: a / sqrt(list_dot_product(big, list_transform(w, lambda r: list_dot_product(r, big))))) END AS axis
+                        FROM (SELECT *, q[list_position(list_transform(q, lambda a: list_dot_product(a, a)), list_max(list_transform(q, lambda a: list_dot_product(a, a))))] AS big
+                              FROM step)))) WHERE k < 2),
+    pair AS (SELECT k - 1 AS component, {_signed("axis")} AS axis FROM step WHERE axis IS NOT NULL)
+    {_POINTS}""")
 def lda_2d(t):
-    return projections.lda_2d(t.embeddings, "vec_id", "embedding", "label")
+    return _rounded(projections.lda_2d(t.embeddings, "vec_id", "embedding", "label"), "x", "y")
 
 
 @query("encode_text", """
