@@ -33,8 +33,8 @@ CERTAIN, ROUNDING = 1e-12, 1e-13
 SWEEPS = 60
 #: Values of a block of rows in a task, and features of a partial product that travels as one row.
 BLOCK_VALUES, SLICE = 1_000_000, 512
-#: Partial products that one task adds up in the first round.
-FAN_IN = 128
+#: Partial products that one task adds up, and that the driver does.
+FAN_IN = 64
 
 OUTPUT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
@@ -95,16 +95,16 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _added(partial: DataFrame, parts: int, shape: tuple[int, int]) -> np.ndarray:
-    """The sum of partial matrices ``(slice, rows)`` of all tasks, by a tree; the driver gets one matrix."""
+    """The sum of partial matrices ``(slice, rows)`` of all tasks: by a tree down to ``FAN_IN`` matrices, which the driver adds."""
     schema = "slice int, rows binary"
     slices = -(-shape[0] // SLICE)
     while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
         partial = partial.repartition(parts * slices, "slice", F.pmod(F.spark_partition_id(), F.lit(parts))).mapInArrow(_add, schema)
     out = np.zeros(shape)
-    for row in partial.repartition(slices, "slice").mapInArrow(_add, schema).collect():  # one matrix in all
+    for row in partial.collect():
         rows = np.frombuffer(bytes(row["rows"])).reshape(-1, shape[1])
-        out[row["slice"] * SLICE : row["slice"] * SLICE + len(rows)] = rows
+        out[row["slice"] * SLICE : row["slice"] * SLICE + len(rows)] += rows
     return out
 
 
