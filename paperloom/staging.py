@@ -7,16 +7,18 @@ folder named by ``spark.checkpoint.dir`` and read it back, so a lost executor ne
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Of a hinted side, as the planner sees it; compressed files may hold several times that.
 BROADCAST_BYTES = 32 << 20
 
 _local_dir = None
-_paths: list[str] = []
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,8 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written table."""
     path = f"{shared_dir(df.sparkSession)}/paperloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _paths.append(path)
+    if _open():
+        _open()[-1].append(path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._staged_at = path
     return staged
@@ -48,26 +51,45 @@ def _delete(spark: SparkSession, path: str) -> None:
     old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
+def _open() -> list[list]:
+    """The lists of what the open ``discarding`` blocks of this thread have staged and shared, innermost last."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    return _scopes.open
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast that lives until the ``discarding`` block around it ends."""
+    shared = spark.sparkContext.broadcast(value)
+    if _open():
+        _open()[-1].append(shared)
+    return shared
+
+
 @contextmanager
 def discarding(spark: SparkSession):
-    """Remove the tables that are staged inside, but for those that the yielded function was given to keep.
+    """Remove what is staged and shared inside, but for the tables that the yielded function was given to keep.
 
-    What leaves the block must be staged and kept, or read none of these tables.
+    What leaves the block must be staged and kept, or read none of it.
     """
-    first, kept = len(_paths), set()
+    made, kept = [], set()
 
     def keep(staged: DataFrame) -> DataFrame:
         kept.add(staged._staged_at)
         return staged
 
-    yield keep
-    inside = _paths[first:]
-    del _paths[first:]
-    for path in inside:
-        if path in kept:
-            _paths.append(path)
-        else:
-            _delete(spark, path)
+    _open().append(made)
+    try:
+        yield keep
+    finally:
+        _open().pop()
+    for item in made:
+        if isinstance(item, Broadcast):
+            item.destroy()
+        elif item not in kept:
+            _delete(spark, item)
+        elif _open():
+            _open()[-1].append(item)
 
 
 def restage(df: DataFrame, previous: DataFrame, label: str = "stage") -> DataFrame:
