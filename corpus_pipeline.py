@@ -20,8 +20,9 @@ LEAN = {"slice_bytes": 6_000_000, "kept_words": 200_000, "kept_pieces": 250_000}
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; it learns from the rows that op3 may learn from."""
     model = languages.fit(docs, ~languages.held_out(F.col("doc_id")))
-    judged = languages.predict(docs, model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    judged = languages.predict(whole, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return judged.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
