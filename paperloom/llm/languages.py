@@ -14,11 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from paperloom.staging import stage
+from paperloom.llm.words import frugal
+from paperloom.staging import share, stage
 
 #: Hash buckets of n-grams, longest n-gram.
 BUCKETS, LONGEST = 1 << 14, 3
@@ -136,7 +136,6 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> LanguageModel | None:
     """Learn from the rows of ``docs(doc_id, text, lang)`` where ``learn`` holds and lang isn't null."""
-    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), learn.alias("learn")).where("learn and lang is not null and text is not null")
 
     def frequencies(batches):
@@ -150,7 +149,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> LanguageModel |
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(found[at], number), pa.int64())], names=["bucket", "n"])
 
-    counted = rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # a row for each bucket at most
+    counted = rows.select("text").mapInArrow(frugal(frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # a row for each bucket at most
     df = np.zeros(BUCKETS)
     number = 0
     for r in counted:
@@ -167,9 +166,9 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> LanguageModel |
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(sizes)
     index = {x: i for i, x in enumerate(languages)}
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k]))])
+    portion = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k]))])
     fate = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
-    chosen = rows.where(fate < share[F.col("lang")]).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS + 1)).cast("int"))
+    chosen = rows.where(fate < portion[F.col("lang")]).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS + 1)).cast("int"))
 
     def featured(batches):
         for batch in batches:
@@ -183,7 +182,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> LanguageModel |
                     values.append(own[1].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(labels, pa.int32()), pa.array(ats, pa.binary()), pa.array(values, pa.binary())], names=["shard", "label", "at", "value"])
 
-    samples = stage(chosen.select("shard", "lang", "text").mapInArrow(featured, "shard int, label int, at binary, value binary"), "language-sample")
+    samples = stage(chosen.select("shard", "lang", "text").mapInArrow(frugal(featured), "shard int, label int, at binary, value binary"), "language-sample")
 
     def unpacked(table: pa.Table):
         return [(k, np.frombuffer(a, np.int32), np.frombuffer(v, np.float32).astype(float)) for k, a, v in zip(*(table.column(c).to_pylist() for c in ("label", "at", "value")), strict=True)]
@@ -200,7 +199,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> LanguageModel |
     if not trained:
         return None
     weights = np.mean(trained, axis=0).reshape(BUCKETS, len(languages))
-    shared = sc.broadcast(weights)
+    shared = share(docs.sparkSession, weights)
 
     def logits(batches):
         for batch in batches:
@@ -217,22 +216,24 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     plain = [c for c in docs.columns if c not in ("lang_pred", "score")]
     if model is None:
         return docs.select(*plain, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.weights, model.temperature))
+    shared = share(docs.sparkSession, (model.languages, model.idf, model.weights, model.temperature))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"), F.col("text").cast("string").alias("text"))
 
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, idf, weights, temperature = shared.value
-        for texts in batches:
-            out = []
-            for text in texts:
-                own = _features(text, idf)
+        for batch in batches:
+            found, scores = [], []
+            for text in batch.column("text"):
+                own = _features(text.as_py(), idf)
                 if own is None:
-                    out.append(("und", 0.0))
+                    found.append("und")
+                    scores.append(0.0)
                 else:
                     p = _softmax(own[1] @ weights[own[0]] / temperature)
                     best = int(p.argmax())
-                    out.append((languages[best], float(p[best])))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                    found.append(languages[best])
+                    scores.append(float(p[best]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
-    judge = F.pandas_udf(judge, "lang_pred string, score double")
-    judged = docs.select(*plain, judge(F.col("text").cast("string")).alias("judged_"))
-    return judged.select(*plain, "judged_.lang_pred", "judged_.score")
+    judged = row.mapInArrow(frugal(judge), T.StructType([row.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in plain], "lang_pred", "score")

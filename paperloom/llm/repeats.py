@@ -25,8 +25,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from paperloom.llm.sketch import build_filter, passes, sliced
-from paperloom.llm.words import mix, split_words, text_slices, windows, word_hashes
-from paperloom.staging import stage
+from paperloom.llm.words import frugal, mix, split_words, text_slices, windows, word_hashes
+from paperloom.staging import share, stage
 
 WIDTH = 20
 #: Text that is compared within a task at a time.
@@ -62,13 +62,13 @@ def block_filter(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
                 for part, raw in sliced(rolling[at]):
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw], pa.binary())], names=["slice", "hashes"])
 
-    return build_filter(texts.mapInArrow(run, "slice int, hashes binary"))
+    return build_filter(texts.mapInArrow(frugal(run), "slice int, hashes binary"))
 
 
 def repeated_filter(texts: DataFrame, blocks: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """The filter of block contents that occur at two places or more, counted exactly."""
     block = width // 2
-    shared = texts.sparkSession.sparkContext.broadcast(blocks)
+    shared = share(texts.sparkSession, blocks)
 
     def probe(batches):
         for batch in batches:
@@ -85,7 +85,7 @@ def repeated_filter(texts: DataFrame, blocks: np.ndarray, width: int = WIDTH) ->
             for part, raw in sliced(batch.column("h").to_numpy().view(np.uint64)):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw], pa.binary())], names=["slice", "hashes"])
 
-    met = texts.mapInArrow(probe, "h long, places long, block int").groupBy("h").agg(F.sum("places").alias("places"), F.max("block").alias("block"))
+    met = texts.mapInArrow(frugal(probe), "h long, places long, block int").groupBy("h").agg(F.sum("places").alias("places"), F.max("block").alias("block"))
     return build_filter(met.where("places > 1 and block = 1").select("h").mapInArrow(packed, "slice int, hashes binary"))
 
 
@@ -96,7 +96,7 @@ def extended(texts: DataFrame, repeated: np.ndarray, width: int = WIDTH) -> Data
     """Full windows around hits: the first of its content in a batch by hash, with ``run`` 0, and runs of
     windows that repeat one of the same batch. ``place`` is the text's checksum, then the start word."""
     block = width // 2
-    shared = texts.sparkSession.sparkContext.broadcast(repeated)
+    shared = share(texts.sparkSession, repeated)
 
     def places(ids, data, offsets, of, hashes):
         rolling = windows(hashes, block)
@@ -138,7 +138,7 @@ def extended(texts: DataFrame, repeated: np.ndarray, width: int = WIDTH) -> Data
                 for h1, h2, doc, place, runs in places(*part):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), h2, doc, place, runs)], names=["h1", "h2", "doc_id", "place", "run"])
 
-    return texts.mapInArrow(run, PLACE)
+    return texts.mapInArrow(frugal(run), PLACE)
 
 
 def later_places(places: DataFrame) -> DataFrame:

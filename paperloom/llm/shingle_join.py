@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from paperloom.llm.graph import components
 from paperloom.llm.sketch import build_filter, passes, sliced
-from paperloom.llm.words import mix, shingle_sets, split_words, text_slices, word_hashes
-from paperloom.staging import discarding, stage
+from paperloom.llm.words import frugal, mix, shingle_sets, split_words, text_slices, word_hashes
+from paperloom.staging import discarding, share, stage
 
 WIDTH, PERCENT = 5, 80
 #: Tokens found in so many sets are frequent; the list holds at most so many (1 MB).
@@ -107,7 +107,7 @@ def summaries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     waiting, size, seen = [], 0, set()
         yield counts()
 
-    return docs.mapInArrow(run, SUMMARY)
+    return docs.mapInArrow(frugal(run), SUMMARY)
 
 
 ENTRY = "key long, rank int, doc_id long, n long"
@@ -116,7 +116,7 @@ ENTRY = "key long, rank int, doc_id long, n long"
 def index_entries(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT, most: int = MOST_IN_PAIRS) -> DataFrame:
     """Index entries of every text. ``rank`` is 0 for rare tokens and pairs; for single frequent tokens 2 if
     the text is indexed by them alone, else 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = share(docs.sparkSession, frequent)
 
     def entries(ids, tokens, bounds):
         n = np.diff(bounds)
@@ -162,7 +162,7 @@ def index_entries(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, per
                 for keys, rank, owner in entries(ids, tokens, bounds):
                     yield _batch(ENTRY, keys.view(np.int64), rank, ids[owner], n[owner])
 
-    return docs.mapInArrow(run, ENTRY)
+    return docs.mapInArrow(frugal(run), ENTRY)
 
 
 BUCKET = "key long, doc_id long, n long, leader long, leader_n long"
@@ -209,7 +209,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFr
             for part, raw in sliced(mix(batch.column("doc_id").to_numpy().view(np.uint64))):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw], pa.binary())], names=["slice", "hashes"])
 
-    shared = docs.sparkSession.sparkContext.broadcast(build_filter(wanted.mapInArrow(packed, "slice int, hashes binary")))
+    shared = share(docs.sparkSession, build_filter(wanted.mapInArrow(packed, "slice int, hashes binary")))
 
     def run(batches):
         for batch in batches:
@@ -218,7 +218,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFr
             for ids, _, tokens, bounds in _sets(batch, width):
                 yield _batch(SETS, ids, [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
-    return docs.mapInArrow(run, SETS).join(wanted, "doc_id", "left_semi")
+    return docs.mapInArrow(frugal(run), SETS).join(wanted, "doc_id", "left_semi")
 
 
 def _least_common(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -254,7 +254,7 @@ def possible(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> Data
 
     one = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ma"))
     two = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("mb"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(bounded, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").mapInArrow(frugal(bounded), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -273,7 +273,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: in
     wanted = stage(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
     sets = stage(token_sets(texts, wanted, width), "sets")
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(exact, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").mapInArrow(frugal(exact), "a long, b long").distinct()
 
 
 def unresolved(members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -320,7 +320,7 @@ def unresolved(members: DataFrame, percent: int = PERCENT) -> DataFrame:
         if rest is not None and len(rest):
             yield flush(rest)
 
-    return members.repartition("key", "block").sortWithinPartitions("key", "block", "a").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("key", "block").sortWithinPartitions("key", "block", "a").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent_sets: int = FREQUENT_SETS, most: int = MOST_IN_PAIRS, block: int = BLOCK) -> DataFrame:

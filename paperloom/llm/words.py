@@ -6,8 +6,9 @@ slices of bounded size, so their memory does not follow the number or the length
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,19 @@ with np.errstate(over="ignore"):
     _POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(LONG_WORD, 0xD6E8FEB86659FD93, np.uint64)]))
 
 
+def frugal(run: Callable) -> Callable:
+    """``run`` over batches, then what it freed goes back to the system, for worker processes outlive their tasks."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, last row + 1, bytes, offsets)`` of consecutive rows with about ``most`` bytes; null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
