@@ -1,8 +1,8 @@
 """Token sequences of one length from documents of any length: best fit decreasing with certified bounds.
 
 Documents are encoded once and only lengths move from then on. Groups of bounded size are packed by best fit
-decreasing; a lower bound from dual feasible functions certifies a group's number of bins. Where bins have
-gaps, the documents of open bins change groups and are packed again.
+decreasing; a lower bound from dual feasible functions certifies a group's number of bins. Sequences with gaps change
+groups, and the groups that their bound doesn't certify exchange their documents and are packed again.
 
 Nulls and odd rows: a null or empty text is the end id alone; a null id is kept; repeated rows are packed
 each for itself; ties of length keep the order of the group; an empty table gives an empty result; other
@@ -27,7 +27,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces in a group that one task packs.
 GROUP = 20_000
-ROUNDS = 5
 #: Words and pieces that a task keeps between slices of text, and bytes of a slice.
 KEPT_WORDS, KEPT_PIECES, ENCODED_BYTES = 300_000, 400_000, 8_000_000
 
@@ -106,8 +105,21 @@ class WordEncoder:
 _LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"-]*)|(.+))$", re.MULTILINE)
 
 
-def _ids(batches, definition: str, end_id: int, slice_bytes: int, kept: dict[str, int]) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    encode = WordEncoder(definition, **kept)
+_lasting: dict[tuple, WordEncoder] = {}
+
+
+def _encoder(definition: str, lasting: bool, kept: dict[str, int]) -> WordEncoder:
+    if not lasting:
+        return WordEncoder(definition, **kept)
+    name = (zlib.crc32(definition.encode()), len(definition), *sorted(kept.items()))
+    if name not in _lasting:
+        _lasting.clear()
+        _lasting[name] = WordEncoder(definition, **kept)
+    return _lasting[name]
+
+
+def _ids(batches, definition: str, end_id: int, slice_bytes: int, lasting: bool, kept: dict[str, int]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    encode = _encoder(definition, lasting, kept)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for first, last, data, offsets in text_slices(batch.column("text"), slice_bytes):
@@ -116,16 +128,17 @@ def _ids(batches, definition: str, end_id: int, slice_bytes: int, kept: dict[str
             yield batch.column("doc_id").slice(first, last - first), [x + end for x in encoded]
 
 
-def encode_pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, slice_bytes: int = ENCODED_BYTES, **kept: int) -> DataFrame:
+def encode_pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, slice_bytes: int = ENCODED_BYTES, lasting: bool = False, **kept: int) -> DataFrame:
     """Cut every document's ids, then ``end_id``, into pieces of ``capacity``; only longer documents are cut.
 
     ``definition`` is the text of a tokenizer file. With ``with_ids`` the pieces carry their ids (uint32).
-    ``slice_bytes``, ``kept_words`` and ``kept_pieces`` trade a task's memory for time (about 0.5 GB as they are).
+    ``slice_bytes``, ``kept_words`` and ``kept_pieces`` trade a task's memory for time (about 0.5 GB as they are). What a
+    task has kept goes with it, or, if ``lasting``, serves the next tasks of its worker process.
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches):
-        for ids, encoded in _ids(batches, shared.value, end_id, slice_bytes, kept):
+        for ids, encoded in _ids(batches, shared.value, end_id, slice_bytes, lasting, kept):
             owner, piece, start, length, crc, raw = [], [], [], [], [], []
             for i, own in enumerate(encoded):
                 for k, at in enumerate(range(0, len(own), 4 * capacity)):
@@ -147,11 +160,8 @@ def encode_pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, en
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Fewest bins that any packing needs: the best of two families of dual feasible functions."""
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1)
+def bound_of(counts: np.ndarray, capacity: int) -> int:
+    """Fewest bins that any packing of ``counts[length]`` pieces needs: the best of two families of dual feasible functions."""
     number, volume = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
     small = np.arange(0, capacity // 2 + 1)  # pieces below this vanish, those above its complement fill a bin
     big = number[-1] - number[capacity - small]
@@ -164,6 +174,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """Fewest bins that any packing of pieces of these lengths needs."""
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bin and offset of every piece: longest first, each into the fullest bin that holds it."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -187,49 +202,66 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, used
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``, and the certificate of their group.
 
-    ``group_bins`` is the number of bins of the group that made the sequence and ``group_bound`` its lower
-    bound. After a round, bins without a gap and groups that can't win are final. The documents of open bins
-    go to new groups, as few as the group size allows, so that the gaps of many groups meet; when the new
-    packing doesn't save a bin the one before stands. A group never holds more than about ``group`` pieces.
+    ``group_bins`` is the number of bins of the group that made the sequence and ``group_bound`` its lower bound. In
+    a round, sequences with a gap meet in new groups of about ``group`` pieces, in other company each time. A group
+    whose bound equals its number of sequences is certified and keeps them; any other exchanges its documents and is packed again, and
+    takes the new packing if that has fewer sequences. Once that saves nothing, the sequences with a quarter of their room left meet
+    among themselves. It ends when the bound of all pieces together is reached, or when that saves nothing either.
     """
-    schema = PIECES.replace(", ids_crc32 long", "") + ", ids_crc32 long, sequence_id long, offset long, group_bins long, group_bound long, gap long"
+    schema = PIECES + ", sequence_id long, offset long, group_bins long, group_bound long, gap long"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def packed(key: int, table: pa.Table) -> pa.Table:
+        lengths = table.column("length").to_numpy()
+        bins, offsets, used = best_fit(lengths, capacity)
+        filled = np.bincount(bins, weights=lengths, minlength=used)
+        extra = {"sequence_id": (key << 24) + bins, "offset": offsets, "group_bins": np.full(len(bins), used),
+                 "group_bound": np.full(len(bins), lower_bound(lengths, capacity)), "gap": (capacity - filled[bins]).astype(np.int64)}
+        out = table.select(names[:5])
+        for name, values in extra.items():
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        return out
 
-    def packed(df: DataFrame, number: int, total: int) -> DataFrame:
-        groups = max(1, -(-total // group))
+    def first(key, table):
+        return packed(key[0].as_py(), table)
 
+    def again(number: int):
         def run(key, table):
-            lengths = table.column("length").to_numpy()
-            bins, offsets, used = best_fit(lengths, capacity)
-            filled = np.bincount(bins, weights=lengths, minlength=used)
-            base = ((number << 27) | key[0].as_py()) << 24
-            extra = {"sequence_id": base + bins, "offset": offsets, "group_bins": np.full(len(bins), used),
-                     "group_bound": np.full(len(bins), lower_bound(lengths, capacity)), "gap": (capacity - filled[bins]).astype(np.int64)}
-            out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-            for name, values in extra.items():
-                out = out.append_column(name, pa.array(values, pa.int64()))
-            return out
-
-        dealt = df.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).alias("g"))
-        return stage(dealt.groupBy("g").applyInArrow(run, schema), "packed")
+            before = len(np.unique(table.column("sequence_id").to_numpy()))
+            bound = lower_bound(table.column("length").to_numpy(), capacity)
+            if before > bound:
+                new = packed((number << 27) | key[0].as_py(), table.select(names[:5]))
+                if new.column("group_bins")[0].as_py() < before:
+                    return new
+            return table.select(names[:7]).append_column("group_bins", pa.array(np.full(len(table), before))).append_column("group_bound", pa.array(np.full(len(table), bound))).append_column("gap", table.column("gap"))
+
+        return run
 
     pieces = stage(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
-    total, volume = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    now = packed(pieces, 0, total)
-    final = []
-    for number in range(1, rounds + 1):
-        bins, gap, rows = now.agg(F.countDistinct("sequence_id"), F.coalesce(F.sum(F.when(F.col("offset") == 0, F.col("gap"))), F.lit(0)), F.count(F.when(F.col("gap") > 0, 1))).first()
-        if gap < capacity:  # the total length certifies that no packing has fewer bins
-            break
-        again = packed(now.where("gap > 0"), number, rows)
-        fewer = again.agg(F.countDistinct("sequence_id")).first()[0]
-        before = now.where("gap > 0").agg(F.countDistinct("sequence_id")).first()[0]
-        if fewer >= before:
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # a row for each length
+        counts[row["length"]] = row["n"]
+    bound, groups = bound_of(counts, capacity), max(1, -(-int(counts.sum()) // group))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+    now = stage(dealt.groupBy("g").applyInArrow(first, schema), "packed")
+    final, idle, number = [], 0, 0
+    while idle < 2:
+        least = 1 if idle == 0 else capacity // 4  # then the emptiest ones among themselves
+        told = now.where("offset = 0").agg(F.count("*"), F.count(F.when(F.col("gap") > 0, 1)), F.count(F.when(F.col("gap") >= least, 1))).first()
+        if told[0] + sum(n for _, n in final) <= bound:
             break
-        final.append(now.where("gap = 0"))
-        now = again
-    for part in final:
+        final.append((now.where("gap = 0"), told[0] - told[1]))
+        if told[2] < 2:
+            now, idle = stage(now.where("gap > 0"), "packed"), idle + 1
+            continue
+        number += 1
+        groups = max(1, -(-now.where(F.col("gap") >= least).count() // group))
+        mixed = now.where(F.col("gap") >= least).withColumn("g", F.pmod(F.xxhash64("sequence_id", F.lit(number)), F.lit(groups)))
+        now = stage(mixed.groupBy("g").applyInArrow(again(number), schema).unionByName(now.where((F.col("gap") > 0) & (F.col("gap") < least))), "packed")
+        idle = idle + 1 if now.where("offset = 0").count() == told[1] else 0
+    for part, _ in final:
         now = now.unionByName(part)
     return now.drop("gap")

@@ -60,7 +60,7 @@ def op4_fertility(docs: DataFrame) -> DataFrame:
 
 @query("op6_packing", "documents")
 def op6_packing(docs: DataFrame) -> DataFrame:
-    return packing.pack(packing.encode_pieces(docs, vocabulary("word_bpe_49k.json").decode()))
+    return packing.pack(packing.encode_pieces(docs, vocabulary("word_bpe_49k.json").decode(), lasting=True))
 
 
 @query("op7_byte_bpe", "documents")

@@ -171,6 +171,34 @@ def test_best_fit_and_bound(lengths):
         assert lengths[own].sum() <= 60 and sorted(offsets[own]) == list(np.cumsum([0, *lengths[own[np.argsort(offsets[own])]]])[:-1])
 
 
+def test_exchange_reaches_the_bound(spark):
+    """Halves and thirds of a sequence in groups too small to pair them all: the exchange does."""
+    lengths = [30] * 401 + [20] * 200 + [60] * 50
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES)
+    found = packing.pack(pieces, capacity=60, group=25).collect()
+    bins = {}
+    for r in found:
+        bins.setdefault(r.sequence_id, []).append(r)
+    assert sorted(r.doc_id for r in found) == list(range(len(lengths)))
+    for own in bins.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == np.cumsum([0, *(r.length for r in own)])[:-1].tolist() and sum(r.length for r in own) <= 60
+        assert len({(r.group_bins, r.group_bound) for r in own}) == 1 and own[0].group_bound <= own[0].group_bins
+    assert len(bins) == packing.lower_bound(np.array(lengths), 60)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.integers(0, 1000))
+def test_no_group_could_save_a_sequence(spark, seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.choice([7, 11, 19, 23, 31, 37, 60], size=300)
+    pieces = spark.createDataFrame([(int(i), 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
+    found = packing.pack(pieces, capacity=60, group=40).collect()
+    used = len({r.sequence_id for r in found})
+    assert packing.lower_bound(lengths, 60) <= used <= packing.best_fit(lengths, 60)[2] + 2
+    assert sorted(r.length for r in found) == sorted(lengths.tolist())
+
+
 def test_word_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
