@@ -309,13 +309,22 @@ class CellIndex:
         return cls(stage(centroids.join(sizes, ["forest", "cell"]), "centroids"), assigned)
 
     def save(self, path: str) -> None:
-        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+        self.centroids.withColumn("version", F.lit(0)).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
         cells = self.cells.repartition("forest", "cell", F.pmod(F.xxhash64("id"), F.lit(32)))
         cells.write.mode("overwrite").partitionBy("forest", "cell").parquet(f"{path}/cells")
 
     @classmethod
     def load(cls, spark, path: str) -> "CellIndex":
-        return cls(spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/cells"))
+        centroids = spark.read.parquet(f"{path}/centroids")
+        last = centroids.agg(F.max("version").alias("last")).first().last
+        return cls(centroids.where(F.col("version") == F.lit(last)).drop("version"), spark.read.parquet(f"{path}/cells"))
+
+    @classmethod
+    def append_centroids(cls, spark, path: str, rows: list[tuple]) -> None:
+        """A new version of the centres ``(forest, cell, centroid, n)`` of a saved index, as one file."""
+        last = spark.read.parquet(f"{path}/centroids").agg(F.max("version").alias("last")).first().last
+        table = spark.createDataFrame(rows, "forest int, cell int, centroid array<double>, n long")
+        table.withColumn("version", F.lit(last + 1)).coalesce(1).write.mode("append").parquet(f"{path}/centroids")
 
     def probes(self, queries: DataFrame, k: int, nprobe: int, forest: int) -> DataFrame:
         """Nearest ``nprobe`` cells per query ``(id, vec, cells)``; more while they hold fewer than k rows."""

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paperloom.functions import predicates, text
 from paperloom.functions.vectors import angular_distance
 from paperloom.operators import aggregates, features, neighbors, projections, relations, suggestions
+from paperloom.operators.backoff import BackoffModel
 from paperloom.operators.windows import assign_dense_ids, topk_per_query
 from paperloom.sources.models import SearchIndex
 from paperloom.staging import stage
@@ -86,13 +87,13 @@ def semantic_search(queries: DataFrame, papers: DataFrame, search: SearchFunctio
     return found.select("query_id", "rank", "dist", "id", "bibcode", "title", "abstract")
 
 
-def recommend(prompts: DataFrame, papers: DataFrame, search: SearchFunction, ngrams: DataFrame, n: int = 6,
+def recommend(prompts: DataFrame, papers: DataFrame, search: SearchFunction, model: BackoffModel, n: int = 6,
               k: int = 10, context_chars: int = 200) -> tuple[DataFrame, DataFrame]:
     """Text suggestions from the end of each prompt, and papers similar to the whole prompt.
 
-    ``ngrams`` counts the tokens of :func:`tfidf_tokens`, which also split the prompts.
+    ``model`` knows the tokens of :func:`tfidf_tokens`, which also split the prompts.
     """
     tail = text.tfidf_tokens(text.trim_context_chars(F.col("prompt"), context_chars))
-    suggested = suggestions.suggest_next(prompts, ngrams, tail, n)
+    suggested = suggestions.suggest_next(prompts, model, tail, n)
     asked = prompts.select(F.col("prompt_id").alias("query_id"), F.col("prompt").alias("query"))
     return suggested, semantic_search(asked, papers, search, k)
