@@ -10,7 +10,7 @@ from paperloom.functions.vectors import csv_to_vector, vector_to_csv
 from paperloom.operators import relations, windows
 from paperloom.queries.base import lit, query, scratch_path
 from paperloom.queries.texts import LEMMA_SQL, RAW_TOKENS_SQL, TOKENS_SQL, lemma_table
-from paperloom.sources import readers, sinks, store
+from paperloom.sources import buckets, readers, sinks, store
 
 
 def _labelled(t):
@@ -176,6 +176,38 @@ def delete_where(t):
     return store.delete_where(_labelled(t).select("doc_id", "quality"), F.col("quality") == 0)
 
 
+# The same changes on a table by buckets; the last column counts the buckets that a change of one key writes anew.
+
+@query("bucket_insert", """
+    SELECT doc_id, 'stored' AS origin, text FROM documents SEMI JOIN labels USING (doc_id)
+    UNION ALL SELECT doc_id, 'new', text FROM documents ANTI JOIN labels USING (doc_id)""")
+def bucket_insert(t):
+    stored = t.documents.join(t.labels, "doc_id", "left_semi").select("doc_id", F.lit("stored").alias("origin"), "text")
+    docs = t.documents.select("doc_id", F.lit("new").alias("origin"), "text", F.lit(0).alias("turn"))
+    again = t.documents.select("doc_id", F.lit("repeat").alias("origin"), "text", F.lit(1).alias("turn"))
+    table = buckets.BucketTable.create(stored, scratch_path(t, "table"), "doc_id", 16)
+    return table.insert_if_absent(docs.unionByName(again), ["turn"]).read()
+
+
+@query("bucket_update", f"""
+    SELECT doc_id, lang, CASE WHEN doc_id = (SELECT max(doc_id) FROM documents) THEN 'last' WHEN quality IS NULL THEN source ELSE 'q' || quality END AS source,
+      n_chars, 1 AS n_rewritten FROM {LABELLED}""")
+def bucket_update(t):
+    updates = t.labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source"))
+    table = buckets.BucketTable.create(t.documents.select("doc_id", "lang", "source", "n_chars"), scratch_path(t, "table"), "doc_id", 16)
+    table = table.update(updates, ["source"])
+    last = t.documents.agg(F.max("doc_id").alias("doc_id")).withColumn("source", F.lit("last"))
+    after = table.update(last, ["source"])
+    return after.read().withColumn("n_rewritten", F.lit(len(after.changed_since(table))))
+
+
+@query("bucket_delete", f"SELECT doc_id, quality FROM {LABELLED} WHERE NOT coalesce(quality = 0, false)")
+def bucket_delete(t):
+    path = scratch_path(t, "table")
+    buckets.BucketTable.create(_labelled(t).select("doc_id", "quality"), path, "doc_id", 16).delete(F.col("quality") == 0)
+    return buckets.BucketTable.open(t.spark, path).read()
+
+
 @query("write_scores_json", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def write_scores_json(t):
     path = scratch_path(t, "scores")
