@@ -5,16 +5,16 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fixed, text
 from paperloom.operators import aggregates, features
-from paperloom.plans import corpus, evaluate, ingest, profile, search
+from paperloom.plans import corpus, evaluate, ingest, profile, search, upkeep
 from paperloom.queries.base import between, lit, query, replaces, scratch_path, staged
-from paperloom.queries.stats import ngrams
+from paperloom.queries.language import backoff_model, suggest_sql
 from paperloom.queries.texts import (
     BODY_SQL, CATEGORIES, CATEGORY_ROWS, DECODE_STEP, HEX_STEPS, PUB_SQL, RAW_TOKENS_SQL, STOP_SQL, STOP_WORDS, TOKENS_SQL, WS,
     article, journal_sql,
 )
 from paperloom.sources import models, store
 from paperloom.streaming.ingest import stream_ingest
-from paperloom.streaming.search import stream_search
+from paperloom.streaming.search import stream_search, stream_search_changed
 
 
 def papers(t):
@@ -202,8 +202,10 @@ NORMAL = f"""list_filter({RAW_TOKENS_SQL}, lambda w: NOT list_contains({STOP_SQL
 PROCESSED_TOKENS = f"regexp_extract_all(array_to_string({NORMAL}, ' '), {lit(fixed.WORD_RUN)})"
 
 
-@query("semantic_search", f"""
-    WITH asked AS (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 100 = 0),
+# Up to 1,200 texts the production width keeps every component, so for texts of the corpus the projected angle
+# equals that of the centred TF-IDF vectors; every cell is probed. More texts have no counterpart in SQL.
+SEMANTIC = f"""
+    asked AS (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 100 = 0),
     tok AS (SELECT doc_id, unnest({PROCESSED_TOKENS}) AS term FROM documents),
     vocab AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tok GROUP BY term ORDER BY tf DESC, term LIMIT 16384),
     idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM vocab),
@@ -221,49 +223,98 @@ PROCESSED_TOKENS = f"regexp_extract_all(array_to_string({NORMAL}, ' '), {lit(fix
     xq AS (SELECT item_id, doc_id, sum(q.w * x.w) AS xq FROM q JOIN x USING (term) GROUP BY ALL),
     s AS (SELECT item_id, doc_id, (coalesce(xq, 0) - xm - qm + mm) / sqrt((xx - 2 * xm + mm) * (qq - 2 * qm + mm)) AS cos
           FROM dx CROSS JOIN dq CROSS JOIN mm LEFT JOIN xq USING (item_id, doc_id)),
-    r AS (SELECT item_id, doc_id, sqrt(greatest(2 * (1 - cos), 0)) AS dist FROM s)
-    SELECT item_id AS query_id, doc_id AS id, source AS title, round(dist, 4) AS dist,
-      row_number() OVER (PARTITION BY item_id ORDER BY round(dist, 6), doc_id) AS rank
-    FROM r JOIN documents USING (doc_id) QUALIFY rank <= 10""")
-def semantic_search(t):
-    # The production width. Up to 1,200 texts that keeps every component, so for texts of the corpus the projected
-    # angle equals that of the centred TF-IDF vectors; every cell is probed.
-    asked = t.documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    index = search.build_index(papers(t), cells=16, components=1200, stop_words=STOP_WORDS)
+    r AS (SELECT item_id, doc_id, sqrt(greatest(2 * (1 - cos), 0)) AS dist FROM s),
+    found AS (SELECT item_id AS query_id, doc_id AS id, source AS title, dist, row_number() OVER (PARTITION BY item_id ORDER BY round(dist, 6), doc_id) AS rank
+              FROM r JOIN documents USING (doc_id) QUALIFY rank <= 10)"""
+BIBCODE_SQL = "'d' || lpad(CAST({} AS VARCHAR), 12, '0')"
+
+
+def _asked(t):
+    """Every hundredth document as a query text."""
+    return t.documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _saved_index(t):
+    """An index of the production width, written and read back."""
     path = scratch_path(t, "index")
-    models.save_model(index, path)
-    index = models.load_model(t.spark, path)
+    models.save_model(search.build_index(papers(t), cells=16, components=1200, stop_words=STOP_WORDS), path)
+    return models.load_model(t.spark, path)
+
+
+@query("semantic_search", f"WITH {SEMANTIC} SELECT query_id, id, title, round(dist, 4) AS dist, rank FROM found")
+def semantic_search(t):
+    index = _saved_index(t)
     find = search.search_function(index, nprobe=16, stop_words=STOP_WORDS)
-    found = search.semantic_search(asked, index.papers, find)
+    found = search.semantic_search(_asked(t), index.papers, find)
     return found.select("query_id", "id", "title", F.round("dist", 4).alias("dist"), "rank")
 
 
-@query("build_index")
+@query("build_index", f"""
+    SELECT row_number() OVER (ORDER BY bibcode) - 1 AS id, bibcode, 1 AS n_cells, true AS nearest
+    FROM (SELECT {BIBCODE_SQL.format("doc_id")} AS bibcode FROM documents)""")
 def build_index(t):
+    # Every paper lies in one cell, whose centre is the nearest of all.
     index = search.build_index(papers(t), cells=32)
-    return index.cells.centroids.select("forest", "cell", F.size("centroid").alias("n_components"), "n")
-
-
-@query("recommend")
+    stored = index.cells.cells
+    nearest = index.cells.probes(stored.select("id", "vec"), 0, 1, 0).select("id", F.col("cells")[0].alias("near"))
+    placed = stored.join(nearest, "id").groupBy("id").agg(F.count("*").alias("n_cells"), F.bool_and(F.col("cell") == F.col("near")).alias("nearest"))
+    return index.papers.select("id", "bibcode").join(placed, "id", "left")
+
+
+@query("index_upkeep", f"""
+    SELECT row_number() OVER (ORDER BY doc_id % 3, bibcode) - 1 AS id, bibcode, 1 AS n_cells
+    FROM (SELECT doc_id, {BIBCODE_SQL.format("doc_id")} AS bibcode FROM documents)""")
+def index_upkeep(t):
+    # An index of a third of the papers takes the others in two steps, each with known ones among them.
+    path, every = scratch_path(t, "index"), papers(t)
+    third = lambda *rest: every.where(F.col("id").isNotNull() & (F.col("id") % 3).isin(*rest))
+    models.save_model(search.build_index(third(0), cells=16, stop_words=STOP_WORDS), path)
+    upkeep.add_papers(t.spark, path, third(0, 1), STOP_WORDS)
+    index = upkeep.add_papers(t.spark, path, third(1, 2), STOP_WORDS)
+    n_cells = index.cells.cells.groupBy("id").agg(F.countDistinct("cell").alias("n_cells"))
+    return index.papers.select("id", "bibcode").join(n_cells, "id", "left")
+
+
+@query("recommend", f"""
+    WITH {SEMANTIC},
+    {suggest_sql(f"SELECT item_id, t[greatest(len(t) - 39, 1) : len(t)] AS h FROM (SELECT item_id, {TOKENS_SQL.replace('(text)', '(right(text, 200))')} AS t FROM asked)", k=6)}
+    SELECT item_id AS prompt_id, 'text' AS kind, rank, suggestion AS value FROM suggested
+    UNION ALL SELECT query_id, 'paper', rank, {BIBCODE_SQL.format("id")} FROM found""")
 def recommend(t):
-    index = search.build_index(papers(t), cells=32)
-    prompts = t.benchmark.select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
-    suggested, similar = search.recommend(prompts, index.papers, search.search_function(index), ngrams(t))
+    index = _saved_index(t)
+    prompts = _asked(t).select(F.col("query_id").alias("prompt_id"), F.col("query").alias("prompt"))
+    find = search.search_function(index, nprobe=16, stop_words=STOP_WORDS)
+    suggested, similar = search.recommend(prompts, index.papers, find, backoff_model(t))
     texts = suggested.select("prompt_id", F.lit("text").alias("kind"), "rank", F.col("suggestion").alias("value"))
     return texts.unionByName(similar.select(
         F.col("query_id").alias("prompt_id"), F.lit("paper").alias("kind"), "rank", F.col("bibcode").alias("value")))
 
 
-@query("stream_search")
+@query("stream_search", f"WITH {SEMANTIC} SELECT query_id, rank, id, round(dist, 4) AS dist, {BIBCODE_SQL.format('id')} AS bibcode FROM found")
 def streamed_search(t):
-    index = search.build_index(papers(t), cells=16)
+    index = _saved_index(t)
     asked, sink = scratch_path(t, "asked"), scratch_path(t, "answers")
-    _queries(t).write.json(asked)
-    find = search.search_function(index, nprobe=16)
+    _asked(t).write.json(asked)
+    find = search.search_function(index, nprobe=16, stop_words=STOP_WORDS)
     stream_search(t.spark, asked, index.papers, find, sink, scratch_path(t, "checkpoint")).awaitTermination()
     return t.spark.read.parquet(sink).select("query_id", "rank", "id", F.round("dist", 4).alias("dist"), "bibcode")
 
 
+@query("stream_search_changed", f"""
+    WITH {SEMANTIC} SELECT CASE WHEN n = 1 THEN item_id ELSE -1 - item_id END AS query_id, f.rank, f.id, round(f.dist, 4) AS dist
+    FROM found f JOIN asked ON f.query_id = item_id CROSS JOIN (SELECT unnest([1, 2]) AS n)""")
+def streamed_changes(t):
+    # Files come three times: the queries, the same again with new ids beside them, and nothing new; each text is answered once an id.
+    index = _saved_index(t)
+    asked, sink, checkpoint = (scratch_path(t, name) for name in ("asked", "answers", "checkpoint"))
+    find = search.search_function(index, nprobe=16, stop_words=STOP_WORDS)
+    other = _asked(t).withColumn("query_id", -1 - F.col("query_id"))
+    for batch in (_asked(t), _asked(t).unionByName(other), other):
+        batch.write.mode("append").json(asked)
+        stream_search_changed(t.spark, asked, index.papers, find, sink, checkpoint).awaitTermination()
+    return t.spark.read.parquet(sink).select("query_id", "rank", "id", F.round("dist", 4).alias("dist"))
+
+
 @query("embed_papers", """
     SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS bibcode,
       CASE WHEN regexp_matches(lower(text), '[\\p{L}\\p{N}_]{2,}') THEN 256 END AS n_values FROM documents""")
