@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed, text
+from paperloom.operators import lemmas, sentences
 from paperloom.operators.relations import format_search_result, normalize_with_lemmas
 from paperloom.queries.base import between, lit, query, regexes, replaces, staged
 
@@ -271,6 +272,36 @@ def normalized_with_lemmas(t):
     return out.select("doc_id", F.col("processed").alias("c"))
 
 
+# Edits of the ends of words: what is kept is found letter by letter.
+ENDINGS_SQL = f"""
+    l AS ({LEMMA_SQL}),
+    kept AS (SELECT token, lemma, list_max(list_filter(range(0, least(length(token), length(lemma)) + 1), lambda n: left(token, n) = left(lemma, n))) AS k FROM l),
+    edits AS (SELECT token, length(token) - k AS cut, substr(lemma, k + 1) AS add FROM kept WHERE k >= 2),
+    sizes AS (SELECT unnest(range(1, 7)) AS size),
+    ending_counts AS (SELECT right(token, size) AS ending, cut, add, count(*) AS n FROM edits, sizes WHERE size <= length(token) AND size >= greatest(cut, 1) GROUP BY ALL),
+    ending_totals AS (SELECT right(token, size) AS ending, count(*) AS total FROM l, sizes WHERE size <= length(token) GROUP BY ALL),
+    endings AS (SELECT ending, cut, add, n FROM ending_counts JOIN ending_totals USING (ending)
+      QUALIFY row_number() OVER (PARTITION BY ending ORDER BY n DESC, cut, add) = 1 AND n >= 2 AND n >= 0.3 * total)"""
+
+
+@query("fit_endings", f"WITH {ENDINGS_SQL} SELECT ending, cut, add, n FROM endings")
+def fit_endings(t):
+    return lemmas.fit_endings(lemma_table(t))
+
+
+@query("lemmatise_tokens", f"""
+    WITH {ENDINGS_SQL},
+    tok AS (SELECT unnest({RAW_TOKENS_SQL}) AS token FROM documents),
+    unseen AS (SELECT DISTINCT token FROM tok ANTI JOIN l USING (token)),
+    guessed AS (SELECT token, left(token, length(token) - cut) || add AS lemma FROM unseen, sizes JOIN endings ON ending = right(token, size)
+      WHERE size <= length(token) AND length(token) - cut >= 2 QUALIFY row_number() OVER (PARTITION BY token ORDER BY size DESC) = 1)
+    SELECT token, coalesce(l.lemma, g.lemma, token) AS lemma, count(*) AS n FROM tok LEFT JOIN l USING (token) LEFT JOIN guessed g USING (token) GROUP BY ALL""")
+def lemmatise_tokens(t):
+    table = lemma_table(t)
+    tokens = t.spread("documents").select(F.explode(text.raw_tokens(F.col("text"))).alias("token"))
+    return lemmas.lemmatise_tokens(tokens, table, lemmas.fit_endings(table)).groupBy("token", "lemma").agg(F.count("*").alias("n"))
+
+
 @query("tfidf_tokens", f"SELECT doc_id, array_to_string({TOKENS_SQL}, ' ') AS c FROM documents")
 def tfidf_tokens(t):
     return _text(t, F.array_join(text.tfidf_tokens(F.col("text")), " "))
@@ -300,6 +331,76 @@ def chunk_sentences(t):
     return _chunks(t, text.chunk_sentences(F.col("text")))
 
 
+SPACES = r"[ \t\n\x0b\f\r]"
+_OPEN_SQL, _CLOSE_SQL = (lit(x) for x in (sentences._OPEN, sentences._CLOSE))
+
+
+def _bare_sql(word: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({word}), {_OPEN_SQL}, ''), {_CLOSE_SQL}, '')"
+
+
+def _type_sql(word: str) -> str:
+    return f"regexp_replace({_bare_sql(word)}, '\\.$', '')"
+
+
+def _fit_sql(k: str, n: str, p: str) -> str:
+    return f"({k} * ln(least(greatest({p}, 1e-12), 1 - 1e-12)) + ({n} - {k}) * ln(1 - least(greatest({p}, 1e-12), 1 - 1e-12)))"
+
+
+def _ratio_sql(both: str, first: str, second: str, total: str) -> str:
+    rest = f"greatest({total} - {first}, 1e-9)"
+    p, p1, p2 = f"({second} / {total})", f"({both} / {first})", f"(greatest({second} - {both}, 0) / {rest})"
+    return f"""CASE WHEN {both} / {first} > {p} THEN -2 * ({_fit_sql(both, first, p)} + {_fit_sql(f'({second} - {both})', rest, p)}
+      - {_fit_sql(both, first, p1)} - {_fit_sql(f'({second} - {both})', rest, p2)}) ELSE 0 END"""
+
+
+ABBREVIATIONS = f"""
+    ww AS (SELECT list_filter(regexp_split_to_array(text, {lit(SPACES + "+")}), lambda w: w <> '') AS w FROM documents),
+    bare AS (SELECT {_bare_sql("w")} AS w FROM (SELECT unnest(w) AS w FROM ww)),
+    marked AS (SELECT w, w LIKE '%.' AND w NOT LIKE '%..' AND length(w) > 1 AS period FROM bare WHERE w <> ''),
+    types AS (SELECT CASE WHEN period THEN left(w, length(w) - 1) ELSE w END AS type, count_if(period)::DOUBLE AS k, count(*)::DOUBLE AS n FROM marked GROUP BY ALL),
+    overall AS (SELECT sum(k) / sum(n) AS share FROM types),
+    parted AS (SELECT *, length(type) - length(replace(type, '.', '')) AS periods FROM types, overall
+               WHERE k > 0 AND regexp_matches(type, '\\p{{L}}') AND NOT regexp_matches(type, '\\d')),
+    abbreviation_scores AS (SELECT type, k, n, -2 * ({_fit_sql("k", "n", "share")} - {_fit_sql("k", "n", "0.99")}) * exp(-(length(type) - periods)) * (periods + 1)
+      * pow(length(type) - periods, -(n - k)) AS score FROM parted),
+    abbreviations AS (SELECT coalesce(list(type), []) AS abbreviations FROM abbreviation_scores WHERE score >= {sentences.ABBREVIATION})"""
+
+# The learnt lists, then the rule's pieces put together again where no sentence ends.
+LEARNT_CHUNKS = f"""
+    WITH {ABBREVIATIONS},
+    adjacent AS (SELECT unnest(w[1 : len(w) - 1]) AS a, unnest(w[2 : len(w)]) AS b FROM ww),
+    told AS (SELECT a, b, period, (period AND NOT list_contains(abbreviations, a)) OR ends AS sure, count(*)::DOUBLE AS n
+      FROM (SELECT {_type_sql("a")} AS a, {_type_sql("b")} AS b, a LIKE '%.' AS period, regexp_matches(a, '[!?]$') AS ends FROM adjacent), abbreviations GROUP BY ALL),
+    sums AS (SELECT sum(n) AS every, coalesce(sum(n) FILTER (sure), 0) AS sure FROM told),
+    begins AS (SELECT b, sum(n) AS n, sum(CASE WHEN sure THEN n ELSE 0 END) AS k FROM told GROUP BY b),
+    starters AS (SELECT coalesce(list(b), []) AS starters FROM begins, sums WHERE k > 0 AND regexp_matches(b, '^\\p{{L}}') AND {_ratio_sql("k", "sure", "n", "every")} >= {sentences.STARTER}),
+    firsts AS (SELECT a, sum(n) AS first FROM told WHERE period GROUP BY a),
+    met AS (SELECT a, b, sum(n) AS met FROM told, abbreviations WHERE period AND list_contains(abbreviations, a) GROUP BY a, b HAVING sum(n) > 1),
+    around AS (SELECT coalesce(list(a || ' ' || b), []) AS around FROM met JOIN firsts USING (a) JOIN (SELECT b, sum(n) AS second FROM told GROUP BY b) USING (b), sums, starters
+      WHERE NOT list_contains(starters, b) AND {_ratio_sql("met", "first", "second", "every")} >= {sentences.PAIR}),
+    parts AS (SELECT doc_id, string_split(regexp_replace(text, {lit("([.!?])(" + SPACES + ")")}, '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM documents),
+    pieces AS (SELECT doc_id, len(p) AS size, unnest(p) AS piece, generate_subscripts(p, 1) AS i, unnest(list_append(p[2 : len(p)], '')) AS after FROM parts),
+    ends AS (SELECT *, regexp_extract(piece, {lit("([^ \t\n\x0b\f\r]+)$")}, 1) AS word, regexp_extract(after, {lit("^" + SPACES + "+([^ \t\n\x0b\f\r]+)")}, 1) AS follows FROM pieces),
+    cut AS (SELECT doc_id, i, piece, i < size AND (NOT (word LIKE '%.' AND list_contains(abbreviations, {_type_sql("word")}))
+        OR (regexp_matches(regexp_replace(follows, {_OPEN_SQL}, ''), '^\\p{{Lu}}') AND list_contains(starters, {_type_sql("follows")})
+            AND NOT list_contains(around, {_type_sql("word")} || ' ' || {_type_sql("follows")}))) AS done
+      FROM ends, abbreviations, starters, around),
+    whole AS (SELECT doc_id, string_split(regexp_replace(string_agg(piece || CASE WHEN done THEN chr(1) ELSE '' END, '' ORDER BY i), chr(1) || {lit(SPACES + "*")}, chr(1), 'g'), chr(1)) AS l FROM cut GROUP BY doc_id)
+    SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS chunk_ix, unnest(l) AS chunk FROM whole"""
+
+
+@query("abbreviation_scores", f"WITH {ABBREVIATIONS} SELECT type, CAST(k AS BIGINT) AS with_period, CAST(n - k AS BIGINT) AS without, round(score, 4) AS score FROM abbreviation_scores")
+def abbreviation_scores(t):
+    return sentences.abbreviation_scores(t.spread("documents"), F.col("text")).withColumn("score", F.round("score", 4))
+
+
+@query("chunk_sentences_learnt", LEARNT_CHUNKS)
+def chunk_sentences_learnt(t):
+    model = sentences.fit_sentences(t.spread("documents"), "text")
+    return _chunks(t, model.chunks(F.col("text")))
+
+
 @query("chunk_newline", _chunks_sql("string_split(text, chr(10))"))
 def chunk_newline(t):
     return _chunks(t, text.chunk_newline(F.col("text")))
