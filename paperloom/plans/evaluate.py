@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from paperloom.functions import text
 from paperloom.functions.vectors import vector_to_csv
 from paperloom.operators import aggregates, clusters, features, neighbors, projections
+from paperloom.operators.descent import descend
+from paperloom.operators.layout import spectral_layout
 from paperloom.operators.windows import assign_dense_ids
 from paperloom.sources.readers import read_markdown_dir
 from paperloom.sources.sinks import write_scores_json
@@ -34,12 +36,13 @@ def chunk_documents(docs: DataFrame, chunker: Callable[[Column], Column], normal
 
 def evaluate_embeddings(
     docs: DataFrame, chunking: int | str | Callable[[Column], Column] = 100, encoder: Encoder = features.encode_text,
-    normalize: bool = False, neighbors_k: int = 10, metric: str = "euclidean", cells: int | None = None, nprobe: int = 8,
-) -> dict[str, DataFrame]:
-    """Scores, category similarities, projections and neighbour edges of the encoded chunks.
+    normalize: bool = False, neighbors_k: int = 10, metric: str = "squaredEuclidean", graph: str = "descent", cells: int = 64, nprobe: int = 8,
+) -> dict[str, DataFrame | Callable[[], DataFrame]]:
+    """Scores, category similarities, projections, neighbour edges of the encoded chunks and the layout of these.
 
-    The defaults compare all pairs of chunks twice. For many chunks, ``metric`` names a linear silhouette and
-    ``cells`` builds an index for the neighbours.
+    The work is linear in the chunks. All pairs are compared on request: ``metric="euclidean"`` for the silhouette,
+    ``graph="exact"`` for the neighbours; ``graph="cells"`` looks for them in an index. ``layout`` is a callable that
+    makes the layout, since it takes many passes over the edges.
     """
     chunks = chunk_documents(docs, text.chunker(chunking), normalize)
     points = encoder(chunks, "chunk").filter(F.col("embedding").isNotNull())
@@ -49,7 +52,12 @@ def evaluate_embeddings(
         clusters.davies_bouldin(points, "embedding", "label"),
         clusters.calinski_harabasz(points, "embedding", "label"),
     ]
-    index = None if cells is None else neighbors.CellIndex.build(points, cells, key="id", vec="embedding")
+    if graph == "descent":
+        edges = descend(points, neighbors_k, key="id", vec="embedding")[0]
+    else:
+        index = neighbors.CellIndex.build(points, cells, key="id", vec="embedding") if graph == "cells" else None
+        edges = neighbors.knn_graph(points, neighbors_k, key="id", vec="embedding", index=index, nprobe=nprobe)
+    edges = stage(edges, "neighbours")
     return {
         "points": points,
         "scores": points.sparkSession.range(1).select(*[s.scalar().alias(s.columns[0]) for s in scores]),
@@ -57,7 +65,8 @@ def evaluate_embeddings(
         "in_out": clusters.in_out_similarity(points, "embedding", "category"),
         "pca": projections.pca_2d(points, "id", "embedding"),
         "lda": projections.lda_2d(points, "id", "embedding", "label"),
-        "neighbors": neighbors.knn_graph(points, neighbors_k, key="id", vec="embedding", index=index, nprobe=nprobe),
+        "neighbors": edges,
+        "layout": lambda: spectral_layout(edges),
     }
 
 

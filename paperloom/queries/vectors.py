@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from paperloom.functions import vectors
-from paperloom.operators import clusters, features, neighbors, projections, windows
+from paperloom.operators import clusters, descent, features, neighbors, projections, windows
 from paperloom.queries.base import query
+from paperloom.staging import stage
 
 E = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 UNIT = """
@@ -93,6 +94,19 @@ def knn_graph(t):
     return _rounded(neighbors.knn_graph(t.embeddings, 10, key="vec_id", vec="embedding"), "dist")
 
 
+@query("knn_descent", """
+    SELECT count(*) AS n_points, 10 * count(*) AS n_links, true AS found
+    FROM documents WHERE regexp_matches(lower(text), '[\\p{L}\\p{N}_]{2,}')""")
+def knn_descent(t):
+    # Encoded documents; nine tenths of the exact neighbours of every hundredth must be found.
+    points = stage(features.encode_text(t.spread("documents").select("doc_id", "text"), "text").select("doc_id", "embedding"))
+    found = stage(descent.descend(points, 10, key="doc_id", vec="embedding")[0])
+    asked = points.where("doc_id % 100 = 0")
+    exact = neighbors.knn_exact(asked, points, 10, query_key="doc_id", key="doc_id", query_vec="embedding", vec="embedding", skip_self=True)
+    recall = descent.recall(found, exact)
+    return found.agg(F.countDistinct("query_id").alias("n_points"), F.count("*").alias("n_links")).withColumn("found", F.lit(recall >= 0.9))
+
+
 @query("pairwise_cosine", f"""
     WITH {UNIT}, c AS (SELECT a.vec_id, list_dot_product(a.u, b.u) AS cos FROM u a CROSS JOIN u b)
     SELECT vec_id, count(*) AS n_pairs, round(avg(cos), 4) AS mean_cos, round(min(cos), 4) AS min_cos,

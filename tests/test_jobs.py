@@ -99,7 +99,7 @@ def test_evaluate_folder(spark, tmp_path):
         kind = ("red", "blue", "green")[i % 3]
         (tmp_path / "docs" / f"{kind}-{i:02}.md").write_text(f"# {kind}\n" + f"{kind} things and {kind} words number {i} " * 20)
     out = evaluate.evaluate_folder(spark, str(tmp_path / "docs"), str(tmp_path / "scores"), chunking=lambda c: F.split(c, "number"),
-                                   neighbors_k=2, metric="cosine", cells=3, nprobe=3)
+                                   neighbors_k=2, metric="cosine", graph="cells", cells=3, nprobe=3)
     scores = spark.read.json(str(tmp_path / "scores")).first()
     assert set(scores.asDict()) == set(out["scores"].columns) and 0 < scores["silhouette"] <= 1
     assert out["neighbors"].select("query_id").distinct().count() == out["points"].count()
