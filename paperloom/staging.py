@@ -92,10 +92,15 @@ def discarding(spark: SparkSession):
             _open()[-1].append(item)
 
 
+def discard(staged: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    _delete(staged.sparkSession, staged._staged_at)
+
+
 def restage(df: DataFrame, previous: DataFrame, label: str = "stage") -> DataFrame:
     """Stage ``df`` and remove the earlier staged table that it replaces."""
     staged = stage(df, label)
-    _delete(df.sparkSession, previous._staged_at)
+    discard(previous)
     return staged
 
 
