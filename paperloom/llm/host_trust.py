@@ -14,15 +14,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.staging import stage
+from paperloom.staging import discard, stage
 
 #: verdict, host, path
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Rules are part of the plan; longer lists belong in seeds.
 MOST_RULES = 500
-FOLLOW, ROUNDS, SETTLED, MARGIN = 0.85, 20, 1e-12, 1e-9
+FOLLOW, MARGIN = 0.85, 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""[hH][rR][eE][fF][ \t\r\n]*=[ \t\r\n]*["']([^"'>]*)"""
+LINK = r"""[hH][rR][eE][fF][ \t\r\n]*=[ \t\r\n]*["']?[ \t\r\n]*([^"'> \t\r\n]*)"""
 ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"
 
 
@@ -60,55 +60,60 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return link.where(F.col("link").rlike(ABSOLUTE)).select(F.col("host").alias("s"), host_of(target).alias("t")).where("s <> t and t <> ''").groupBy("s", "t").agg(F.count("*").alias("n"))
 
 
-def spread(hosts: DataFrame, edges: DataFrame, follow: float = FOLLOW, rounds: int = ROUNDS) -> DataFrame:
-    """``host, trust, distrust`` after up to ``rounds`` steps from ``hosts(host, good, bad)``; fewer if nothing
-    moves. What a host without links would pass on is lost."""
+def spread(hosts: DataFrame, edges: DataFrame, follow: float = FOLLOW, rounds: int | None = None, margin: float = MARGIN) -> DataFrame:
+    """``host, trust, distrust`` from ``hosts(host, good, bad)``. What a host without links would pass on is lost.
+
+    All changes of a round together shrink by ``follow`` from round to round, so those of all further rounds are known to stay
+    below a sum; it ends when this is a tenth of ``margin``, or after ``rounds``.
+    """
     edges = edges.join(edges.groupBy("s").agg(F.sum("n").alias("outs")), "s").join(edges.groupBy("t").agg(F.sum("n").alias("ins")), "t")
     edges = stage(edges.select("s", "t", (F.col("n") / F.col("outs")).alias("forth"), (F.col("n") / F.col("ins")).alias("back")), "edges")
     named = edges.select(F.col("s").alias("host")).unionByName(edges.select(F.col("t").alias("host"))).distinct()
     hosts = stage(hosts.join(named, "host", "full").select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")), "hosts")
-    now = hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for _ in range(rounds):
+    now, number = stage(hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "trust"), 0
+    while rounds is None or number < rounds:
         good = edges.join(now, edges["s"] == now["host"]).select(F.col("t").alias("host"), (F.col("trust") * F.col("forth")).alias("g"), F.lit(0.0).alias("b"))
         bad = edges.join(now, edges["t"] == now["host"]).select(F.col("s").alias("host"), F.lit(0.0).alias("g"), (F.col("distrust") * F.col("back")).alias("b"))
         got = good.unionByName(bad).groupBy("host").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
         step = lambda seed, flow: (1 - follow) * F.col(seed) + follow * F.coalesce(flow, F.lit(0.0))
-        after = hosts.join(got, "host", "left").select("host", step("good", "g").alias("trust"), step("bad", "b").alias("distrust"))
+        before = now.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
+        after = hosts.join(got, "host", "left").join(before, "host").select("host", step("good", "g").alias("trust"), step("bad", "b").alias("distrust"), "t0", "d0")
         after = stage(after, "trust")
-        moved = after.join(now.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")), "host").agg(F.max(F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0")))).first()[0]
-        now = after
-        if (moved or 0.0) < SETTLED:
+        moved = after.agg(F.sum(F.abs(F.col("trust") - F.col("t0"))), F.sum(F.abs(F.col("distrust") - F.col("d0")))).first()
+        discard(now)
+        now, number = after, number + 1
+        if max(moved[0] or 0.0, moved[1] or 0.0) * follow / (1 - follow) <= margin / 10:
             break
-    return now
+    return now.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, follow: float = FOLLOW, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, follow: float = FOLLOW) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row of ``pages(page_id, url, html)``."""
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
     share = lambda kind: F.avg(F.when(F.col("by_rule") == kind, 1.0).otherwise(0.0))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
-    scores = spread(seeds, host_edges(parts.select("host", "html")), follow, rounds)
+    scores = spread(seeds, host_edges(parts.select("host", "html")), follow)
     blocked = scores.where(F.col("distrust") - F.col("trust") > MARGIN).select("host", F.lit("block").alias("by_host"))
     return ruled.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))
 
 
-def judge_sql(rounds: int = ROUNDS) -> str:
+#: Rounds of the statement in SQL, which can't see when nothing moves.
+SQL_ROUNDS = 200
+
+
+def judge_sql() -> str:
     """The same in one SQL statement over ``pages``."""
     host = lambda u: f"translate(regexp_extract(CASE WHEN contains({u}, '://') THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END, '^[^/?#]*', 0), '{UPPER}', '{LOWER}')"
-    steps = ",\n".join(f"""r{k} AS MATERIALIZED (
-  SELECT h.host, 0.15::DOUBLE * good + 0.85::DOUBLE * coalesce(g, 0) AS trust, 0.15::DOUBLE * bad + 0.85::DOUBLE * coalesce(b, 0) AS distrust
-  FROM h LEFT JOIN (SELECT t AS host, sum(trust * forth) AS g FROM e JOIN r{k - 1} ON s = host GROUP BY t) x ON h.host = x.host
-         LEFT JOIN (SELECT s AS host, sum(distrust * back) AS b FROM e JOIN r{k - 1} ON t = host GROUP BY s) y ON h.host = y.host)""" for k in range(1, rounds + 1))
     return f"""
-WITH p AS (SELECT page_id, html, coalesce({host('url')}, '') AS host,
+WITH RECURSIVE p AS (SELECT page_id, html, coalesce({host('url')}, '') AS host,
     coalesce(regexp_extract(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules(verdict, of, start) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 f AS (SELECT host AS h0, path AS p0, arg_max(of || start, length(of || start)) AS rule, arg_max(verdict, length(of || start)) AS by_rule
       FROM (SELECT DISTINCT host, path FROM p), rules WHERE (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY host, path),
 j AS (SELECT page_id, host, path, rule, by_rule FROM p LEFT JOIN f ON host = h0 AND path = p0),
-l AS (SELECT host AS s, unnest(regexp_extract_all(html, '[hH][rR][eE][fF][ \\t\\r\\n]*=[ \\t\\r\\n]*["'']([^"''>]*)', 1)) AS link FROM p WHERE host <> ''),
+l AS (SELECT host AS s, unnest(regexp_extract_all(html, '[hH][rR][eE][fF][ \\t\\r\\n]*=[ \\t\\r\\n]*["'']?[ \\t\\r\\n]*([^"''> \\t\\r\\n]*)', 1)) AS link FROM p WHERE host <> ''),
 n AS (SELECT s, {host('u')} AS t FROM (SELECT s, CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END AS u FROM l
       WHERE regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:)?//'))),
 c AS (SELECT s, t, count(*) AS n FROM n WHERE s <> t AND t <> '' GROUP BY s, t),
@@ -116,7 +121,13 @@ e AS MATERIALIZED (SELECT s, t, n / sum(n) OVER (PARTITION BY s) AS forth, n / s
 h AS MATERIALIZED (SELECT host, max(good) AS good, max(bad) AS bad FROM (
       SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good, avg(CASE WHEN by_rule = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS bad FROM j WHERE host <> '' GROUP BY host
       UNION ALL SELECT s, 0, 0 FROM e UNION ALL SELECT t, 0, 0 FROM e) GROUP BY host),
-r0 AS MATERIALIZED (SELECT host, good AS trust, bad AS distrust FROM h),
-{steps}
+r(k, host, trust, distrust) AS (
+  SELECT 0, host, good, bad FROM h
+  UNION ALL
+  SELECT k + 1, h.host, 0.15::DOUBLE * good + 0.85::DOUBLE * coalesce(g, 0), 0.15::DOUBLE * bad + 0.85::DOUBLE * coalesce(b, 0)
+  FROM (SELECT max(k) AS k FROM r) now, h
+  LEFT JOIN (SELECT t AS host, sum(trust * forth) AS g FROM e JOIN r ON s = host GROUP BY t) x ON h.host = x.host
+  LEFT JOIN (SELECT s AS host, sum(distrust * back) AS b FROM e JOIN r ON t = host GROUP BY s) y ON h.host = y.host
+  WHERE k < {SQL_ROUNDS})
 SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN distrust - trust > 1e-9 THEN 'block' END, 'allow') AS verdict
-FROM j LEFT JOIN r{rounds} r ON j.host = r.host"""
+FROM j LEFT JOIN (SELECT * FROM r WHERE k = {SQL_ROUNDS}) r ON j.host = r.host"""

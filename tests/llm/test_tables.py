@@ -128,6 +128,18 @@ def test_trust_by_power_iteration(spark):
         t, d = 0.15 * good + 0.85 * t @ forth, 0.15 * bad + 0.85 * back @ d
     found = {r["host"]: (r["trust"], r["distrust"]) for r in host_trust.spread(hosts, edges, rounds=5).collect()}
     assert all(found[f"h{i}"] == pytest.approx((t[i], d[i])) for i in range(n))
+    settled = {r["host"]: (r["trust"], r["distrust"]) for r in host_trust.spread(hosts, edges, margin=1e-4).collect()}
+    t, d = 0.15 * np.linalg.solve(np.eye(n) - 0.85 * forth.T, good), 0.15 * np.linalg.solve(np.eye(n) - 0.85 * back, bad)
+    assert all(settled[f"h{i}"] == pytest.approx((t[i], d[i]), abs=1e-4) for i in range(n))
+
+
+def test_distrust_reaches_the_far_end_of_a_chain(spark):
+    """Verdicts that depend on links alone, 30 steps from the only blocked page; links without quotes count."""
+    chain = [(i, f"http://h{i}.net/", f"<a href=http://h{i + 1}.net/x>x</a>") for i in range(30)] + [(30, "http://h30.net/", "<a HREF = 'http://end.com/de/1'>")]
+    pages = [*chain, (31, "http://end.com/de/1", ""), (40, "http://apart.net/", "<a href=http://good.org/>"), (41, "http://good.org/", "<a href=//liked.net>")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    verdict = {r["page_id"]: r["verdict"] for r in host_trust.judge(table).collect()}
+    assert all(verdict[i] == "block" for i in range(32)) and verdict[40] == verdict[41] == "allow"
 
 
 @settings(max_examples=80, deadline=None)
