@@ -111,6 +111,45 @@ def test_fertility(spark, rows, docs):
     assert fertility.judge(fertility.measure(cases.empty(spark), model)).count() == 0
 
 
+def test_scripts():
+    of = {"plain words": "latin", "ελληνικά": "greek", "по-русски": "cyrillic", "हिन्दी": "devanagari", "தமிழ்": "tamil", "ภาษาไทย": "thai", "ລາວ": "lao", "བོད": "tibetan",
+          "ქართული": "georgian", "ខ្មែរ": "khmer", "tiếng Việt đẹp": "latin", "日本語 かな": "han", "한국어": "hangul", "עברית": "hebrew", "العربية": "arabic", "123 !? \U0001f600": "none", "": "none"}
+    assert {t: fertility.script_of(t.encode()) for t in of} == {t: "script:" + name for t, name in of.items()}
+    firsts = [first for first, _ in fertility.SCRIPTS]
+    assert firsts == sorted(set(firsts))
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_fertility_bands_by_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(fertility, "FEW_GROUPS", few)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(700):
+        group, script = [("en", "script:latin"), ("de", "script:latin"), ("ru", "script:cyrillic"), (f"rare{i % 40}", "script:thai")][rng.choice(4, p=[0.6, 0.2, 0.15, 0.05])]
+        n_words = int(rng.choice([5, 25, 200]))
+        rows.append((i if i % 9 else None, group, script, n_words, n_words * 5, 0, 0, int(rng.choice([0, n_words // 2])), int(n_words * rng.choice([1, 2, 5])), float(rng.lognormal(1.2, 0.6)), float(rng.beta(1, 8)), float(rng.gamma(4, 1.2))))
+    found = sorted((tuple(r[c] for c in ("grp", "n_tokens", "chars_per_token", "base_failed", "fertile", "kept")) for r in fertility.judge(spark.createDataFrame(rows, fertility.MEASURES)).collect()), key=str)
+    names = [f.split()[0] for f in fertility.MEASURES.split(", ")]
+    table = [dict(zip(names, r, strict=True)) for r in rows]
+    middle = lambda own, c: sorted(r[c] for r in own)[(len(own) + 1) // 2 - 1] if own else 0.0
+    long = [r for r in table if r["n_tokens"] >= 64]
+    expected = []
+    for r in table:
+        bands = {}
+        for c in fertility.MEASURED:
+            mid = middle(long, c)
+            for level in ("script", "grp"):
+                own = [x for x in long if x[level] == r[level]]
+                mid = (len(own) * middle(own, c) + fertility.PRIOR_TEXTS * mid) / (len(own) + fertility.PRIOR_TEXTS)
+            bands[c] = mid
+        inside = fertility.SHORT * bands["chars_per_token"] <= r["chars_per_token"] <= fertility.LONG * bands["chars_per_token"] and r["byte_share"] <= bands["byte_share"] + fertility.BYTES and r["token_entropy"] >= fertility.POOR * bands["token_entropy"]
+        fertile = inside or not (r["n_tokens"] >= 64 or r["n_words"] >= 20)
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        expected.append((r["grp"], r["n_tokens"], r["chars_per_token"], failed, fertile, fertile and not failed))
+    assert found == sorted(expected, key=str)
+    assert any(e[4] for e in expected) and not all(e[4] for e in expected)
+
+
 def test_fertility_rejects_what_the_vocabulary_does_not_know(spark, rows):
     plain = [(i, t) for i, t in rows if t and len(t.split()) > 60][:120]
     strange = (500_000, " ".join("\u1200\u1201\u1202\u1203"[k % 4] * 3 + "\U00012000" * 2 + str(k) for k in range(100)))
