@@ -247,6 +247,9 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for text, own in zip(texts, spans, strict=True):
+            if own is None:
+                out.append(None)
+                continue
             raw = text.encode()
             at = [m.start() for m in word.finditer(raw)] + [len(raw)]
             parts, done = [], 0
@@ -255,11 +258,11 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 done = at[end]
             rest = b"".join([*parts, raw[done:]]).decode()
             out.append(rest if rest.strip() else None)
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     names = docs.columns
     marked = _with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")), width)
-    whole = marked.where("spans is null").select("row", "text")
-    less = marked.where("spans is not null").select("row", cut("text", "spans").alias("text")).where("text is not null")
-    both = whole.unionByName(less)
-    return both.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
+    less = cut(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans"))  # other texts stay where they are
+    both = marked.select("row", "text", "spans", less.alias("less")).where("spans is null or less is not null")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.col("less"))
+    return both.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names])
