@@ -2,7 +2,9 @@
 
 A candidate is a long run of key characters, cut at its equals signs, in a sensitive context: a word such as
 ``key`` before it in its context, its own name in ``NAME=value`` included, or another candidate before it with
-only white space or quotes between (the lines of a PEM body). Its novelty is the number of bytes it
+only white space or quotes between (the lines of a PEM body). So is any value of eight characters or more with digits, letters and marks or both
+cases that is set to a sensitive name. Addresses, paths and names made of words are none. A candidate within a base span
+adds nothing; one that reaches beyond is told whole. Its novelty is the number of bytes it
 adds to the zstandard frame of its surroundings, primed with a dictionary of the identifiers that surround
 candidates anywhere in the corpus, for each of its characters. Names and repeated values compress; secrets
 do not.
@@ -29,7 +31,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: A run of at least 16 of these bytes holds every base match of the last two kinds and every candidate.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|private|signature|access|session|login", re.ASCII | re.IGNORECASE)
+_NAMES = ("pass(?:word|wd|phrase|code)?", "pwd", "secrets?", "tokens?", "(?:api)?keys?", "auth(?:entication|orization)?", "bearer", "credentials?", "private", "signature", "access", "session", "login")
+_TITLED = "|".join(n.removeprefix("(?:api)?").capitalize() for n in _NAMES)
+#: A sensitive word by itself, or as a part of a name: api_key, apiKey, APIKEY_2, but not author, keynote or monkey.
+_WORD = rf"(?:(?<![A-Za-z])(?:{'|'.join(_NAMES)}|{_TITLED})(?![a-z])|(?<=[a-z])(?:{_TITLED})(?![a-z])|(?<![A-Za-z])(?:{'|'.join(n.upper().replace('(?:', '(?:') for n in _NAMES)})(?![A-Za-z]))"
+SENSITIVE = re.compile(_WORD, re.ASCII)
+#: A value set to a sensitive name, in quotes or up to white space, and what makes a short one worth measuring.
+VALUE = re.compile(_WORD + r"""\w{0,40}["']?[ \t]{0,8}[:=][ \t]{0,8}(?:"([^"\n]{8,200})"|'([^'\n]{8,200})'|([^\s"'<>]{8,200}))""", re.ASCII)
+MIXED = re.compile(r"(?=.*\d)(?=.*[A-Za-z])(?:.*[^A-Za-z0-9\s]|(?=.*[a-z]).*[A-Z])", re.ASCII)
+#: Parts of addresses, paths and names: words, also several in one with capitals, and small numbers.
+WORDY = re.compile(r"[A-Za-z]?[a-z]*(?:[A-Z][a-z]+)*\d{0,4}|[A-Z]+\d{0,4}", re.ASCII)
 #: Values of a run that sets names to values, and what may part the lines of one secret.
 PART = re.compile(r"[A-Za-z0-9+/_.-]{16,}")
 BETWEEN = re.compile(r"""(?:[\s=.'"|>-]|\\[nr])*""")
@@ -41,7 +52,8 @@ CONTEXT, IDENTIFIERS, NOVELTY = 160, 2000, 0.6
 
 _in_run = np.zeros(256, bool)
 _in_run[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
-_KEYWORDS = (b"passw", b"secret", b"token", b"api")
+_KEYWORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"bearer", b"credential", b"private", b"signature", b"access", b"session", b"login")
+_SET = re.compile(rb"[:=][ \t]*[\"']?[^\s\"'<>]{7}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -53,24 +65,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_name(value: str) -> bool:
+    """True for addresses, paths and names: at least three parts, and all of them words or small numbers."""
+    parts = [p for p in re.split(r"[/._=+-]+", value) if p]
+    return len(parts) >= 3 and all(WORDY.fullmatch(p) for p in parts)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str]]:
-    """``(start, end, before, after)`` of runs in a sensitive context that no base span touches."""
-    out, last = [], None
+    """``(start, end, before, after)`` of what lies in a sensitive context and in no base span: long runs, and shorter values or
+    values with other characters that are set to a sensitive name."""
+    found, last = [], None
     for run in RUN.finditer(text):
         # A run without a long part is one candidate.
         for part in list(PART.finditer(text, run.start(), run.end())) or [run]:
             value = part.group().strip("=.-")
             start = part.start() + part.group().index(value)
             end = start + len(value)
-            if len(value) < 16:
+            if len(value) < 16 or is_name(value):
                 continue
-            before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
             follows = last is not None and BETWEEN.fullmatch(text, last, start)
-            if not follows and not SENSITIVE.search(before):
+            if not follows and not SENSITIVE.search(text, max(0, start - CONTEXT), start):
                 continue
             last = end
-            if not any(s < end and start < e for s, _, e in base):
-                out.append((start, end, before, after))
+            found.append((start, end))
+    for m in VALUE.finditer(text):
+        start, end = m.span(m.lastindex)
+        end = start + len(text[start:end].rstrip(".,;:)]}"))
+        if end - start >= 8 and MIXED.match(text, start, end) and not is_name(text[start:end]) and "://" not in text[start:end]:
+            found.append((start, end))
+    out, reach, covered, place = [], -1, -1, 0
+    for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
+        while place < len(base) and base[place][0] <= start:
+            covered = max(covered, base[place][2])
+            place += 1
+        if end > covered and end > reach:  # neither within a base span nor within another candidate
+            out.append((start, end, text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]))
+            reach = end
     return out
 
 
@@ -87,7 +117,7 @@ def suspicious(column: pa.Array):
             own = raw[a:b]
             if i not in flagged:
                 low = own.lower()
-                if not any(k in low for k in _KEYWORDS):
+                if not any(k in low for k in _KEYWORDS) or not _SET.search(own):
                     continue
             yield first + i, own.decode("utf-8")
 
@@ -101,7 +131,8 @@ def _contexts(text: str) -> list[str]:
         for low, high in ((start - len(before), start), (end, end + len(after))):
             while first < len(values) and values[first][1] <= start - CONTEXT:
                 first += 1
-            for a, b in values[first:]:
+            for k in range(first, len(values)):
+                a, b = values[k]
                 if a >= high:
                     break
                 if b > low:

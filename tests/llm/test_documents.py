@@ -1,9 +1,12 @@
 """Operators on documents against brute force, over rows of every odd kind."""
 
 import hashlib
+import random
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -111,6 +114,53 @@ def test_fertility(spark, rows, docs):
     assert fertility.judge(fertility.measure(cases.empty(spark), model)).count() == 0
 
 
+def test_secrets_whole_short_and_named():
+    novelty = secrets.Novelty(b"")
+    novel = lambda text: [text[a:b] for a, kind, b in secrets.spans(text, novelty) if kind == 3]
+    split = "9fJ2kQz81LmNx0Pq7RtV" + "0123456789abcdef01" + "Zb71LmNsT4wEk39Dq0Vx"
+    assert novel(f'private_key = "{split}"') == [split]  # the hex inside is a base span of its own
+    assert [s[1] for s in secrets.suspicious(pa.array(["token =" + " " * 30 + "abcdefghijkl", "plain"]))] == ["token =" + " " * 30 + "abcdefghijkl"]
+    assert novel("pwd = hX7!kq@2Lw#9zB") == ["hX7!kq@2Lw#9zB"] and novel('dbPassword: "t0p$ecr3t"') == ["t0p$ecr3t"] and novel("pwd: Zx81kQ2w") == ["Zx81kQ2w"]
+    for plain in ("see the author page https://example.org/research/publications/statistics-of-galaxies.html", "The keynote was held in /usr/local/share/documentation/KeynoteSession2019",
+                  "monkey business of the compass-needle-and-the-keyboard", "token: something else", "the key: important", "password: required!", "session=2024-05-17", "access /var/log/apache2/access.log.2024", "KEYNOTE 9fJ2kQz81LmNx0Pq7RtVw3Yb"):
+        assert novel(plain) == [], plain
+    many = " ".join(f"key{i} = {hashlib.sha256(str(i).encode()).hexdigest()[:9].upper()}x{i}Zq7" for i in range(3000))
+    began = time.process_time()
+    assert len(secrets.candidates(many, secrets.base_spans(many))) == 3000 and len(secrets._contexts(many)) >= 3000
+    assert time.process_time() - began < 5
+
+
+def test_precision_and_recall_of_planted_secrets(spark, rows):
+    """Secrets and look-alikes in real texts: nine of ten secrets are found whole, nine of ten spans are secrets."""
+    rng = random.Random(11)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    mixed, marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "!@#$%^&*"
+    words = ["research", "galaxies", "statistics", "local", "share", "archive", "survey", "public", "index", "catalog"]
+    secret = [lambda: ("ACCESS_KEY=", draw(mixed + "+/", 40)), lambda: ("private_key: ", draw(mixed, 32)), lambda: ("Authorization: Bearer ", draw(mixed + "-_", 48)),
+              lambda: ("pwd = ", draw(mixed, 10) + rng.choice(marks) + draw("0123456789", 3)), lambda: ("the session key is ", draw(mixed, 24))]
+    alike = [lambda: "see the key page https://example.org/" + "/".join(rng.sample(words, 4)) + ".html", lambda: "access to /usr/" + "/".join(rng.sample(words, 4)),
+             lambda: "author " + "-".join(rng.sample(words, 4)), lambda: "login " + "_".join(rng.sample(words, 4)), lambda: "token: " + rng.choice(words), lambda: "passenger " + draw("abcdefgh", 20)]
+    texts = [t for i, t in rows if i < 10_000 and t][:150]
+    own, planted = [], {}
+    for i, text in enumerate(texts):
+        if i % 2:
+            before, value = rng.choice(secret)()
+            planted[i] = (len(text) + 1 + len(before), len(text) + 1 + len(before) + len(value))
+            own.append((i, f"{text} {before}{value} {texts[0][:80]}"))
+        else:
+            own.append((i, f"{text} {rng.choice(alike)()} {texts[1][:80]}"))
+    clean = {i: set(secrets_of(r)) for i, r in zip(range(len(texts)), secrets.find_secrets(cases.table(spark, list(enumerate(texts)))).orderBy("doc_id").collect(), strict=True)}
+    found = {r["doc_id"]: set(secrets_of(r)) - clean[r["doc_id"]] for r in secrets.find_secrets(cases.table(spark, own)).collect()}
+    hits = sum(any(a <= planted[i][0] and b >= planted[i][1] for _, a, b in found[i]) for i in planted)
+    good = sum(any(a < planted[i][1] and planted[i][0] < b for _, a, b in found[i]) for i in planted for _ in [0])
+    wrong = sum(len(found[i]) for i in found if i not in planted)
+    assert hits >= 0.9 * len(planted) and good / (good + wrong) >= 0.9, (hits, good, wrong, len(planted))
+
+
+def secrets_of(row):
+    return [(kind, int(a), int(b)) for kind, a, b in (x.split(":") for x in row["spans"].split(",") if x)]
+
+
 def test_scripts():
     of = {"plain words": "latin", "ελληνικά": "greek", "по-русски": "cyrillic", "हिन्दी": "devanagari", "தமிழ்": "tamil", "ภาษาไทย": "thai", "ລາວ": "lao", "བོད": "tibetan",
           "ქართული": "georgian", "ខ្មែរ": "khmer", "tiếng Việt đẹp": "latin", "日本語 かな": "han", "한국어": "hangul", "עברית": "hebrew", "العربية": "arabic", "123 !? \U0001f600": "none", "": "none"}
