@@ -119,7 +119,7 @@ def test_secrets_whole_short_and_named():
     novel = lambda text: [text[a:b] for a, kind, b in secrets.spans(text, novelty) if kind == 3]
     split = "9fJ2kQz81LmNx0Pq7RtV" + "0123456789abcdef01" + "Zb71LmNsT4wEk39Dq0Vx"
     assert novel(f'private_key = "{split}"') == [split]  # the hex inside is a base span of its own
-    assert [s[1] for s in secrets.suspicious(pa.array(["token =" + " " * 30 + "abcdefghijkl", "plain"]))] == ["token =" + " " * 30 + "abcdefghijkl"]
+    assert [s[1] for s in secrets.suspicious(pa.array(["token =" + " " * 30 + "abcdefghijkl", " plain"]))] == ["token =" + " " * 30 + "abcdefghijkl"]
     assert novel("pwd = hX7!kq@2Lw#9zB") == ["hX7!kq@2Lw#9zB"] and novel('dbPassword: "t0p$ecr3t"') == ["t0p$ecr3t"] and novel("pwd: Zx81kQ2w") == ["Zx81kQ2w"]
     for plain in ("see the author page https://example.org/research/publications/statistics-of-galaxies.html", "The keynote was held in /usr/local/share/documentation/KeynoteSession2019",
                   "monkey business of the compass-needle-and-the-keyboard", "token: something else", "the key: important", "password: required!", "session=2024-05-17", "access /var/log/apache2/access.log.2024", "KEYNOTE 9fJ2kQz81LmNx0Pq7RtVw3Yb"):
