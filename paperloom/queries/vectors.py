@@ -232,9 +232,9 @@ def pca_2d(t):
       SELECT 0, w, list_transform(w, lambda row, i: list_transform(row, lambda a, j: CASE WHEN i = j THEN 1 / list_sum(list_transform(w, lambda r, k: r[k])) ELSE 0 END)) FROM wide
       UNION ALL
       SELECT s + 1, w, list_transform(v, lambda a, i: list_transform(v, lambda b, j: 2 * a[j] - list_dot_product(vw[i], b)))
-      FROM (SELECT *, list_transform(v, lambda a: list_transform(w, lambda b: list_dot_product(a, b))) AS vw FROM newton) WHERE s < 60),
+      FROM (SELECT *, list_transform(v, lambda a: list_transform(w, lambda b: list_dot_product(a, b))) AS vw FROM newton) WHERE s < 24),
     m AS (SELECT newton.w, b, list_transform(v, lambda p: list_transform(b, lambda q: list_dot_product(p, q))) AS m,
-            list_transform(b, lambda p: list_transform(v, lambda q: list_dot_product(p, q))) AS t FROM newton, wide WHERE s = 60),
+            list_transform(b, lambda p: list_transform(v, lambda q: list_dot_product(p, q))) AS t FROM newton, wide WHERE s = 24),
     step(k, s, w, b, m, t, p, q, axis) AS (
       SELECT 0, 0, w, b, m, t, m, t, NULL::DOUBLE[] FROM (SELECT m.w, m.b, m.m, m.t FROM m)
       UNION ALL
