@@ -300,21 +300,6 @@ def streamed_search(t):
     return t.spark.read.parquet(sink).select("query_id", "rank", "id", F.round("dist", 4).alias("dist"), "bibcode")
 
 
-@query("stream_search_changed", f"""
-    WITH {SEMANTIC} SELECT CASE WHEN n = 1 THEN item_id ELSE -1 - item_id END AS query_id, f.rank, f.id, round(f.dist, 4) AS dist
-    FROM found f JOIN asked ON f.query_id = item_id CROSS JOIN (SELECT unnest([1, 2]) AS n)""")
-def streamed_changes(t):
-    # Files come three times: the queries, the same again with new ids beside them, and nothing new; each text is answered once an id.
-    index = _saved_index(t)
-    asked, sink, checkpoint = (scratch_path(t, name) for name in ("asked", "answers", "checkpoint"))
-    find = search.search_function(index, nprobe=16, stop_words=STOP_WORDS)
-    other = _asked(t).withColumn("query_id", -1 - F.col("query_id"))
-    for batch in (_asked(t), _asked(t).unionByName(other), other):
-        batch.write.mode("append").json(asked)
-        stream_search_changed(t.spark, asked, index.papers, find, sink, checkpoint).awaitTermination()
-    return t.spark.read.parquet(sink).select("query_id", "rank", "id", F.round("dist", 4).alias("dist"))
-
-
 @query("embed_papers", """
     SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS bibcode,
       CASE WHEN regexp_matches(lower(text), '[\\p{L}\\p{N}_]{2,}') THEN 256 END AS n_values FROM documents""")
@@ -380,3 +365,26 @@ def search_callable(t):
 
     found = search.semantic_search(_queries(t), papers(t), next_ids)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("dist", 4).alias("dist"), "id", "title")
+
+
+def next_ids(asked, k):
+    """Hits that SQL can repeat: the documents whose ids follow that of the query."""
+    hits = asked.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("r"))
+    return hits.select("query_id", (F.col("query_id") % 1_000_000_000 + F.col("r")).alias("id"), (F.col("r") / 10.0).alias("dist"), (F.col("r") + 1).alias("rank"))
+
+
+@query("stream_search_changed", """
+    SELECT q.query_id, r + 1 AS rank, d.doc_id AS id, q.times AS times
+    FROM (SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS times FROM documents
+          UNION ALL SELECT doc_id + 1000000000, 1 FROM documents) q,
+      (SELECT unnest(range(10)) AS r), documents d WHERE d.doc_id = q.query_id % 1000000000 + r""")
+def streamed_changes(t):
+    # Every document asks; the same again with new ids beside them; then the even ones with another text and the rest unchanged.
+    first = t.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    other = first.withColumn("query_id", F.col("query_id") + 1_000_000_000)
+    changed = first.withColumn("query", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("new "), F.coalesce("query", F.lit("")))).otherwise(F.col("query")))
+    asked, sink, checkpoint = (scratch_path(t, name) for name in ("asked", "answers", "checkpoint"))
+    for batch in (first, first.unionByName(other), changed):
+        batch.write.mode("append").json(asked)
+        stream_search_changed(t.spark, asked, papers(t), next_ids, sink, checkpoint).awaitTermination()
+    return t.spark.read.parquet(sink).groupBy("query_id", F.col("rank").cast("long").alias("rank"), "id").agg(F.count("*").alias("times"))

@@ -9,8 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.plans.search import SearchFunction, semantic_search
+from paperloom.staging import stage
 
 QUERIES = "query_id long, query string"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def stream_search(spark: SparkSession, path: str, papers: DataFrame, search: SearchFunction, sink: str,
@@ -22,7 +24,8 @@ def stream_search(spark: SparkSession, path: str, papers: DataFrame, search: Sea
 
 def _answered(lines: DataFrame, papers: DataFrame, search: SearchFunction, sink: str, checkpoint: str, k: int) -> StreamingQuery:
     def answer(batch: DataFrame, number: int) -> None:
-        found = semantic_search(batch, papers, search, k)
+        asked = stage(batch, "asked")  # a batch is read more than once, and a state must be met only once
+        found = semantic_search(asked, papers, search, k)
         found.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return lines.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -56,6 +59,14 @@ def changed_queries(lines: DataFrame, expire_minutes: int = 24 * 60) -> DataFram
 
 def stream_search_changed(spark: SparkSession, path: str, papers: DataFrame, search: SearchFunction, sink: str,
                           checkpoint: str, k: int = 10, expire_minutes: int = 24 * 60) -> StreamingQuery:
-    """As :func:`stream_search`, but a query that comes again with the same text isn't answered again."""
+    """As :func:`stream_search`, but a query that comes again with the same text isn't answered again.
+
+    Ids expire when files come: batches without data, which would follow each other without end, are off.
+    """
     lines = spark.readStream.schema(QUERIES).json(path)
-    return _answered(changed_queries(lines, expire_minutes), papers, search, sink, checkpoint, k)
+    before = spark.conf.get(_EMPTY_BATCHES)
+    spark.conf.set(_EMPTY_BATCHES, "false")
+    try:  # a started stream keeps the settings it began with
+        return _answered(changed_queries(lines, expire_minutes), papers, search, sink, checkpoint, k)
+    finally:
+        spark.conf.set(_EMPTY_BATCHES, before)
