@@ -36,12 +36,12 @@ def chunk_documents(docs: DataFrame, chunker: Callable[[Column], Column], normal
 
 def evaluate_embeddings(
     docs: DataFrame, chunking: int | str | Callable[[Column], Column] = 100, encoder: Encoder = features.encode_text,
-    normalize: bool = False, neighbors_k: int = 10, metric: str = "squaredEuclidean", graph: str = "descent", cells: int = 64, nprobe: int = 8,
+    normalize: bool = False, neighbors_k: int = 10, metric: str = "squaredEuclidean", graph: str = "cells", cells: int = 64, nprobe: int = 8,
 ) -> dict[str, DataFrame | Callable[[], DataFrame]]:
     """Scores, category similarities, projections, neighbour edges of the encoded chunks and the layout of these.
 
     The work is linear in the chunks. All pairs are compared on request: ``metric="euclidean"`` for the silhouette,
-    ``graph="exact"`` for the neighbours; ``graph="cells"`` looks for them in an index. ``layout`` is a callable that
+    ``graph="exact"`` for the neighbours, which are looked for in the cells of an index; ``graph="descent"`` needs none. ``layout`` is a callable that
     makes the layout, since it takes many passes over the edges.
     """
     chunks = chunk_documents(docs, text.chunker(chunking), normalize)
