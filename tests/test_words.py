@@ -58,6 +58,20 @@ def test_without_abbreviations_the_rule_holds(spark, column):
     assert column(model.chunks, ["Dr. Who left. A.b. The end. (a.b. c) Dr. The x."]) == [["Dr. Who left.", "A.b.", "The end.", "(a.b. c) Dr. The x."]]
 
 
+def test_lists_of_any_size(spark, tmp_path, monkeypatch):
+    """The query needs no list on the driver; the sentences are those of the expression."""
+    from paperloom.queries import QUERIES
+
+    rows = [(i, " ".join(own)) for i, own in enumerate(golden(3, 300))] + [(7, "Dr. Smith left. "), (None, "a. b"), (900, None), (901, ""), (902, "e.g. The end.  We  know")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    model = sentences.fit_sentences(df, "text")
+    expected = df.select("doc_id", F.posexplode(model.chunks(F.col("text"))).alias("chunk_ix", "chunk")).collect()
+    monkeypatch.setattr(sentences, "MOST", 1)
+    got = QUERIES["chunk_sentences_learnt"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
 def test_no_text_no_model(spark):
     model = sentences.fit_sentences(spark.createDataFrame([("",), (None,)], "t string"), "t")
     assert (model.abbreviations, model.starters, model.pairs) == ([], [], [])
