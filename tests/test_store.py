@@ -199,3 +199,16 @@ def test_staging_reads_the_named_folder(spark):
     assert sorted(r.id for r in second.collect()) == [1, 2, 3]
     with pytest.raises(Exception):
         first.collect()
+
+
+def test_a_staged_table_counts_with_its_rows(spark):
+    """Rows that compress to little are not sent to every task."""
+    from paperloom.operators.relations import lookup_ids
+    from paperloom.staging import stage
+
+    papers = spark.range(10).withColumn("title", F.lit("t"))
+    planned = lambda hits: lookup_ids(hits, papers)._jdf.queryExecution().optimizedPlan().toString()
+    hits = lambda n: stage(spark.range(n).select(F.lit(1).cast("long").alias("query_id"), F.lit(2).cast("long").alias("id"), F.lit(0.5).alias("dist")), "hits")
+    assert "strategy=broadcast" in planned(hits(1000))
+    assert "strategy=broadcast" not in planned(hits(2_000_000))
+    assert lookup_ids(hits(1000), papers).count() == 1000
