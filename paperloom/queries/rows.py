@@ -1,6 +1,8 @@
 """Predicates, joins, orders and the papers table over the test tables."""
 
+import os
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -128,12 +130,35 @@ def write_text_corpus(t):
     return readers.read_text_lines(t.spark, path).groupBy("value").agg(F.count("*").alias("n"))
 
 
+def _write_files(texts, path):
+    """``(name, text)`` rows as one file ``name.txt`` each, in one folder.
+
+    Spark's writer takes a folder and two processes (chmod of the file and of its checksum) for each file of a local folder, so
+    the tasks write these themselves; each file appears whole, and a task that is run again writes the same ones.
+    """
+    if urlparse(path).scheme not in ("", "file"):
+        texts.withColumn("text", F.coalesce("text", F.lit(""))).write.partitionBy("name").text(path)
+        return
+    folder = urlparse(path).path
+    os.makedirs(folder)
+
+    def write(rows):
+        for row in rows:
+            beside = f"{folder}/.{row['name']}-{uuid.uuid4().hex}"
+            with open(beside, "w", encoding="utf-8", newline="") as file:
+                file.write(row["text"] + "\n")
+            os.replace(beside, f"{folder}/{row['name']}.txt")
+
+    texts.foreachPartition(write)
+
+
 @query("read_markdown_dir", "SELECT '# ' || text || chr(10) AS text, true AS named FROM documents")
 def read_markdown_dir(t):
-    """One file for each document; Spark gives the names."""
+    """One file for each document; rows that share an id are in one."""
     path = scratch_path(t, "markdown")
     named = t.documents.select(F.concat(F.lit("# "), "text").alias("text"), F.col("doc_id").cast("string").alias("doc"))
-    named.repartition("doc").write.partitionBy("doc").text(path)
+    joined = F.array_join(F.collect_list(F.coalesce("text", F.lit(""))), "\n")
+    _write_files(named.groupBy("doc").agg(joined.alias("text")).select(F.concat_ws("-", F.lit("doc"), "doc").alias("name"), "text"), path)
     return readers.read_markdown_dir(t.spark, path, "*.txt").select("text", F.col("file").endswith(".txt").alias("named"))
 
 

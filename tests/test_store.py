@@ -1,6 +1,7 @@
 """Sources, sinks and the papers table on small tables."""
 
 import json
+from pathlib import Path
 
 import pytest
 
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from paperloom import schema, staging
 from paperloom.operators import relations, windows
 from paperloom.plans import corpus, ingest
+from paperloom.queries import QUERIES
 from paperloom.sources import readers, sinks, store
+from paperloom.staging import shared_dir
 
 
 def rows(df, *order):
@@ -212,3 +215,15 @@ def test_a_staged_table_counts_with_its_rows(spark):
     assert "strategy=broadcast" in planned(hits(1000))
     assert "strategy=broadcast" not in planned(hits(2_000_000))
     assert lookup_ids(hits(1000), papers).count() == 1000
+
+
+def test_markdown_files_lie_in_one_folder(spark, tmp_path):
+    """A file for each document and no folder for each: rows that share an id are in one file, a null text is an empty line."""
+    rows = [(1, "a\nb"), (2, "c"), (2, "d"), (3, None), (None, "e"), (4, "\x85é\r\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    known = set(Path(shared_dir(spark)).glob("paperloom/markdown-*"))
+    got = [tuple(r) for r in QUERIES["read_markdown_dir"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(x, True) for x in ("# a\nb\n", "\n", "# e\n", "# \x85é\r\n\n")] + [r for r in got if r[0] in ("# c\n# d\n", "# d\n# c\n")], key=str)
+    assert len(got) == 5
+    folder, = set(Path(shared_dir(spark)).glob("paperloom/markdown-*")) - known
+    assert len(list(folder.iterdir())) == 5 and all(f.is_file() for f in folder.iterdir())
