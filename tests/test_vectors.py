@@ -251,3 +251,56 @@ def test_linear_silhouette(points):
             scores.append((b - a) / max(a, b))
         got = neighbors.silhouette(points, "id", "vec", "label", metric).first().silhouette
         assert abs(got - np.mean(scores)) < 1e-6
+
+
+def test_space_of_components_stays_small(monkeypatch):
+    """The space starts again at twice the needed pairs, and isn't examined before it can hold them."""
+    d, k, sizes, solve = 1500, 100, [], np.linalg.eigh
+    values = 1 / np.sqrt(1 + np.arange(d))
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: sizes.append(len(a)) or solve(a))
+    found, axes = projections.leading_pairs(lambda block: values[:, None] * block, d, values.sum(), lambda v: k if len(v) >= k else None, 1400, 32)
+    assert k <= min(sizes) and max(sizes) <= 2 * k + 2 * 32
+    assert np.allclose(found[:k], values[:k], rtol=1e-5) and axes.shape == (d, k)
+
+
+def test_saved_components_come_back_in_parts(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(projections, "SAVED", 3)
+    for k in (0, 1, 8):
+        model = projections.PcaModel(rng.standard_normal(20), rng.standard_normal((20, k)), rng.random(k))
+        model.save(spark, f"{tmp_path}/{k}")
+        back = projections.PcaModel.load(spark, f"{tmp_path}/{k}")
+        assert np.array_equal(back.mean, model.mean) and np.array_equal(back.components, model.components) and np.array_equal(back.ratio, model.ratio)
+
+
+def test_products_by_dense_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(features, "BLOCK_ROWS", 4)
+    sizes = np.array([3, 0, 5, 1, 0, 0, 0, 0, 2, 4])
+    indices = np.concatenate([rng.choice(30, n, replace=False) for n in sizes])
+    values, m = rng.standard_normal(len(indices)), rng.standard_normal((30, 6))
+    dense = np.zeros((10, 30))
+    dense[np.repeat(np.arange(10), sizes), indices] = values
+    assert np.allclose(features.times_matrix(indices, values, sizes, m), dense @ m)
+    assert all(part.shape[0] <= 4 for _, _, part in features.dense_blocks(indices, values, sizes, 30))
+
+
+def test_a_task_hands_on_k_rows_a_query(spark):
+    """However many tiles it meets, and in however many batches; ties go to the smaller id."""
+    rng = np.random.default_rng(2)
+    corpus = rng.standard_normal((40, 4))
+    corpus[20:] = corpus[:20]
+    corpus /= np.linalg.norm(corpus, axis=1, keepdims=True)
+    left = [float(x) for x in corpus[:7].ravel()]
+    tiles = [(list(range(7)), left, list(range(a, a + 5)), [float(x) for x in corpus[a:a + 5].ravel()]) for a in (35, 10, 0, 5, 20, 15, 25, 30)]
+    pairs = spark.createDataFrame(tiles, "l_ids array<long>, l_vecs array<double>, r_ids array<long>, r_vecs array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = neighbors._tile_topk(pairs, 3, True).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    dist = np.sqrt(np.maximum(2 - 2 * corpus[:7] @ corpus.T, 0))
+    dist[np.arange(7), np.arange(7)] = np.inf
+    wanted = [(q, int(i)) for q in range(7) for i in np.lexsort((np.arange(40), np.round(dist[q], 6)))[:3]]
+    assert sorted((r.query_id, r.id) for r in got) == sorted(wanted)
