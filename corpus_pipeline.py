@@ -13,7 +13,8 @@ from paperloom.staging import discarding, stage
 
 #: Texts whose language is less certain than this go, and those without a letter.
 LEAST_SCORE = 0.35
-#: Memory of a packing task beside what executors hold from the stages before.
+#: Text of a task that compares passages, and memory of a packing task, beside what executors hold from the stages before.
+LEAN_BATCH = 3_000_000
 LEAN = {"slice_bytes": 6_000_000, "kept_words": 200_000, "kept_pieces": 250_000}
 
 
@@ -37,7 +38,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of passages that also start earlier; texts of nothing else go."""
-    return _sized(repeats.remove(docs))
+    return _sized(repeats.remove(docs, batch_bytes=LEAN_BATCH))
 
 
 def redacted_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,11 +33,11 @@ WIDTH = 20
 BATCH_BYTES = 8_000_000
 
 
-def _parts(batch: pa.RecordBatch):
+def _parts(batch: pa.RecordBatch, most: int):
     """``(ids, bytes, offsets, first word of each text, word hashes)`` of slices of a batch; null ids are left out."""
     batch = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
     ids = batch.column("doc_id").to_numpy()
-    for first, last, data, offsets in text_slices(batch.column("text"), BATCH_BYTES):
+    for first, last, data, offsets in text_slices(batch.column("text"), most):
         starts, ends, of = split_words(data, offsets)
         yield ids[first:last], data, offsets, of, word_hashes(data, starts, ends)
 
@@ -49,13 +49,13 @@ def _inside(of: np.ndarray, count: int, width: int) -> tuple[np.ndarray, np.ndar
     return at, owner
 
 
-def block_filter(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
+def block_filter(texts: DataFrame, width: int = WIDTH, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
     """The filter of all reference blocks."""
     block = width // 2
 
     def run(batches):
         for batch in batches:
-            for _, _, _, of, hashes in _parts(batch):
+            for _, _, _, of, hashes in _parts(batch, batch_bytes):
                 rolling = windows(hashes, block)
                 at, owner = _inside(of, len(rolling), block)
                 at = at[(at - of[owner[at]]) % block == 0]
@@ -65,14 +65,14 @@ def block_filter(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
     return build_filter(texts.mapInArrow(frugal(run), "slice int, hashes binary"))
 
 
-def repeated_filter(texts: DataFrame, blocks: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def repeated_filter(texts: DataFrame, blocks: np.ndarray, width: int = WIDTH, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
     """The filter of block contents that occur at two places or more, counted exactly."""
     block = width // 2
     shared = share(texts.sparkSession, blocks)
 
     def probe(batches):
         for batch in batches:
-            for _, _, _, of, hashes in _parts(batch):
+            for _, _, _, of, hashes in _parts(batch, batch_bytes):
                 rolling = windows(hashes, block)
                 at, owner = _inside(of, len(rolling), block)
                 at = at[passes(rolling[at], shared.value)]
@@ -92,7 +92,7 @@ def repeated_filter(texts: DataFrame, blocks: np.ndarray, width: int = WIDTH) ->
 PLACE = "h1 long, h2 int, doc_id long, place long, run long"
 
 
-def extended(texts: DataFrame, repeated: np.ndarray, width: int = WIDTH) -> DataFrame:
+def extended(texts: DataFrame, repeated: np.ndarray, width: int = WIDTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Full windows around hits: the first of its content in a batch by hash, with ``run`` 0, and runs of
     windows that repeat one of the same batch. ``place`` is the text's checksum, then the start word."""
     block = width // 2
@@ -134,7 +134,7 @@ def extended(texts: DataFrame, repeated: np.ndarray, width: int = WIDTH) -> Data
 
     def run(batches):
         for batch in batches:
-            for part in _parts(batch):
+            for part in _parts(batch, batch_bytes):
                 for h1, h2, doc, place, runs in places(*part):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), h2, doc, place, runs)], names=["h1", "h2", "doc_id", "place", "run"])
 
@@ -197,15 +197,18 @@ def covered_words(later: DataFrame, width: int = WIDTH) -> DataFrame:
     return later.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, "id long, mark long, spans binary")
 
 
-def find_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``id, mark, spans`` of every text with repeated windows; ``mark`` is half its CRC-32."""
+def find_repeats(docs: DataFrame, width: int = WIDTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``id, mark, spans`` of every text with repeated windows; ``mark`` is half its CRC-32.
+
+    ``batch_bytes`` of text are compared within a task at a time: fewer take less memory and shuffle more rows.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    repeated = repeated_filter(texts, block_filter(texts, width), width)
-    return stage(covered_words(later_places(extended(texts, repeated, width)), width), "repeats")
+    repeated = repeated_filter(texts, block_filter(texts, width, batch_bytes), width, batch_bytes)
+    return stage(covered_words(later_places(extended(texts, repeated, width, batch_bytes)), width), "repeats")
 
 
-def _with_spans(docs: DataFrame, width: int) -> DataFrame:
-    found = find_repeats(docs, width)
+def _with_spans(docs: DataFrame, width: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    found = find_repeats(docs, width, batch_bytes)
     half = F.shiftright(F.crc32(F.col("text").cast("string").cast("binary")), 1)
     keyed = docs.withColumn("half_of_crc_", half)
     return keyed.join(found, (F.col("doc_id").cast("long") == found["id"]) & (F.col("half_of_crc_") == found["mark"]), "left").drop("half_of_crc_", "id", "mark")
@@ -236,7 +239,7 @@ def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return _with_spans(picked, width).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove(docs: DataFrame, width: int = WIDTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``docs`` with repeated words cut out of ``text``; the rest keeps its white space. Texts without a repeat
     are unchanged, and those of which nothing is left are dropped."""
     import re
@@ -261,7 +264,7 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     names = docs.columns
-    marked = _with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")), width)
+    marked = _with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", F.col("text").cast("string").alias("text")), width, batch_bytes)
     less = cut(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans"))  # other texts stay where they are
     both = marked.select("row", "text", "spans", less.alias("less")).where("spans is null or less is not null")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.col("less"))

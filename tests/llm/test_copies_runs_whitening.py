@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from paperloom.llm import QUERIES, exact_copies, periodic_runs, whitening
+from paperloom.llm import QUERIES, exact_copies, periodic_runs, repeats, whitening
 from paperloom.llm.queries import periodic_tail
 from tests.llm import cases
 
@@ -252,3 +252,11 @@ def test_sums_are_added_by_a_tree(spark, monkeypatch):
     assert (n, sums) == (400, x.sum(axis=0).tolist()) and abs(float(trace) - np.trace(np.cov(x.T, bias=True))) < 1e-6
     block = rng.normal(size=(20, 5))
     assert np.allclose(whitening.covariance_times(fit, n, sums)(block), np.cov(x.T, bias=True) @ block)
+
+
+def test_repeats_by_smaller_batches(spark):
+    """What a task compares at a time changes no result; a passage is found across slices of one row each."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"own{i} {passage} end{i}" if i % 3 else f"x{i} y{i}") for i in range(60)] + [(60, None), (None, passage)], "doc_id long, text string")
+    whole, small = (sorted(map(tuple, repeats.remove(docs, batch_bytes=most).collect()), key=str) for most in (8_000_000, 50))
+    assert whole == small and [r for r in whole if r[0] == 2] == [(2, "own2 end2")]
