@@ -304,3 +304,23 @@ def test_a_task_hands_on_k_rows_a_query(spark):
     dist[np.arange(7), np.arange(7)] = np.inf
     wanted = [(q, int(i)) for q in range(7) for i in np.lexsort((np.arange(40), np.round(dist[q], 6)))[:3]]
     assert sorted((r.query_id, r.id) for r in got) == sorted(wanted)
+
+
+def test_a_tile_reaches_a_probed_cell_once(spark, monkeypatch):
+    """Neighbours within all cells are the exact ones, ties by id included, and no tile is repeated for each tile of the other side."""
+    rng = np.random.default_rng(5)
+    rows = np.round(rng.normal(size=(90, 4)), 1).tolist()
+    rows += rows[:20]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id long, vec array<double>")
+    index = neighbors.CellIndex.build(df, 3)
+    exact = {(r.query_id, r.rank): (r.id, round(r.dist, 6)) for r in neighbors.knn_graph(df, 5).collect()}
+    for size in (1024, 4):
+        monkeypatch.setattr(neighbors, "TILE", size)
+        monkeypatch.setattr(neighbors, "LEAST_PER_SALT", 8 * size)
+        got = {(r.query_id, r.rank): (r.id, round(r.dist, 6)) for r in neighbors.knn_graph(df, 5, index=index, nprobe=3).collect()}
+        assert got == exact
+    one = df.repartition(2).selectExpr("0 as cell", "id", "vec")
+    sizes = spark.createDataFrame([(0, 110)], "cell int, n long")
+    monkeypatch.setattr(neighbors, "LEAST_PER_SALT", 1024)
+    dealt = neighbors._dealt_tiles(one, one, sizes, sizes).collect()
+    assert sum(len(r.ids) for r in dealt if r.asks) == sum(len(r.ids) for r in dealt if not r.asks) == 110
