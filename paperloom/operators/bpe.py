@@ -8,8 +8,9 @@ vocabulary size bounds, and a bounded number of word segments.
 import heapq
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from paperloom.functions import fixed
@@ -20,6 +21,8 @@ MAX_SYMBOLS = 0x110000 - _SYMBOL_BASE
 #: Pairs that the first round looks at, and the most different segments that the driver follows merges on.
 _PAIRS = 4096
 _SEGMENTS = 500_000
+#: Words, or ids, that a task looks at together, whatever the length of texts and batches.
+_SLICE = 500_000
 
 
 def byte_characters() -> list[str]:
@@ -268,6 +271,33 @@ class _WordEncoder:
         return _merged([self.ids[c] for c in word if c in self.ids], self.ranks)
 
 
+def _slices(batch: pa.RecordBatch, column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose lists in ``column`` have ``most`` values together, or one longer row."""
+    ends = np.cumsum(pc.fill_null(batch.column(column).value_lengths(), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + (most or _SLICE), side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _encoded(words: pa.ListArray, encode: _WordEncoder) -> pa.ListArray:
+    """Ids of lists of words; equal words are encoded once, and no Python object stands for a word of the text."""
+    kinds = words.flatten().dictionary_encode()
+    ids = [np.array(encode(w), np.int32) for w in kinds.dictionary.to_pylist()]
+    place, sizes = kinds.indices.to_numpy(), np.array([len(i) for i in ids], np.int64)
+    begin, number = np.cumsum(sizes) - sizes, sizes[place]
+    ends = np.cumsum(number)
+    # Ids of a word lie together in ``ids``: the distance of its place there to its place in the text is the same for all.
+    at = np.repeat((begin[place] - (ends - number)).astype(np.int32), number)
+    at += np.arange(len(at), dtype=np.int32)
+    values = np.concatenate(ids)[at] if ids else np.empty(0, np.int32)
+    rows = pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(rows)])]
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values), mask=words.is_null())
+
+
 def bpe_encode(df: DataFrame, column: str, model: BpeModel, output: str = "token_ids") -> DataFrame:
     """Text to token ids, row by row: the corpus is not shuffled, the merges travel with the tasks."""
     shown = byte_characters()
@@ -284,14 +314,8 @@ def bpe_encode(df: DataFrame, column: str, model: BpeModel, output: str = "token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _WordEncoder(*shared.value)
         for batch in batches:
-            encoded = [
-                None if row is None else [i for w in row for i in encode(w)]
-                for row in batch.column("_words").to_pylist()
-            ]
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(encoded, pa.list_(pa.int32()))], names=[*names, output]
-            )
+            for part in _slices(batch, "_words"):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), _encoded(part.column("_words"), encode)], names=[*names, output])
 
     return source.mapInArrow(run, out)
 
@@ -302,9 +326,13 @@ def bpe_decode(token_ids: Column, model: BpeModel) -> Column:
     raw = [bytes(of[c] for c in token) for token in model.tokens]
     shared = SparkSession.active().sparkContext.broadcast(raw)
 
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
-        tokens = shared.value
-        return rows.map(lambda ids: None if ids is None else b"".join([tokens[i] for i in ids if 0 <= i < len(tokens)]).decode("utf-8", "replace"))
+    def text(ids: list[int] | None, tokens: list[bytes]) -> str | None:
+        return None if ids is None else b"".join([tokens[i] for i in ids if 0 <= i < len(tokens)]).decode("utf-8", "replace")
+
+    @F.arrow_udf("string")
+    def decode(rows: pa.Array) -> pa.Array:
+        tokens, batch = shared.value, pa.RecordBatch.from_arrays([rows], names=["ids"])
+        parts = [pa.array([text(ids, tokens) for ids in part.column("ids").to_pylist()], pa.string()) for part in _slices(batch, "ids")]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decode(token_ids)

@@ -135,3 +135,27 @@ def test_sampling(spark):
     assert sorted(map(tuple, other)) != sorted(map(tuple, got))
     longer = suggestions.sample_next(prompts.limit(5), grams, F.split("p", " "), extra_tokens=3, top_k=1, repetition_penalty=1e9).collect()
     assert {r.suggestion for r in longer} == {"b a c"}  # after "a b a" the seen "b" gives way
+
+
+def test_a_slice_of_words_bounds_the_encoder(spark):
+    """Lists are encoded in slices, each different word once in a slice, whatever the size of a batch."""
+    import pyarrow as pa
+
+    asked = []
+
+    def encode(word):
+        asked.append(word)
+        return [ord(c) for c in word if c != "x"]
+
+    rows = [["ab", "c"] * 50, None, [], ["x", "ab", ""], ["é"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["w"])
+    for most, parts in ((1, 4), (3, 3), (1000, 1)):
+        asked.clear()
+        cut = list(bpe._slices(batch, "w", most))
+        got = [r for part in cut for r in bpe._encoded(part.column("w"), encode).to_pylist()]
+        assert got == [None if r is None else [ord(c) for w in r for c in w if c != "x"] for r in rows]
+        assert len(cut) >= parts - 1 and len(asked) <= 2 + 3 + 1
+    model = bpe.BpeModel(bpe.byte_characters(), [])
+    df = spark.createDataFrame([(0, "été 42"), (1, None), (2, ""), (3, "a b")], "i int, t string")
+    back = bpe.bpe_encode(df, "t", model).withColumn("back", bpe.bpe_decode(F.col("token_ids"), model)).orderBy("i").collect()
+    assert [r.back for r in back] == ["été 42", None, "", "a b"] and back[1].token_ids is None
