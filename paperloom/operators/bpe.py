@@ -8,12 +8,10 @@ vocabulary size bounds, and a bounded number of word segments.
 import heapq
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from paperloom.functions import fixed
+from paperloom.functions import fixed, lists
 from paperloom.staging import restage, stage
 
 _SYMBOL_BASE = 0xF0000
@@ -272,30 +270,12 @@ class _WordEncoder:
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows whose lists in ``column`` have ``most`` values together, or one longer row."""
-    ends = np.cumsum(pc.fill_null(batch.column(column).value_lengths(), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + (most or _SLICE), side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
+    return lists.slices(batch, column, most or _SLICE)
 
 
 def _encoded(words: pa.ListArray, encode: _WordEncoder) -> pa.ListArray:
-    """Ids of lists of words; equal words are encoded once, and no Python object stands for a word of the text."""
-    kinds = words.flatten().dictionary_encode()
-    ids = [np.array(encode(w), np.int32) for w in kinds.dictionary.to_pylist()]
-    place, sizes = kinds.indices.to_numpy(), np.array([len(i) for i in ids], np.int64)
-    begin, number = np.cumsum(sizes) - sizes, sizes[place]
-    ends = np.cumsum(number)
-    # Ids of a word lie together in ``ids``: the distance of its place there to its place in the text is the same for all.
-    at = np.repeat((begin[place] - (ends - number)).astype(np.int32), number)
-    at += np.arange(len(at), dtype=np.int32)
-    values = np.concatenate(ids)[at] if ids else np.empty(0, np.int32)
-    rows = pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(rows)])]
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values), mask=words.is_null())
+    """Ids of lists of words."""
+    return lists.replaced(words, encode, pa.int32())
 
 
 def bpe_encode(df: DataFrame, column: str, model: BpeModel, output: str = "token_ids") -> DataFrame:
