@@ -101,3 +101,21 @@ def test_lemmas_of_unseen_words(spark):
     known = table.unionByName(spark.createDataFrame([("went", "go")], "token string, lemma string"))
     assert sorted((r.i, r.lemma) for r in lemmas.lemmatise_tokens(tokens, known, endings).collect() if r.token) == [(1, "go"), (2, "plandy"), (3, "log"), (3, "log")]
     assert lemmas.fit_endings(table.limit(0)).count() == 0
+
+
+def test_a_small_lemma_table_moves_no_tokens(spark, monkeypatch):
+    """Texts keep their place; repeated and null keys, and several lemmas of a token, are as with a join."""
+    from paperloom.operators import relations
+
+    table = spark.createDataFrame([("stars", "star"), ("data", "datum"), ("data", "Data "), ("x", None), (None, "y"), ("gone", "the")], "token string, lemma string")
+    df = spark.createDataFrame([(1, "Stars, data x"), (2, "gone the"), (3, "b a"), (3, "stars c d"), (None, "stars"), (4, None), (5, "")], "k int, t string")
+
+    def got(rows):
+        return sorted((str(r.k), r.t or "", r.processed) for r in relations.normalize_with_lemmas(rows, "k", "t", table, ["the"]).collect())
+
+    near = got(df)
+    plain = relations.normalize_with_lemmas(df.where("k < 3"), "k", "t", table, ["the"])
+    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(relations, "BROADCAST_BYTES", 0)
+    assert near == got(df)
+    assert ("1", "Stars, data x", "star data datum x") in near and ("None", "stars", "") in near
