@@ -159,3 +159,15 @@ def test_a_slice_of_words_bounds_the_encoder(spark):
     df = spark.createDataFrame([(0, "été 42"), (1, None), (2, ""), (3, "a b")], "i int, t string")
     back = bpe.bpe_encode(df, "t", model).withColumn("back", bpe.bpe_decode(F.col("token_ids"), model)).orderBy("i").collect()
     assert [r.back for r in back] == ["été 42", None, "", "a b"] and back[1].token_ids is None
+
+
+def test_totals_of_grams_need_no_join(spark):
+    """Totals need no join; nulls and short lists are as ever."""
+    df = spark.createDataFrame([("a b a b c",), ("x",), ("",), (None,)], "t string")
+    counts = aggregates.ngram_counts(df, F.split("t", " "), 3)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    got = {(r.context, r.next): (r.n, round(r.share, 4)) for r in counts.collect()}
+    assert got == {("a b", "a"): (1, 0.5), ("b a", "b"): (1, 1.0), ("a b", "c"): (1, 0.5)}
+    assert {(r.context, r.next): r.n for r in aggregates.ngram_counts(df, F.split("t", " "), 1).collect()} == {
+        ("", "a"): 2, ("", "b"): 2, ("", "c"): 1, ("", "x"): 1, ("", ""): 1}
