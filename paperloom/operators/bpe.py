@@ -2,12 +2,13 @@
 
 A symbol is one code point of a private plane, so a word is a string, an adjacent pair is two
 characters. Everything that grows with the corpus is a DataFrame; the driver sees the merges, which the
-vocabulary size bounds, and a bounded number of word segments.
+vocabulary size bounds, and a bounded number of word segments. Tasks look at the symbols of many words in one array.
 """
 
 import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -21,6 +22,11 @@ _PAIRS = 4096
 _SEGMENTS = 500_000
 #: Words, or ids, that a task looks at together, whatever the length of texts and batches.
 _SLICE = 500_000
+#: Symbols of words that a task of the training looks at together, bits of a symbol, and merges of one word at which the others take the queue.
+_TOGETHER = 2_000_000
+_BITS = 17
+_STEPS = 64
+_NEVER = 1 << 62
 
 
 def byte_characters() -> list[str]:
@@ -39,6 +45,11 @@ def _symbol(number: int) -> str:
     return chr(_SYMBOL_BASE + number)
 
 
+def _spelt(key: int) -> str:
+    """The pair of a key of two symbols."""
+    return "".join(map(_symbol, divmod(key, 1 << _BITS)))
+
+
 def _byte_string(c: Column) -> Column:
     """One character U+0000-00FF per UTF-8 byte."""
     return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
@@ -99,7 +110,7 @@ def bpe_train(
             break
         while True:
             outside = ranked[pairs] if len(ranked) > pairs else None
-            segments = _segments(words, [pair for pair, _ in ranked[:pairs]], most_segments) if pairs > 1 else [ranked[0]]
+            segments = _segments(words, [pair for pair, _ in ranked[:pairs]], most_segments) if pairs > 1 else [(_spelt(ranked[0][0]), ranked[0][1])]
             if segments is not None:
                 break
             pairs = max(1, pairs // 8)
@@ -107,55 +118,97 @@ def bpe_train(
         for left, right, _ in found:
             tokens.append(tokens[left] + tokens[right])
         merges += found
-        if outside is not None and len(segments) < most_segments // 4:
-            pairs *= 2
+        if outside is not None:
+            pairs *= next((more for more in (8, 4, 2) if len(segments) < most_segments // more ** 2), 1)
         if len(tokens) < vocab_size:
             words = held = restage(_merge_words(words, found), held, "words")
     return BpeModel(tokens, merges)
 
 
-def _ranked_pairs(words: DataFrame, limit: int, min_frequency: int) -> list[tuple[str, int]]:
-    """The most frequent pairs with their counts, in the order in which ties are broken."""
+def _symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all words one after the other, and how many each word has."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    raw = memoryview(words.buffers()[2])[offsets[0]:offsets[-1]]
+    codes = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), "<u4").astype(np.int64)
+    return codes - _SYMBOL_BASE, np.diff(offsets) // 4
+
+
+def _strings(symbols: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    raw = (symbols + _SYMBOL_BASE).astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+    offsets = np.concatenate([[0], 4 * np.cumsum(lengths)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(raw))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Symbols, lengths and counts of the words of several batches at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((*_symbols(batch.column("word").cast(pa.string())), batch.column("n").to_numpy()))
+            size += len(held[-1][0])
+        if size >= _TOGETHER:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _keys(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One number for each symbol and its right neighbour, in the order of the two ids; -1 for the last symbol of a word."""
+    keys = np.full(len(symbols), -1, np.int64)
+    keys[:-1] = symbols[:-1] << _BITS | symbols[1:]
+    keys[last] = -1
+    return keys
+
+
+def _places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted numbers ``known``, and whether they hold the keys."""
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
+def _summed(name: str, values: pa.Array | np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    table = pa.table({name: values, "n": n}).group_by(name, use_threads=False).aggregate([("n", "sum")])
+    return table.rename_columns({"n_sum": "n"}).select([name, "n"]).combine_chunks().to_batches()[0]
+
+
+def _ranked_pairs(words: DataFrame, limit: int, min_frequency: int) -> list[tuple[int, int]]:
+    """Keys of the most frequent pairs with their counts, in the order in which ties are broken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[str, int] = {}
-            for word, n in zip(*(batch.column(c).to_pylist() for c in ("word", "n"))):
-                for i in range(len(word) - 1):
-                    pair = word[i:i + 2]
-                    counts[pair] = counts.get(pair, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
-
-    counted = words.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        for symbols, lengths, n in _gathered(batches):
+            keys = _keys(symbols, np.cumsum(lengths) - 1)
+            inside = keys >= 0
+            if inside.any():
+                yield _summed("pair", keys[inside], np.repeat(n, lengths)[inside])
+
+    counted = words.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     ranked = counted.filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "pair").limit(limit)
     return [(r.pair, r.n) for r in ranked.collect()]
 
 
-def _segments(words: DataFrame, pairs: list[str], most: int) -> list[tuple[str, int]] | None:
+def _segments(words: DataFrame, pairs: list[int], most: int) -> list[tuple[str, int]] | None:
     """Stretches of words in which all neighbours are among ``pairs``, with their counts; None when there are too many."""
-    shared = words.sparkSession.sparkContext.broadcast(frozenset(pairs))
+    shared = words.sparkSession.sparkContext.broadcast(np.sort(np.array(pairs, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
-            counts: dict[str, int] = {}
-            for word, n in zip(*(batch.column(c).to_pylist() for c in ("word", "n"))):
-                start = 0
-                for i in range(1, len(word) + 1):
-                    if i == len(word) or word[i - 1:i + 1] not in known:
-                        if i - start > 1:
-                            part = word[start:i]
-                            counts[part] = counts.get(part, 0) + n
-                        start = i
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["segment", "n"])
+        for symbols, lengths, n in _gathered(batches):
+            _, after = _places(_keys(symbols, np.cumsum(lengths) - 1), known)
+            before = np.concatenate([[False], after[:-1]])
+            starts, ends = np.flatnonzero(after & ~before), np.flatnonzero(before & ~after)
+            if len(starts):
+                parts = _strings(symbols[before | after], ends - starts + 1)
+                yield _summed("segment", parts, np.repeat(n, lengths)[starts])
 
     counted = words.mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    found = [(r.segment, r.n) for r in counted.limit(most + 1).collect()]
+    found = counted.limit(most + 1).toArrow()
     shared.destroy()
-    return found if len(found) <= most else None
+    return list(zip(*(found.column(c).to_pylist() for c in ("segment", "n")))) if found.num_rows <= most else None
 
 
-def _certain_merges(segments: list[tuple[str, int]], outside: tuple[str, int] | None, min_frequency: int, first: int,
+def _certain_merges(segments: list[tuple[str, int]], outside: tuple[int, int] | None, min_frequency: int, first: int,
                     room: int) -> list[tuple[int, int, int]]:
     """Merges ``(left, right, merged)`` in order, from id ``first`` on, for as long as no pair outside the segments can come before."""
     number = [n for _, n in segments]
@@ -168,7 +221,7 @@ def _certain_merges(segments: list[tuple[str, int]], outside: tuple[str, int] |
             holders.setdefault(pair, set()).add(k)
     queue = [(-n, pair) for pair, n in counts.items()]
     heapq.heapify(queue)
-    limit = (0, ()) if outside is None else (outside[1], tuple(ord(c) - _SYMBOL_BASE for c in outside[0]))
+    limit = (0, ()) if outside is None else (outside[1], divmod(outside[0], 1 << _BITS))
     merges: list[tuple[int, int, int]] = []
     while queue and len(merges) < room:
         n, pair = heapq.heappop(queue)
@@ -189,8 +242,9 @@ def _certain_merges(segments: list[tuple[str, int]], outside: tuple[str, int] |
             parts[k] = own = _replaced(own, pair, new)
             for p in zip(own, own[1:]):
                 counts[p] = counts.get(p, 0) + number[k]
-                holders.setdefault(p, set()).add(k)
-                changed.add(p)
+                if new in p:  # counts of others have fallen or stayed, which is seen when their turn comes
+                    holders.setdefault(p, set()).add(k)
+                    changed.add(p)
         for p in changed:
             heapq.heappush(queue, (-counts[p], p))
     return merges
@@ -198,25 +252,58 @@ def _certain_merges(segments: list[tuple[str, int]], outside: tuple[str, int] |
 
 def _merge_words(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
     """The words after the merges; words of one symbol are done."""
-    rules = {chr(_SYMBOL_BASE + a) + chr(_SYMBOL_BASE + b): (rank, new) for rank, (a, b, new) in enumerate(merges)}
-    shared = words.sparkSession.sparkContext.broadcast(rules)
+    shared = words.sparkSession.sparkContext.broadcast(np.array(merges, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        ranks = {tuple(ord(c) - _SYMBOL_BASE for c in pair): rule for pair, rule in known.items()}
-        for batch in batches:
-            out, number = [], []
-            for word, n in zip(*(batch.column(c).to_pylist() for c in ("word", "n"))):
-                if any(word[i:i + 2] in known for i in range(len(word) - 1)):
-                    word = "".join(map(_symbol, _merged([ord(c) - _SYMBOL_BASE for c in word], ranks)))
-                if len(word) > 1:
-                    out.append(word)
-                    number.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(number, pa.int64())], names=["word", "n"])
+        merges = shared.value
+        for symbols, lengths, n in _gathered(batches):
+            symbols, lengths, word = _merged_together(symbols, lengths, merges)
+            longer = lengths > 1
+            yield pa.RecordBatch.from_arrays(
+                [_strings(symbols[np.repeat(longer, lengths)], lengths[longer]), pa.array(n[word[longer]])], names=["word", "n"])
 
     return words.mapInArrow(run, "word string, n long")
 
 
+def _merged_together(symbols: np.ndarray, lengths: np.ndarray, merges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words after all merges in order: their symbols, their lengths, and the places of the words before.
+
+    A step takes the first merge that each word still has, wherever it has it. Words that need more than ``_STEPS`` take the queue.
+    """
+    keys = merges[:, 0] << _BITS | merges[:, 1]
+    rank_of = np.argsort(keys)
+    known, new = keys[rank_of], merges[:, 2]
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(_STEPS):
+        first = np.concatenate([[True], word[1:] != word[:-1]])
+        at, among = _places(_keys(symbols, np.concatenate([np.flatnonzero(first)[1:] - 1, [len(word) - 1]])), known)
+        rank = np.where(among, rank_of[at], _NEVER)
+        least = np.minimum.reduceat(rank, np.flatnonzero(first))[np.cumsum(first) - 1]
+        more = least < _NEVER
+        done.append((symbols[~more], word[~more]))
+        symbols, word, rank, least = symbols[more], word[more], rank[more], least[more]
+        if not len(word):
+            break
+        chosen = rank == least
+        # In a stretch of one symbol the places overlap: every second counts, from the left.
+        place = np.arange(len(word))
+        begins = chosen & ~np.concatenate([[False], chosen[:-1]])
+        chosen &= (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+        symbols[chosen] = new[rank[chosen]]
+        left = ~np.concatenate([[False], chosen[:-1]])
+        symbols, word = symbols[left], word[left]
+    if len(word):
+        ranks = {(a, b): (rank, c) for rank, (a, b, c) in enumerate(merges.tolist())}
+        edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        for number, part in zip(word[edges].tolist(), np.split(symbols, edges[1:])):
+            own = np.array(_merged(part.tolist(), ranks), np.int64)
+            done.append((own, np.full(len(own), number)))
+    symbols, word = (np.concatenate(parts) for parts in zip(*done))
+    edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    return symbols, np.diff(np.append(edges, len(word))), word[edges]
+
+
 def _replaced(parts: list[int], pair: tuple[int, int], new: int) -> list[int]:
     out, at = [], 0
     while at < len(parts):

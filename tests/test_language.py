@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -69,6 +70,47 @@ def test_merges_by_queue(word, seed):
     assert bpe._merged(word, {(a, b): (rank, new) for rank, (a, b, new) in enumerate(rules)}) == expected
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=2, max_size=40), min_size=1, max_size=12), st.integers(0, 100), st.sampled_from([1, 3, 64]))
+def test_merges_of_many_words(words, seed, steps):
+    """Words that share an array become what each becomes alone, those with more merges than steps as well."""
+    rng = random.Random(seed)
+    rules, known = {}, 4
+    for _ in range(8):
+        rules.setdefault((rng.randrange(known), rng.randrange(known)), known)
+        known += 1
+    merges = [(a, b, new) for (a, b), new in rules.items()]
+    expected = []
+    for word in words:
+        for a, b, new in merges:
+            word = bpe._replaced(word, (a, b), new)
+        expected.append(word)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe, "_STEPS", steps)
+        symbols, lengths, place = bpe._merged_together(np.array([s for w in words for s in w]), np.array([len(w) for w in words]), np.array(merges))
+    got = dict(zip(place.tolist(), (part.tolist() for part in np.split(symbols, np.cumsum(lengths)[:-1]))))
+    assert [got[i] for i in range(len(words))] == expected
+
+
+def test_training_has_no_loop_over_words(spark, monkeypatch):
+    """Short words never take the queue, and rounds with few segments look at more pairs soon."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(50)) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rounds, ranked = [], bpe._ranked_pairs
+    monkeypatch.setattr(bpe, "_ranked_pairs", lambda *a: rounds.append(a[1] - 1) or ranked(*a))
+    monkeypatch.setattr(bpe, "_merged", None)
+    _, vocab = library(texts, 300)
+    assert bpe.bpe_train(df, "text", 300, pairs=4).tokens == vocab
+    assert rounds[1] == 32
+
+
+def test_bpe_of_no_text(spark):
+    for texts in ([], [None], [""], ["a", None]):
+        model = bpe.bpe_train(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+        assert model.merges == [] and len(model.tokens) == 1 + ("a" in texts)
+
+
 def test_bpe_stops_at_rare_pairs(spark):
     texts = ["aaaa aaa", "abab abab ab", "été 42 été!", "aaaa"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
