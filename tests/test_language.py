@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -152,6 +153,39 @@ def test_bigrams_by_hand(spark):
     assert math.isclose(r.score, want)
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 200_000])
+def test_bigrams_by_numbers(spark, monkeypatch, frequent):
+    """Every pair by hand, whatever words travel with the tasks, and words whose numbers are the same at first."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "of", "red", "fox", "cat", "sun", f"w{rng.randrange(30)}", ""]) for _ in range(rng.randrange(12))) for _ in range(80)]
+    texts += ["new york city"] * 9 + [None, "", " ", "one"]
+    number, seeds = aggregates._word_number, set()
+
+    def clash(word, seed):
+        seeds.add(seed)
+        return F.when(word == "york", number(F.lit("the"), 0)).otherwise(number(word, 0)) if seed == 0 else number(word, seed)
+
+    monkeypatch.setattr(aggregates, "_word_number", clash)
+    monkeypatch.setattr(aggregates, "_FREQUENT", frequent)
+    lists = [[w for w in (t or "").split(" ") if w] for t in texts]
+    single, double = Counter(w for ws in lists for w in ws), Counter(p for ws in lists for p in zip(ws, ws[1:]))
+    n = sum(single.values())
+
+    def ll(k, m, p):
+        return k * math.log(max(p, 1e-10)) + (m - k) * math.log(max(1 - p, 1e-10))
+
+    want = {}
+    for (a, b), c12 in double.items():
+        c1, c2 = single[a], single[b]
+        score = -2 * (ll(c12, c1, c2 / n) + ll(c2 - c12, n - c1, c2 / n) - ll(c12, c1, c12 / c1) - ll(c2 - c12, n - c1, (c2 - c12) / (n - c1)))
+        if score > 2.0:
+            want[a, b] = (c12, c1, c2, round(score, 6))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = aggregates.bigram_collocations(df, F.split("t", " "), 2.0).collect()
+    assert {(r.first, r.second): (r.n_pair, r.n_first, r.n_second, round(r.score, 6)) for r in found} == want
+    assert len(found) == len(want) and seeds == {0, 1}
+
+
 def test_year_histogram_edges(spark):
     def bins(years):
         df = spark.createDataFrame([(y,) for y in years], "year int")
