@@ -1,5 +1,7 @@
 """Index, search, recommendation and evaluation from end to end."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from paperloom.queries.language import backoff_model
 from paperloom.queries.base import Tables
 from paperloom.queries.flows import papers
 from paperloom.sources import models
-from paperloom.streaming.search import stream_search
+from paperloom.staging import shared_dir
+from paperloom.streaming.search import stream_search, stream_search_changed
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -103,3 +106,18 @@ def test_evaluate_folder(spark, tmp_path):
     scores = spark.read.json(str(tmp_path / "scores")).first()
     assert set(scores.asDict()) == set(out["scores"].columns) and 0 < scores["silhouette"] <= 1
     assert out["neighbors"].select("query_id").distinct().count() == out["points"].count()
+
+
+def test_answered_batches_leave_nothing_staged(spark, tmp_path):
+    """A batch's queries and hits go when it is answered; the answers and the stream stay whole."""
+    def same_id(queries, k):
+        return queries.select("query_id", F.col("query_id").alias("id"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+
+    stored = spark.createDataFrame([(i, f"b{i}", "t", "a" * i) for i in range(5)], "id long, bibcode string, title string, abstract string")
+    at = f"{shared_dir(spark)}/paperloom"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    for lines in ([(1, "x"), (2, "y")], [(1, "x"), (2, "z"), (4, "w")]):
+        spark.createDataFrame(lines, "query_id long, query string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream_search_changed(spark, str(tmp_path / "in"), stored, same_id, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert {name for name in set(os.listdir(at)) - before} == set()
+    assert sorted((r.query_id, r.abstract) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "aa"), (2, "aa"), (4, "aaaa")]
